@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import contamination, is_contaminated
 from .minhash import near_duplicates
+from .packing import packed
 from .repeats import repeated_bytes
 
 
@@ -19,13 +21,30 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    items = F.sha2(F.array_join("items", ","), 256)
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), is_contaminated().alias("contaminated"))
+
+
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeated_bytes(_table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer's file, which every machine has installed; never copied here."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_minhash": op2_minhash, "op7_repeats": op7_repeats}
+    return {"op2_minhash": op2_minhash, "op3_decontaminate": op3_decontaminate, "op7_repeats": op7_repeats, "op9_packing": op9_packing}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -27,4 +27,28 @@ SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, coalesce(c.component_id
 FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN components c ON c.node = d.doc_id
 """
 
-ORACLES = {"op2_minhash": OP2}
+OP3 = r"""
+WITH
+  low(kind, id, t) AS (
+    SELECT 0, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM documents
+    UNION ALL
+    SELECT 1, item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark),
+  tok AS (SELECT kind, id, list_filter(regexp_split_to_array(t, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM low),
+  items AS (
+    SELECT id AS item_id, least(13, len(w)) AS k,
+      unnest(list_transform(range(1, len(w) - least(13, len(w)) + 2), lambda i: array_to_string(w[i:i + least(13, len(w)) - 1], ' '))) AS s
+    FROM tok WHERE kind = 1 AND len(w) > 0),
+  lengths AS (SELECT DISTINCT k FROM items),
+  windows AS (
+    SELECT id AS doc_id, k, unnest(range(1, len(w) - k + 2)) AS p,
+      unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s
+    FROM tok, lengths WHERE kind = 0 AND len(w) >= k),
+  hits AS (SELECT doc_id, windows.k, p, item_id FROM windows JOIN items ON items.s = windows.s AND items.k = windows.k),
+  hit_words AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(p, p + k)) AS q FROM hits) GROUP BY doc_id),
+  hit_items AS (SELECT doc_id, count(*) AS n, string_agg(i, ',' ORDER BY i) AS s FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hits) GROUP BY doc_id)
+SELECT t.id AS doc_id, len(w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(i.n, 0)::BIGINT AS n_items,
+  sha256(coalesce(i.s, '')) AS items_sha256, coalesce(h.n, 0) > 0 AND 20 * coalesce(h.n, 0) >= len(w) AS contaminated
+FROM tok t LEFT JOIN hit_words h ON h.doc_id = t.id LEFT JOIN hit_items i ON i.doc_id = t.id WHERE kind = 0
+"""
+
+ORACLES = {"op3_decontaminate": OP3, "op2_minhash": OP2}
