@@ -101,7 +101,7 @@ def _scan(width: int, blocks: list):
                 starts = [(s[fs[x:y]] - b).tolist() for x, y, b in zip(cut[:-1], cut[1:], base, strict=True)]
                 ends = [(e[ls[x:y]] - b).tolist() for x, y, b in zip(cut[:-1], cut[1:], base, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(np.diff(at), pa.int64()), pa.array(total[at[1:]] - total[at[:-1]], pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), *batch.columns[2:]],
+                    [batch.column(0).slice(i, j - i), pa.array(np.diff(at), pa.int64()), pa.array(total[at[1:]] - total[at[:-1]], pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), *(c.slice(i, j - i) for c in batch.columns[2:])],
                     names=["id", "n_words", "n_hit", "items", "starts", "ends", *batch.schema.names[2:]],
                 )
 

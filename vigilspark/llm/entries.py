@@ -11,12 +11,24 @@ from .decontaminate import contamination, is_contaminated
 from .minhash import near_duplicates
 from .packing import packed
 from .repeats import repeated_bytes
+from .toxicity import fitted, fold, scored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def training_labels(labels: DataFrame) -> DataFrame:
+    """id and label of the rows that toxicity is learned from."""
+    return labels.where(fold("doc_id", 5) != 0).select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").alias("label"))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = scored(docs, fitted(docs, training_labels(_table(spark, sf_dir, "labels"))))
+    return out.select(F.col("id").alias("doc_id"), F.coalesce(fold("id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
@@ -44,7 +56,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_minhash": op2_minhash, "op3_decontaminate": op3_decontaminate, "op7_repeats": op7_repeats, "op9_packing": op9_packing}
+    return {"op1_toxicity": op1_toxicity, "op2_minhash": op2_minhash, "op3_decontaminate": op3_decontaminate, "op7_repeats": op7_repeats, "op9_packing": op9_packing}
 
 
 def oracle_sql() -> dict[str, str]:
