@@ -1,6 +1,66 @@
-"""The corpus pipeline: its stages in order, each a function of (spark, docs, sf_dir)."""
+"""The corpus pipeline: its stages in order, each a function of (spark, docs, sf_dir).
+
+All stages but the last return the columns of documents. Where docs has further columns they go along too.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from vigilspark.llm.decontaminate import contamination, is_contaminated
+from vigilspark.llm.entries import tokenizer_path, training_labels
+from vigilspark.llm.minhash import near_duplicates
+from vigilspark.llm.packing import packed
+from vigilspark.llm.repeats import repeated_bytes
+from vigilspark.llm.shared import Scratch
+from vigilspark.llm.toxicity import fitted, scored
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.5 or more go; learned as op1 is, from what is left of the labelled training rows in docs."""
+    model = fitted(docs, training_labels(spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return scored(docs, model, carry=docs.columns).where("score < 0.5").select(*[F.col(f"`{c}`") for c in docs.columns[0:]])
+
+
+def minhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document of the least id stays.
+
+    Of rows that share an id one stays. Rows without an id all stay.
+    """
+    kept = near_duplicates(docs.select("doc_id", "text")).where("kept and doc_id is not null").select("doc_id").distinct()
+    own = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
+    own = own.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where("__n = 1").drop("__n")
+    return own.unionByName(docs.where("doc_id is null")).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes under strings of 100 bytes that also start earlier go; every document stays, and n_chars follows its text."""
+    out = repeated_bytes(docs, texts=True, carry=[c for c in docs.columns if c != "text"])
+    out = out.withColumn("n_chars", F.when(F.col("n_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))) if "n_chars" in docs.columns else out
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are contaminated with the benchmark go."""
+    out = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=docs.columns)
+    return out.where(~is_contaminated()).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of 4096 tokens, as op9 gives them."""
+    return packed(docs, tokenizer_path("word_bpe_49k.json"))
+
+
+STAGES = [("toxicity", toxicity), ("minhash", minhash), ("suffix_array", suffix_array), ("decontaminate", decontaminate), ("packing", packing)]
+#: SQL can't express the stages; tests hold each against a brute-force version.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage; each other stage is written as Parquet in the shared folder and read again."""
+    scratch = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.cut(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

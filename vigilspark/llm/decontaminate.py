@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .shared import _R, _R_INV, ALNUM_WORD, LOWER, Spans, _powers, chunks, mix, utf8, words
+from .shared import _R, _R_INV, ALNUM_WORD, LOWER, Spans, _powers, carried, chunks, mix, utf8, words
 
 #: Bytes of benchmark text in one broadcast block; a larger benchmark is scanned for block by block.
 BLOCK_BYTES = 16_000_000
@@ -101,8 +101,8 @@ def _scan(width: int, blocks: list):
                 starts = [(s[fs[x:y]] - b).tolist() for x, y, b in zip(cut[:-1], cut[1:], base, strict=True)]
                 ends = [(e[ls[x:y]] - b).tolist() for x, y, b in zip(cut[:-1], cut[1:], base, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(np.diff(at), pa.int64()), pa.array(total[at[1:]] - total[at[:-1]], pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), *(c.slice(i, j - i) for c in batch.columns[2:])],
-                    names=["id", "n_words", "n_hit", "items", "starts", "ends", *batch.schema.names[2:]],
+                    [batch.column(0).slice(i, j - i), pa.array(np.diff(at), pa.int64()), pa.array(total[at[1:]] - total[at[:-1]], pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), *(c.slice(i, j - i) for c in batch.columns[1:])],
+                    names=["id", "n_words", "n_hit", "items", "starts", "ends", *batch.schema.names[1:]],
                 )
 
     return run
@@ -129,11 +129,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = 13, id_
     for k in range(n):
         part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
         blocks.append(spark.sparkContext.broadcast(window_index([(r.i, r.t) for r in part.toLocalIterator()], width)))
-    carry = carry or []
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("__text"), *[F.col(c).alias(f"__c{x}") for x, c in enumerate(carry)])
-    kinds = {f.name: f.dataType.simpleString() for f in src.schema}
-    out = src.mapInArrow(_scan(width, blocks), ", ".join(["id long, n_words long, n_hit long, items array<string>, starts array<long>, ends array<long>", *[f"__c{x} {kinds[f'__c{x}']}" for x in range(len(carry))]]))
-    return out.select("id", "n_words", "n_hit", "items", "starts", "ends", *[F.col(f"__c{x}").alias(c) for x, c in enumerate(carry)])
+    src, schema, back = carried(docs, id_col, text_col, carry or [])
+    out = src.mapInArrow(_scan(width, blocks), "id long, n_words long, n_hit long, items array<string>, starts array<long>, ends array<long>" + schema)
+    return out.select("id", "n_words", "n_hit", "items", "starts", "ends", *back)
 
 
 def is_contaminated() -> F.Column:

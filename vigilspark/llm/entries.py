@@ -55,8 +55,14 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_minhash": op2_minhash, "op3_decontaminate": op3_decontaminate, "op7_repeats": op7_repeats, "op9_packing": op9_packing}
+    return {"op1_toxicity": op1_toxicity, "op2_minhash": op2_minhash, "op3_decontaminate": op3_decontaminate, "op7_repeats": op7_repeats, "op9_packing": op9_packing, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -10,7 +10,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .components import connected_components
 from .shared import BLANK_WORD, LOWER, Scratch, Spans, chunks, mix, runs, utf8, words
@@ -243,11 +242,9 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, shingle: int = 5, id_
     met2 = met2.select("cluster", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "id", "set")
     confirmed = met2.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(_confirmed(percent, 100), "u long, v long")
     linked = connected_components(confirmed, scratch)
+    scratch.drop(members, clusters)
 
     known = reps.select("key", F.col("id").alias("rep")).join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
     out = all_rows.select("id", "n", "key").join(known, "key", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
-
-
-SCHEMA = T.StructType().add("doc_id", "long").add("n_shingles", "long").add("component_id", "long").add("kept", "boolean")

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, Spans, chunks, mix, parts, runs, utf8
+from .shared import Scratch, Spans, carried, chunks, mix, parts, runs, utf8
 
 GRAM = 28
 #: Runs that a task holds before it collapses and sends them.
@@ -224,7 +224,7 @@ def _send_texts(buckets: int):
                 marks = np.array([text_mark(x) for x in texts], np.uint16)
                 own = ids.slice(i, j - i)
                 at = doc_bucket(own.fill_null(0).to_numpy(), marks, buckets)
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([TEXT] * (j - i), pa.int32()), pa.array([squeeze.compress(x) for x in texts], pa.binary()), own], ["bucket", "kind", "blob", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([TEXT] * (j - i), pa.int32()), pa.array([squeeze.compress(x) for x in texts], pa.binary()), own, *(c.slice(i, j - i) for c in batch.columns[2:])], names=["bucket", "kind", "blob", "id", *batch.schema.names[2:]])
 
     return rows
 
@@ -417,24 +417,37 @@ def _cut_whole(width: int):
     """As _cut_texts, but what is left of the text itself; characters cut in part go too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for i, text, (_, _, start, many) in _with_texts(batches, SPANS, SPAN):
+        rest: list[pa.RecordBatch] = []
+
+        def noted() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = np.flatnonzero(batch.column(1).to_numpy() == TEXT)
+                rest.extend(batch.take(pa.array(own[i : i + 500])) for i in range(0, len(own), 500))
+                yield batch
+
+        held: list[tuple] = []
+        for _, text, (_, _, start, many) in _with_texts(noted(), SPANS, SPAN):
             s, e = covered(len(text), start, many, width)
             at, left = 0, []
             for x, y in zip([*s.tolist(), len(text)], [*e.tolist(), len(text)], strict=True):
                 left.append(text[at:x])
                 at = y
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([text_mark(text)], pa.int32()), pa.array([len(s)], pa.int64()), pa.array([b"".join(x.decode("utf-8", "ignore").encode() for x in left)]).cast(pa.string())], ["id", "mark", "n_spans", "text"])
+            held.append((len(s), "".join(x.decode("utf-8", "ignore") for x in left)))
+            if len(held) == rest[0].num_rows:
+                of = rest.pop(0)
+                yield pa.RecordBatch.from_arrays([of.column(3), pa.array([x for x, _ in held], pa.int64()), pa.array([x for _, x in held], pa.string()), *of.columns[4:]], names=["id", "n_spans", "text", *of.schema.names[4:]])
+                held = []
 
     return run
 
 
-def repeated_bytes(docs: DataFrame, *, width: int = 100, id_col: str = "doc_id", text_col: str = "text", texts: bool = False, scratch: Scratch | None = None) -> DataFrame:
+def repeated_bytes(docs: DataFrame, *, width: int = 100, id_col: str = "doc_id", text_col: str = "text", texts: bool = False, carry: list[str] | None = None, scratch: Scratch | None = None) -> DataFrame:
     """One row per document: id, mark, n_bytes, n_removed, n_spans, kept_sha256, starts, ends (maximal removed runs, as byte offsets).
 
     Removed is each byte under a string of ``width`` bytes that also starts earlier: in a smaller id, or in the same document
     further left. Texts are UTF-8 bytes; matches don't cross documents; all strings are judged on the input.
 
-    With ``texts`` the rows are id, mark, n_spans and text (what is left; a character of which a part is removed goes).
+    With ``texts`` the rows are id, n_spans and text (what is left; a character of which a part is removed goes), then the columns named in carry.
     Null texts are empty. A text shorter than ``width`` is kept whole. Rows of one id with different texts are told apart by mark,
     and neither is earlier than the other at the same offset; repeated rows likewise. A row without an id is compared with nothing and kept whole.
     Other columns of docs are ignored.
@@ -447,12 +460,14 @@ def repeated_bytes(docs: DataFrame, *, width: int = 100, id_col: str = "doc_id",
     sent = rows.where("id is not null").mapInArrow(_send_runs(width, n), ROWS)
     met = lambda df: df.repartition(n, "bucket").sortWithinPartitions("bucket", "kind")
     first = scratch.cut(met(sent).mapInArrow(_collapse(n), ROWS), "classes")
-    own = rows.mapInArrow(_send_texts(n), ROWS + ", id long")
-    apart = lambda df: df.select("bucket", "kind", "blob", F.lit(None).cast("long").alias("id"))
+    src, schema, back = carried(docs, id_col, text_col, [c for c in carry or [] if c != text_col])
+    schema = schema.replace(", __t string", "", 1)
+    own = (src if texts else rows).mapInArrow(_send_texts(n), ROWS + ", id long" + schema * texts)
+    apart = lambda df: df.select("bucket", "kind", "blob", *[F.lit(None).cast(f.dataType).alias(f.name) for f in own.schema.fields[3:]])
     fetched = met(own.where("id is not null").unionByName(apart(first.where(f"kind = {REQUESTS}")))).mapInArrow(_fetch(width, n), ROWS)
     second = scratch.cut(met(fetched).mapInArrow(_refine(width, n), ROWS), "refined")
     spans = first.where(f"kind = {SPANS}").unionByName(second)
     joined = met(own.unionByName(apart(spans)))
     if texts:
-        return joined.mapInArrow(_cut_whole(width), "id long, mark int, n_spans long, text string")
+        return joined.mapInArrow(_cut_whole(width), "id long, n_spans long, text string" + schema).select("id", "n_spans", "text", *back)
     return joined.mapInArrow(_cut_texts(width), "id long, mark int, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>")

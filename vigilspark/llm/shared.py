@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ship
 
@@ -55,6 +56,15 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def carried(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> tuple[DataFrame, str, list]:
+    """Columns id and text under names of ours with the carried ones after them (the text itself once), their schema, and how to name them back."""
+    rest = [c for c in carry if c != text_col]
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("__t"), *[F.col(f"`{c}`").alias(f"__c{x}") for x, c in enumerate(rest)])
+    schema = "".join(f", {f.name} {f.dataType.simpleString()}" for f in src.schema.fields[1:])
+    names = {c: f"__c{x}" for x, c in enumerate(rest)} | {text_col: "__t"}
+    return src, schema, [F.col(names[c]).alias(c) for c in carry]
+
+
 # ---------------------------------------------------------------- bytes
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .shared import ALNUM_WORD, LOWER, Spans, chunks, mix, utf8, words
+from .shared import ALNUM_WORD, LOWER, Spans, carried, chunks, mix, utf8, words
 
 #: Examples of each class at most (a sample of the labelled training rows, by hash) and terms at most.
 EXAMPLES, TERMS = 2500, 4000
@@ -242,7 +242,7 @@ def _scores(model):
                         told[key] = m.score(v), [m.index.ids[x] for x in near[:3]]
                     score.append(told[key][0])
                     evidence.append(told[key][1])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(score, pa.float64()), pa.array(evidence, pa.list_(pa.int64())), *(c.slice(i, j - i) for c in batch.columns[2:])], names=["id", "score", "evidence", *batch.schema.names[2:]])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(score, pa.float64()), pa.array(evidence, pa.list_(pa.int64())), *(c.slice(i, j - i) for c in batch.columns[1:])], names=["id", "score", "evidence", *batch.schema.names[1:]])
 
     return run
 
@@ -292,11 +292,8 @@ def scored(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: s
     A text without known terms, such as an empty or null one, scores as such examples do. Repeated rows and rows without an id are scored each.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    carry = carry or []
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("__text"), *[F.col(c).alias(f"__c{x}") for x, c in enumerate(carry)])
-    kinds = {f.name: f.dataType.simpleString() for f in src.schema}
-    out = src.mapInArrow(_scores(shared), ", ".join(["id long, score double, evidence array<long>", *[f"__c{x} {kinds[f'__c{x}']}" for x in range(len(carry))]]))
-    return out.select("id", "score", "evidence", *[F.col(f"__c{x}").alias(c) for x, c in enumerate(carry)])
+    src, schema, back = carried(docs, id_col, text_col, carry or [])
+    return src.mapInArrow(_scores(shared), "id long, score double, evidence array<long>" + schema).select("id", "score", "evidence", *back)
 
 
 def fold(id_col: str, folds: int) -> F.Column:
