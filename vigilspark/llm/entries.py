@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contamination, is_contaminated
+from .html_text import extracted
 from .minhash import near_duplicates
 from .packing import packed
 from .repeats import repeated_bytes
 from .toxicity import fitted, fold, scored
 
+from .vectors import near_vectors
+from .warc import derivatives
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -39,11 +43,23 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), is_contaminated().alias("contaminated"))
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extracted(_table(spark, sf_dir, "pages"), carry=["url"])
+
+
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeated_bytes(_table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derivatives(_table(spark, sf_dir, "pages"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -62,7 +78,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_minhash": op2_minhash, "op3_decontaminate": op3_decontaminate, "op7_repeats": op7_repeats, "op9_packing": op9_packing, "pipeline": pipeline}
+    return {"op1_toxicity": op1_toxicity, "op2_minhash": op2_minhash, "op3_decontaminate": op3_decontaminate, "op4_embeddings": op4_embeddings, "op5_html": op5_html, "op7_repeats": op7_repeats, "op8_warc": op8_warc, "op9_packing": op9_packing, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:

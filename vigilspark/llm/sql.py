@@ -51,4 +51,19 @@ SELECT t.id AS doc_id, len(w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_
 FROM tok t LEFT JOIN hit_words h ON h.doc_id = t.id LEFT JOIN hit_items i ON i.doc_id = t.id WHERE kind = 0
 """
 
-ORACLES = {"op3_decontaminate": OP3, "op2_minhash": OP2}
+OP4 = rf"""
+WITH RECURSIVE
+  sound AS (
+    SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+    WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+  links AS (
+    SELECT x.vec_id AS a, y.vec_id AS b FROM sound x JOIN sound y ON x.vec_id <> y.vec_id AND len(x.v) = len(y.v)
+    WHERE list_cosine_similarity(x.v, y.v) >= 0.9),
+  nodes AS (SELECT DISTINCT a AS node FROM links), {_COMPONENTS},
+  components AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node),
+  counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(component_id, vec_id) AS component_id, coalesce(component_id, vec_id) = vec_id AS kept
+FROM embeddings e LEFT JOIN counts ON a = vec_id LEFT JOIN components ON node = vec_id
+"""
+
+ORACLES = {"op4_embeddings": OP4, "op3_decontaminate": OP3, "op2_minhash": OP2}
