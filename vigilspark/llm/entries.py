@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .decontaminate import contamination, is_contaminated
 from .html_text import extracted
+from .language_model import scored as model_scored
+from .licenses import scanned
 from .minhash import near_duplicates
 from .packing import packed
 from .repeats import repeated_bytes
@@ -51,6 +53,16 @@ def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extracted(_table(spark, sf_dir, "pages"), carry=["url"])
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    # documents has no paths: a tree of three levels by source, language and id, in which every fourth file is named as a licence file
+    mark = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    depth = F.when(mark % 3 == 0, F.array("source")).when(mark % 3 == 1, F.array("source", "lang")).otherwise(F.array("source", "lang", F.floor(F.col("doc_id") / 100).cast("string")))
+    name = F.concat(F.when(mark.bitwiseAND(4096 + 8192) == 0, "LICENSE-").otherwise("file-"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    files = docs.withColumn("path", F.concat(F.array_join(depth, "/"), F.lit("/"), name))
+    return scanned(files, carry=["doc_id"]).withColumn("cosine", F.round("cosine", 6))
+
+
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeated_bytes(_table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -71,6 +83,11 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = model_scored(_table(spark, sf_dir, "documents"), training=fold("doc_id", 7) != 2)
+    return out.select(F.col("id").alias("doc_id"), F.coalesce(fold("id", 7) == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -78,7 +95,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_minhash": op2_minhash, "op3_decontaminate": op3_decontaminate, "op4_embeddings": op4_embeddings, "op5_html": op5_html, "op7_repeats": op7_repeats, "op8_warc": op8_warc, "op9_packing": op9_packing, "pipeline": pipeline}
+    return {"op1_toxicity": op1_toxicity, "op2_minhash": op2_minhash, "op3_decontaminate": op3_decontaminate, "op4_embeddings": op4_embeddings, "op5_html": op5_html, "op6_licenses": op6_licenses, "op7_repeats": op7_repeats, "op8_warc": op8_warc, "op9_packing": op9_packing, "op10_language_model": op10_language_model, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
