@@ -37,13 +37,18 @@ _LETTER[65:91] = _LETTER[97:123] = True
 _LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 
 
-def loosened(data: np.ndarray) -> np.ndarray:
-    """The bytes, lower-cased (A-Z), with a space between a letter and a mark after it: fewer distinct chunks, the same ids."""
+#: Stands between texts; no UTF-8 text has this byte.
+_END = b"\xff"
+
+
+def loosened(data: np.ndarray, ends: np.ndarray) -> bytes:
+    """The texts, lower-cased (A-Z), with a space between a letter and a mark after it and a chunk _END after each text: fewer distinct chunks, the same ids."""
     letter = _LETTER[data]
     # the letters of U+00C0 to U+00FF, but for the signs of multiplication and division
     letter[1:] |= (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
     at = np.flatnonzero(_MARK[data[1:]] & letter[:-1]) + 1
-    return np.insert(LOWER[data], at, 32)
+    between = np.repeat(ends, 3)
+    return np.insert(LOWER[data], np.append(at, between), np.append(np.full(len(at), 32, np.uint8), np.tile(np.array([32, 255, 32], np.uint8), len(ends)))).tobytes()
 
 
 class ChunkTokens:
@@ -84,40 +89,45 @@ class ChunkTokens:
     def learn(self, new: list[bytes]) -> None:
         got = self.ids_of(new)
         ends = self.off[self.n] + np.cumsum([len(x) for x in got])
-        while ends[-1] > len(self.flat):
+        while ends[-1] + 1 > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
-        while self.n + len(new) + 1 > len(self.off):
+        while self.n + len(new) + 2 > len(self.off):
             self.off = np.concatenate([self.off, np.zeros(len(self.off), np.int64)])
         self.flat[self.off[self.n] : ends[-1]] = np.concatenate(got)
         self.off[self.n + 1 : self.n + 1 + len(new)] = ends
         self.at.update(zip(new, range(self.n, self.n + len(new)), strict=True))
         self.n += len(new)
 
-    def __call__(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, data: np.ndarray, off: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with ``end`` after it, and the offsets of the texts."""
         if self.n > REMEMBERED:
             self.reset()
-        # special tokens are told by their case, so texts that may hold some stay as they are
-        pieces = [(t if b"<|" in t or len(t) < 2 else loosened(np.frombuffer(t, np.uint8)).tobytes()).split() for t in texts]
-        flat = [x for p in pieces for x in p]
+        raw = data.tobytes()
+        if b"<|" in raw:
+            # special tokens are told by their case, so texts that may hold some stay as they are
+            parts_ = [raw[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+            raw = b"".join(t + b" \xff " if b"<|" in t or len(t) < 2 else loosened(np.frombuffer(t, np.uint8), np.array([len(t)])) for t in parts_)
+        else:
+            raw = loosened(data, off[1:]) if len(data) > 1 else data.tobytes() + b" \xff " * (len(off) - 1)
+        flat = raw.split()
         k = list(map(self.at.get, flat))
         if None in k:
-            new = list(dict.fromkeys(x for x, i in zip(flat, k, strict=True) if i is None))
+            new = dict.fromkeys(x for x, i in zip(flat, k, strict=True) if i is None)
+            new.pop(_END, None)
+            new = list(new)
             for i in range(0, len(new), 20_000):
                 self.learn(new[i : i + 20_000])
+            if _END not in self.at:
+                self.at[_END] = self.n
+                self.flat[self.off[self.n]] = end
+                self.off[self.n + 1] = self.off[self.n] + 1
+                self.n += 1
             k = list(map(self.at.get, flat))
         k = np.array(k, np.int64)
         n = self.off[k + 1] - self.off[k]
         ends = np.cumsum(n)
-        rows = np.cumsum([len(p) for p in pieces])
-        length = np.diff(np.append(0, np.append(0, ends)[rows])) + 1
-        off = np.append(0, np.cumsum(length))
-        out = np.full(off[-1], end, np.uint32)
-        keep = np.ones(off[-1], bool)
-        keep[off[1:] - 1] = False
-        if len(k):
-            out[keep] = self.flat[np.repeat(self.off[k] - (ends - n), n) + np.arange(ends[-1])]
-        return out, off
+        out = self.flat[np.repeat(self.off[k] - (ends - n), n) + np.arange(ends[-1])]
+        return out, np.append(0, ends[k == self.at[_END]])
 
 
 _tokens: dict[str, ChunkTokens] = {}
@@ -137,7 +147,7 @@ def _pieces(path: str, end: int, capacity: int):
             ids_col = batch.column(0)
             data, off = utf8(batch.column(1))
             for i, j in chunks(off, 4 << 20):
-                ids, at = tokens([data[off[x] : off[x + 1]].tobytes() for x in range(i, j)], end)
+                ids, at = tokens(data[off[i] : off[j]], off[i : j + 1] - off[i], end)
                 row, piece, start, length, crc = [], [], [], [], []
                 for r, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
                     for k, x in enumerate(range(a, b, capacity)):
