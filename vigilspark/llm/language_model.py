@@ -31,8 +31,8 @@ BANDS = np.array([1e-6, 1e-5, 1e-4, 1e-3])
 #: Words that describe a document when groups are fitted.
 SIGNS = 64
 END = np.uint64(1)
-#: Tokens that a task scores at once.
-SCORED_TOKENS = 4_000_000
+#: Bytes of text that a task scores at once; one longer document is scored whole.
+SCORED_BYTES = 4_000_000
 
 #: A row of a table of words: hash, count, group.
 _KINDS = ("u8", "i8", "u1")
@@ -372,9 +372,10 @@ def _ask(model, buckets: int):
                     marks = np.array([text_mark(data[off[x] : off[x + 1]].tobytes()) for x in range(i, j)], np.uint16)
                     b = np.repeat(doc_bucket(ids[i:j], marks, buckets), np.diff(at))
                     far = ~_of(m.head, h)[2] & (h != END_KEY)
-                    key = np.unique(np.stack([b[far].astype(np.uint64), h[far]], 1).view("u8,u8"))
-                    held.append((key["f1"].copy(), key["f0"].copy()))
-                    size += len(key)
+                    h, b = h[far], b[far]
+                    _, one = np.unique(h ^ mix(b.astype(np.uint64) + np.uint64(1)), return_index=True)
+                    held.append((h[one], b[one]))
+                    size += len(one)
                     if size > 3_000_000:
                         yield from flush()
                         held, size = [], 0
@@ -434,7 +435,7 @@ def _score(model):
                     table, blobs = tuple(x[order] for x in t), []
                 held.append((i, squeeze.decompress(blob)))
                 size += len(held[-1][1])
-                if size > 4 * SCORED_TOKENS:
+                if size > SCORED_BYTES:
                     yield done(held, table)
                     held, size = [], 0
         if held:
