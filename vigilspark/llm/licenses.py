@@ -50,7 +50,7 @@ def scanned(files: DataFrame, *, path_col: str = "path", text_col: str = "text",
     """One row per file: the columns named in carry, path, own (licence of its best line, or null), cosine, license (own or inherited), origin (own, inherited, none), license_path.
 
     A line's vector has a term's count times its inverse document frequency, which is counted over all files for the terms
-    of the templates and is the greatest possible for all other terms. Lines without a telling term (one of the templates that at most a
+    of the templates; each other word of the line counts as a term of its own with the greatest possible. Lines without a telling term (one of the templates that at most a
     tenth of the files hold) aren't compared. A file's licence is that of the line with the greatest cosine, LEAST at least; ties go to the
     licence that sorts first. A file without one inherits that of the licence file (by name) in the nearest directory on its path to the root, its
     own directory first; of several there, the greatest cosine and then the path that sorts first holds.
@@ -77,11 +77,15 @@ def scanned(files: DataFrame, *, path_col: str = "path", text_col: str = "text",
         weights += [(name, k, t, x / norm) for t, x in sorted(w.items()) if norm > 0]
     own_key = F.xxhash64("path", "__text")
     lines = src.select(own_key.alias("f"), F.posexplode(F.split("__text", "\n")).alias("line", "l"))
-    lines = lines.withColumn("ts", _tokens(F.col("l"))).where(F.arrays_overlap("ts", F.array(*[F.lit(t) for t in telling])) if telling else F.lit(False))
-    terms = lines.select("f", "line", F.explode("ts").alias("t")).groupBy("f", "line", "t").agg(F.count("*").cast("double").alias("n"))
+    lines = lines.withColumn("ts", _tokens(F.col("l"))).where(F.arrays_overlap("ts", F.array(*[F.lit(t) for t in telling])) if telling else F.lit(False)).dropDuplicates(["f", "line"])
+    # words that no template has weigh the most and count one by one; a line that has too many of them can't reach LEAST, so it ends here
+    lines = lines.withColumn("known", F.filter("ts", lambda t: F.array_contains(words, t))).withColumn("other", (F.size("ts") - F.size("known")).cast("double"))
+    greatest = max(idf.values(), default=0.0)
+    lines = lines.where((F.size("known") * F.lit(greatest)) ** 2 >= F.col("other") * F.lit(top * top * LEAST**2 / (1 - LEAST**2) * 0.999999))
+    terms = lines.select("f", "line", "other", F.explode("known").alias("t")).groupBy("f", "line", "other", "t").agg(F.count("*").cast("double").alias("n"))
     if weights:
-        terms = terms.join(F.broadcast(_values(spark, [(t, idf[t]) for t in vocabulary], "t, idf")), "t", "left").withColumn("x", F.col("n") * F.coalesce("idf", F.lit(top)))
-        norms = terms.groupBy("f", "line").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+        terms = terms.join(F.broadcast(_values(spark, [(t, idf[t]) for t in vocabulary], "t, idf")), "t").withColumn("x", F.col("n") * F.col("idf"))
+        norms = terms.groupBy("f", "line", "other").agg(F.sum(F.col("x") * F.col("x")).alias("s")).select("f", "line", F.sqrt(F.col("s") + F.col("other") * F.lit(top * top)).alias("norm"))
         dots = terms.join(F.broadcast(_values(spark, weights, "license, k, t, w")), "t").groupBy("f", "line", "license", "k").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
         cosines = dots.join(norms, ["f", "line"]).select("f", "license", F.round(F.col("dot") / F.col("norm"), 9).alias("cosine")).where(F.col("cosine") >= LEAST)
     else:
