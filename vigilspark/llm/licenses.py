@@ -77,12 +77,14 @@ def scanned(files: DataFrame, *, path_col: str = "path", text_col: str = "text",
         weights += [(name, k, t, x / norm) for t, x in sorted(w.items()) if norm > 0]
     own_key = F.xxhash64("path", "__text")
     lines = src.select(own_key.alias("f"), F.posexplode(F.split("__text", "\n")).alias("line", "l"))
-    lines = lines.withColumn("ts", _tokens(F.col("l"))).where(F.arrays_overlap("ts", F.array(*[F.lit(t) for t in telling])) if telling else F.lit(False)).dropDuplicates(["f", "line"])
+    lines = lines.withColumn("ts", _tokens(F.col("l"))).where(F.arrays_overlap("ts", F.array(*[F.lit(t) for t in telling])) if telling else F.lit(False))
     # words that no template has weigh the most and count one by one; a line that has too many of them can't reach LEAST, so it ends here
     lines = lines.withColumn("known", F.filter("ts", lambda t: F.array_contains(words, t))).withColumn("other", (F.size("ts") - F.size("known")).cast("double"))
     greatest = max(idf.values(), default=0.0)
     lines = lines.where((F.size("known") * F.lit(greatest)) ** 2 >= F.col("other") * F.lit(top * top * LEAST**2 / (1 - LEAST**2) * 0.999999))
-    terms = lines.select("f", "line", "other", F.explode("known").alias("t")).groupBy("f", "line", "other", "t").agg(F.count("*").cast("double").alias("n"))
+    counted = F.transform(F.array_distinct("known"), lambda t: F.struct(t.alias("t"), F.size(F.filter("known", lambda x: x == t)).cast("double").alias("n")))
+    # repeated rows have the same lines
+    terms = lines.select("f", "line", "other", F.explode(counted).alias("c")).select("f", "line", "other", "c.t", "c.n").distinct()
     if weights:
         terms = terms.join(F.broadcast(_values(spark, [(t, idf[t]) for t in vocabulary], "t, idf")), "t").withColumn("x", F.col("n") * F.col("idf"))
         norms = terms.groupBy("f", "line", "other").agg(F.sum(F.col("x") * F.col("x")).alias("s")).select("f", "line", F.sqrt(F.col("s") + F.col("other") * F.lit(top * top)).alias("norm"))
