@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import files, purl, severity, text, versions
-from ..operators import findings, provenance, sca
+from ..operators import findings, provenance, sast, sca
 from ..sources import manifests
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -475,6 +475,43 @@ def llm_prompt(spark, sf):
     return c.select("conv_id", "turn", F.contains("p", F.lit("File: c.py")).alias("named"), (F.octet_length("p") > F.octet_length("text")).alias("longer"))
 
 
+# ---------------------------------------------------------------- syntax rules
+
+
+def _sast(spark, language: str, code: str) -> DataFrame:
+    files_ = spark.createDataFrame([("r", "f", language, code)], "repo string, path string, language string, content string")
+    return sast.scanned(files_).select("rule_id", "severity", "confidence", "cwe", "start_line", "start_column")
+
+
+def _expected(*rows: tuple) -> str:
+    return "SELECT * FROM (VALUES " + ", ".join(str(r) for r in rows) + ") t(rule_id, severity, confidence, cwe, start_line, start_column)"
+
+
+@query(_expected(("python/exec-eval", "critical", "high", "CWE-95", 1, 1), ("python/requests-no-timeout", "medium", "medium", "CWE-400", 2, 5), ("python/debug-true", "medium", "medium", "CWE-489", 3, 1)))
+def sast_py(spark, sf):
+    return _sast(spark, "python", "eval(x)\nr = requests.get(u)\nDEBUG = True\n")
+
+
+@query(_expected(("js/innerhtml", "high", "high", "CWE-79", 1, 1), ("js/sql-concat", "critical", "high", "CWE-89", 2, 1), ("js/regex-dos", "medium", "medium", "CWE-1333", 3, 11)))
+def sast_js(spark, sf):
+    return _sast(spark, "javascript", 'el.innerHTML = x;\ndb.query("SELECT " + a);\nconst r = /(a+)b+/;\n')
+
+
+@query(_expected(("go/unhandled-error", "low", "medium", "CWE-755", 1, 1), ("go/defer-in-loop", "medium", "medium", "CWE-770", 2, 1), ("go/tls-insecure", "high", "high", "CWE-295", 5, 18)))
+def sast_go(spark, sf):
+    return _sast(spark, "go", "_ = f()\nfor i := 0; i < 3; i++ {\n\tdefer g()\n}\nc := &tls.Config{InsecureSkipVerify: true}\n")
+
+
+@query(_expected(("rust/unsafe-block", "medium", "low", "CWE-416", 2, 1), ("rust/raw-pointer-deref", "high", "low", "CWE-476", 2, 10), ("rust/unwrap-panic", "low", "low", "CWE-755", 3, 1)))
+def sast_rust(spark, sf):
+    return _sast(spark, "rust", "// SAFETY: checked\nunsafe { *ptr = 1; }\nx.unwrap();\n")
+
+
+@query("SELECT split_part(id, '/', 1) AS language, count(*) AS n FROM (VALUES ('rust/', 15), ('python/', 12), ('js/', 12), ('go/', 11)) t(id, k), range(15) r(i) WHERE i < k GROUP BY 1")
+def sast_rules(spark, sf):
+    return sast.rules(spark).groupBy("language").agg(F.count("*").alias("n"))
+
+
 # ---------------------------------------------------------------- the scan
 
 

@@ -78,7 +78,7 @@ def source_files(spark, root: str, most_bytes: int = 1 << 20) -> DataFrame:
     from ..functions import files as names
 
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("length") <= most_bytes)
-    base = F.lit(root.rstrip("/") + "/")
+    base = root.rstrip("/") + "/"
     path: Column = F.regexp_replace(F.substring_index("path", base, -1), "^/+", "")
     rows = found.select(path.alias("path"), names.language(F.col("path")).alias("language"), F.col("length").alias("size"), F.try_validate_utf8(F.col("content").cast("string")).alias("content"))
     return rows.where(names.is_supported(F.col("language")) & ~names.is_ignored(F.col("path")))
