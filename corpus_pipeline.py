@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vigilspark.llm.decontaminate import contamination, is_contaminated
+from vigilspark.llm.decontaminate import CONTAMINATED, contamination
 from vigilspark.llm.entries import tokenizer_path, training_labels
 from vigilspark.llm.minhash import near_duplicates
 from vigilspark.llm.packing import packed
@@ -17,10 +17,14 @@ from vigilspark.llm.shared import Scratch
 from vigilspark.llm.toxicity import fitted, scored
 
 
+def _columns(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more go; learned as op1 is, from what is left of the labelled training rows in docs."""
     model = fitted(docs, training_labels(spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return scored(docs, model, carry=docs.columns).where("score < 0.5").select(*[F.col(f"`{c}`") for c in docs.columns[0:]])
+    return scored(docs, model, carry=docs.columns, keep="score < 0.5").select(*_columns(docs))
 
 
 def minhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,20 +35,20 @@ def minhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = near_duplicates(docs.select("doc_id", "text")).where("kept and doc_id is not null").select("doc_id").distinct()
     own = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
     own = own.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where("__n = 1").drop("__n")
-    return own.unionByName(docs.where("doc_id is null")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return own.unionByName(docs.where("doc_id is null")).select(*_columns(docs))
 
 
 def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes under strings of 100 bytes that also start earlier go; every document stays, and n_chars follows its text."""
+    """Bytes under strings of 100 bytes that also start earlier go; every document stays, and n_chars, where it isn't null, is the length of what is left of its text."""
     out = repeated_bytes(docs, texts=True, carry=[c for c in docs.columns if c != "text"])
-    out = out.withColumn("n_chars", F.when(F.col("n_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))) if "n_chars" in docs.columns else out
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long"))) if "n_chars" in docs.columns else out
+    return out.select(*_columns(docs))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are contaminated with the benchmark go."""
-    out = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=docs.columns)
-    return out.where(~is_contaminated()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=docs.columns, keep=f"NOT {CONTAMINATED}")
+    return out.select(*_columns(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .shared import _R, _R_INV, ALNUM_WORD, LOWER, Spans, _powers, carried, chunks, mix, utf8, words
+from .shared import _R, _R_INV, ALNUM_WORD, LOWER, Spans, _powers, carried, chunks, mix, own_columns, utf8, words
 
 #: Bytes of benchmark text in one broadcast block; a larger benchmark is scanned for block by block.
 BLOCK_BYTES = 16_000_000
@@ -108,8 +108,9 @@ def _scan(width: int, blocks: list):
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = 13, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = 13, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", carry: list[str] | None = None, keep: str = "true") -> DataFrame:
     """One row per document: id, n_words, n_hit, items (sorted ids, as strings, of items with windows in it), starts and ends (byte offsets of hit runs of words), then the columns named in carry.
+    Of our columns those are left out whose names are carried. keep is a condition on our columns; other rows go.
 
     Words are runs of digits, letters and non-ASCII characters, lower-cased (A-Z). An item's windows are all of its ``width``
     consecutive words, or the whole of a shorter item. A document's word inside any occurrence of a window is hit.
@@ -131,8 +132,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = 13, id_
         blocks.append(spark.sparkContext.broadcast(window_index([(r.i, r.t) for r in part.toLocalIterator()], width)))
     src, schema, back = carried(docs, id_col, text_col, carry or [])
     out = src.mapInArrow(_scan(width, blocks), "id long, n_words long, n_hit long, items array<string>, starts array<long>, ends array<long>" + schema)
-    return out.select("id", "n_words", "n_hit", "items", "starts", "ends", *back)
+    return out.where(keep).select(*own_columns(["id", "n_words", "n_hit", "items", "starts", "ends"], carry), *back)
 
 
-def is_contaminated() -> F.Column:
-    return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+#: A document with a hit whose hit words are a twentieth of its words at least.
+CONTAMINATED = "(n_hit > 0 AND 20 * n_hit >= n_words)"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .decontaminate import contamination, is_contaminated
+from .decontaminate import CONTAMINATED, contamination
 from .html_text import extracted
 from .language_model import scored as model_scored
 from .licenses import scanned
@@ -42,7 +42,7 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     items = F.sha2(F.array_join("items", ","), 256)
-    return out.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), is_contaminated().alias("contaminated"))
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), F.expr(CONTAMINATED).alias("contaminated"))
 
 
 def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

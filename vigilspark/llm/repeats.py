@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, Spans, carried, chunks, mix, parts, runs, utf8
+from .shared import Scratch, Spans, carried, chunks, mix, own_columns, parts, runs, utf8
 
 GRAM = 28
 #: Runs that a task holds before it collapses and sends them.
@@ -448,6 +448,7 @@ def repeated_bytes(docs: DataFrame, *, width: int = 100, id_col: str = "doc_id",
     further left. Texts are UTF-8 bytes; matches don't cross documents; all strings are judged on the input.
 
     With ``texts`` the rows are id, n_spans and text (what is left; a character of which a part is removed goes), then the columns named in carry.
+    Of id and n_spans those are left out whose names are carried.
     Null texts are empty. A text shorter than ``width`` is kept whole. Rows of one id with different texts are told apart by mark,
     and neither is earlier than the other at the same offset; repeated rows likewise. A row without an id is compared with nothing and kept whole.
     Other columns of docs are ignored.
@@ -469,5 +470,5 @@ def repeated_bytes(docs: DataFrame, *, width: int = 100, id_col: str = "doc_id",
     spans = first.where(f"kind = {SPANS}").unionByName(second)
     joined = met(own.unionByName(apart(spans)))
     if texts:
-        return joined.mapInArrow(_cut_whole(width), "id long, n_spans long, text string" + schema).select("id", "n_spans", "text", *back)
+        return joined.mapInArrow(_cut_whole(width), "id long, n_spans long, text string" + schema).select(*own_columns(["id", "n_spans"], carry), F.col("text").alias(text_col), *back)
     return joined.mapInArrow(_cut_texts(width), "id long, mark int, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>")

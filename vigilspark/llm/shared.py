@@ -65,6 +65,10 @@ def carried(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> tu
     return src, schema, [F.col(names[c]).alias(c) for c in carry]
 
 
+def own_columns(names: list[str], carry: list[str] | None) -> list[str]:
+    return [n for n in names if n not in (carry or [])]
+
+
 # ---------------------------------------------------------------- bytes
 
 

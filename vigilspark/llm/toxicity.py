@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .shared import ALNUM_WORD, LOWER, Spans, carried, chunks, mix, utf8, words
+from .shared import ALNUM_WORD, LOWER, Spans, carried, chunks, mix, own_columns, utf8, words
 
 #: Examples of each class at most (a sample of the labelled training rows, by hash) and terms at most.
 EXAMPLES, TERMS = 2500, 4000
@@ -286,14 +286,16 @@ def fitted(docs: DataFrame, examples: DataFrame, *, id_col: str = "doc_id", text
     return Model(vocabulary, idf, kept, np.array([y for _, _, y in sets], np.int64), [r.id for r in got], totals)
 
 
-def scored(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+def scored(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, keep: str = "true") -> DataFrame:
     """One row per document: id, score (0 to 1), evidence (ids of up to 3 nearest examples), then the columns named in carry.
 
+    Of our columns those are left out whose names are carried. keep is a condition on our columns; other rows go.
+
     A text without known terms, such as an empty or null one, scores as such examples do. Repeated rows and rows without an id are scored each.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     src, schema, back = carried(docs, id_col, text_col, carry or [])
-    return src.mapInArrow(_scores(shared), "id long, score double, evidence array<long>" + schema).select("id", "score", "evidence", *back)
+    return src.mapInArrow(_scores(shared), "id long, score double, evidence array<long>" + schema).where(keep).select(*own_columns(["id", "score", "evidence"], carry), *back)
 
 
 def fold(id_col: str, folds: int) -> F.Column:
