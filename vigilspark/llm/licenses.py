@@ -76,8 +76,8 @@ def scanned(files: DataFrame, *, path_col: str = "path", text_col: str = "text",
         norm = sum(x * x for x in w.values()) ** 0.5
         weights += [(name, k, t, x / norm) for t, x in sorted(w.items()) if norm > 0]
     own_key = F.xxhash64("path", "__text")
-    lines = src.select(own_key.alias("f"), F.posexplode(F.split("__text", "\n")).alias("line", "l"))
-    lines = lines.withColumn("ts", _tokens(F.col("l"))).where(F.arrays_overlap("ts", F.array(*[F.lit(t) for t in telling])) if telling else F.lit(False))
+    lines = src.select(own_key.alias("f"), F.posexplode(F.transform(F.split("__text", "\n"), _tokens)).alias("line", "ts"))
+    lines = lines.where(F.arrays_overlap("ts", F.array(*[F.lit(t) for t in telling])) if telling else F.lit(False))
     # words that no template has weigh the most and count one by one; a line that has too many of them can't reach LEAST, so it ends here
     lines = lines.withColumn("known", F.filter("ts", lambda t: F.array_contains(words, t))).withColumn("other", (F.size("ts") - F.size("known")).cast("double"))
     greatest = max(idf.values(), default=0.0)
