@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import BLANK_WORD, LOWER, Scratch, Spans, chunks, mix, runs, utf8, words
+from .shared import BLANK_WORD, LOWER, Scratch, Spans, chunks, give_back, mix, runs, utf8, words
 
 #: Hashes in a band; the number of bands follows from the threshold.
 ROWS = 5
@@ -85,6 +85,7 @@ def _signatures(bands: int):
                     else:
                         keys.append(None), sigs.append(None), bkeys.append(None)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bkeys, pa.binary())], ["id", "n", "key", "sig", "bands"])
+        give_back()
 
     return run
 
@@ -193,6 +194,7 @@ def _confirmed(num: int, den: int):
             us += u
             vs += v
         yield _edges(us, vs)
+        give_back()
 
     return run
 

@@ -18,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import LOWER, Scratch, chunks, parts, utf8
+from .shared import LOWER, Scratch, chunks, give_back, parts, utf8
 
 CAPACITY = 4096
 #: Rounds of multiplicative weights and the step of each, as a part of the scarcest length of its configuration.
 ROUNDS, STEP, RATE = 200, 0.5, 1.0
 #: Distinct chunks between white space whose ids a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 800_000
 #: Marks before which the tokenizer always cuts a word; a space there changes nothing.
 _MARK = np.zeros(256, bool)
 _MARK[[33, 44, 46, 58, 59, 63]] = True
@@ -155,6 +155,7 @@ def _pieces(path: str, end: int, capacity: int):
                         row.append(i + r), piece.append(k), start.append(x - a), length.append(y - x)
                         crc.append(zlib.crc32(ids[x:y].astype("<u4").tobytes()))
                 yield pa.RecordBatch.from_arrays([ids_col.take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["id", "piece", "start", "length", "crc"])
+        give_back()
 
     return run
 

@@ -24,11 +24,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, Spans, carried, chunks, mix, own_columns, parts, runs, utf8
+from .shared import Scratch, Spans, carried, chunks, give_back, mix, own_columns, parts, runs, utf8
 
 GRAM = 28
 #: Runs that a task holds before it collapses and sends them.
-HELD = 1_500_000
+HELD = 500_000
 #: Classes of one anchor in one task from which on its windows are dealt out one by one.
 HOT = 64
 #: Classes of one anchor over all tasks up to which one task refines them.
@@ -36,7 +36,7 @@ WIDE = 1000
 #: Bytes of text for which there is one bucket.
 BUCKET_BYTES = 16_000_000
 #: Bytes whose suffixes are sorted at once.
-REFINED_BYTES = 4_000_000
+REFINED_BYTES = 1_000_000
 
 _A, _K, _ID, _H, _START, _LEN, _FLAG = "u8", "u8", "i8", "u2", "u4", "u1", "u1"
 RUN = (_A, _K, _ID, _H, _START, _LEN)
@@ -81,6 +81,7 @@ def _rows(rows: Iterator[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
             held, size = [], 0
     if held:
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.int32()), pa.array([x[1] for x in held], pa.int32()), pa.array([x[2] for x in held], pa.binary())], ["bucket", "kind", "blob"])
+    give_back()
 
 
 ROWS = "bucket int, kind int, blob binary"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -163,6 +164,17 @@ class Spans:
         return mix((self.prefix[q:] - self.prefix[:-q]) * self.inverse[: len(self.prefix) - q] + np.uint64(q))
 
 
+# ---------------------------------------------------------------- memory
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system at the end of a task, as a worker lives on for tasks of other operators."""
+    if _trim:
+        _trim(0)
+
+
 # ---------------------------------------------------------------- groups of sorted rows
 
 

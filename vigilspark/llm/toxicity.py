@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .shared import ALNUM_WORD, LOWER, Spans, carried, chunks, mix, own_columns, utf8, words
+from .shared import ALNUM_WORD, LOWER, Spans, carried, chunks, give_back, mix, own_columns, utf8, words
 
 #: Examples of each class at most (a sample of the labelled training rows, by hash) and terms at most.
 EXAMPLES, TERMS = 2500, 4000
@@ -243,6 +243,7 @@ def _scores(model):
                     score.append(told[key][0])
                     evidence.append(told[key][1])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(score, pa.float64()), pa.array(evidence, pa.list_(pa.int64())), *(c.slice(i, j - i) for c in batch.columns[1:])], names=["id", "score", "evidence", *batch.schema.names[1:]])
+        give_back()
 
     return run
 
