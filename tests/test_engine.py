@@ -1,13 +1,14 @@
 import json
+import subprocess
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
 from vigilspark.functions import purl, severity, versions
-from vigilspark.operators import findings
+from vigilspark.operators import cache, findings, review
 from vigilspark.plans import catalogue, scanner
-from vigilspark.sources import manifests
+from vigilspark.sources import git, manifests
 from vigilspark.streaming import files as streaming
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -92,6 +93,8 @@ def test_scan_and_reports(spark, tmp_path):
     doc = json.loads(findings.sarif(report))
     assert doc["version"] == "2.1.0" and len(doc["runs"][0]["results"]) == out.count()
     assert "CRITICAL" in findings.text(report, "r") and "No findings." in findings.text(report.limit(0), "r") and "more" in findings.text(report, "r", 1)
+    assert "Vulnerable dependency: requests 2.31.0 (A-1)" in scanner.report(out, "text", "r") and len(json.loads(scanner.report(out, "json"))) == out.count()
+    assert {r["id"] for r in json.loads(scanner.report(out, "sarif"))["runs"][0]["tool"]["driver"]["rules"]} == {x[1] for x in got}
     assert findings.exit_status(out) == 1 and findings.exit_status(out.limit(0)) == 0
     findings.write_atomic(str(tmp_path / "x.json")[-200:], findings.as_json(out)) if str(tmp_path).count("/") < 7 else None
     with pytest.raises(ValueError):
@@ -112,3 +115,44 @@ def test_stream_counts_secrets(spark, tmp_path):
     q = streaming.secrets_by_repository(streaming.arriving(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert {(r.repo, r.secrets) for r in spark.table("counts").collect()} == {("r", 1), ("q", 0)}
+
+
+def test_review_asks_each_file_and_a_failure_stands_alone(spark):
+    def client():
+        def ask(prompt):
+            if "bad.py" in prompt:
+                raise RuntimeError("down")
+            return '{"vulnerabilities":[{"type":"Xss","severity":"high","description":"d"}]}'
+
+        return ask
+
+    files = spark.createDataFrame([("r", "a.py", "python", "x"), ("r", "bad.py", "python", "x"), ("r", "long.py", "python", "x" * (review.MOST_BYTES + 1))], "repo string, path string, language string, content string")
+    replies = review.asked(files, client)
+    assert {(r.path, r.error) for r in replies.collect()} == {("a.py", None), ("bad.py", "RuntimeError: down")}
+    assert [(r.path, r.rule_id, r.severity) for r in findings.model_findings(replies).collect()] == [("a.py", "ai-xss", "high")]
+
+
+def test_cache_keeps_the_newest_row_until_it_ends(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    row = lambda k, v: spark.createDataFrame([(k, v)], "key string, value string")
+    cache.written(row("a", "old"), path, "scan", "2024-01-01 00:00:00")
+    cache.written(row("a", "new"), path, "scan", "2024-01-01 00:30:00")
+    cache.written(row("b", "x"), path, "vulnerability", "2024-01-01 00:00:00")
+    held = lambda kind, now: [(r.key, r.value) for r in cache.read(spark, path, kind, now).collect()]
+    assert held("scan", "2024-01-01 01:30:00") == [("a", "new")] and held("scan", "2024-01-01 01:30:01") == []
+    assert held("vulnerability", "2024-01-07 00:00:00") == [("b", "x")]
+
+
+def test_changed_paths(spark, tmp_path):
+    run = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=n", "-c", "user.email=e@x", *a], check=True, capture_output=True)
+    run("init", "-q")
+    (tmp_path / "a.py").write_text("1")
+    run("add", ".")
+    run("commit", "-qm", "one")
+    first = git.head(str(tmp_path))
+    assert [r.path for r in git.changed_paths(spark, str(tmp_path)).collect()] == ["a.py"] and git.origin(str(tmp_path)) is None
+    (tmp_path / "b.py").write_text("2")
+    run("add", ".")
+    run("commit", "-qm", "two")
+    assert [r.path for r in git.changed_paths(spark, str(tmp_path)).collect()] == ["b.py"] and git.changed_paths(spark, str(tmp_path), git.head(str(tmp_path))).count() == 0
+    assert first != git.head(str(tmp_path))

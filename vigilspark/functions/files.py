@@ -56,3 +56,10 @@ def target(text: Column, exists: Column) -> Column:
     t = F.trim(text)
     kind = F.when(exists, "local").when(repository(t).isNotNull(), "repository").when(F.startswith(t, F.lit("org:")), "organization").when(F.startswith(t, F.lit("user:")), "user").otherwise("search")
     return F.struct(kind.alias("kind"), F.when(kind == "organization", F.substr(t, F.lit(5))).when(kind == "user", F.substr(t, F.lit(6))).otherwise(t).alias("value"))
+
+
+def release_repository(url: Column) -> Column:
+    """struct(owner, name) of the last two parts of a web or ssh address; null where there aren't two."""
+    t = F.replace(F.regexp_replace(F.regexp_replace(url, "/+$", ""), r"(\.git)+$", ""), F.lit("git@github.com:"), F.lit("https://github.com/"))
+    parts = F.split(t, "/")
+    return F.when(F.size(parts) >= 2, F.struct(F.element_at(parts, -2).alias("owner"), F.element_at(parts, -1).alias("name")))

@@ -122,3 +122,17 @@ def unexpired(rows: DataFrame, now, ttl: str = "ttl_secs") -> DataFrame:
 
 def latest(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.withColumn("r", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("created_at")))).where("r = 1").drop("r")
+
+
+def vulnerable_dependency_title(name, version, id_):
+    return F.concat(F.lit("Vulnerable dependency: "), name, F.lit(" "), version, F.lit(" ("), id_, F.lit(")"))
+
+
+def reportable(found: DataFrame) -> DataFrame:
+    """What a scan gives with all that reports need, filled in where a stream has none. Its order is that of phases, places and rules, so no row is numbered across the table."""
+    have = set(found.columns)
+    old = lambda c, kind: F.col(c) if c in have else F.lit(None).cast(kind)
+    title = F.coalesce(old("title", "string"), F.initcap(F.regexp_replace(F.regexp_replace("rule_id", "^[^/]*/", ""), "-", " ")))
+    out = found.withColumn("title", title).withColumn("description", F.coalesce(old("description", "string"), old("remediation", "string"), title)).withColumn("start_column", F.coalesce(old("start_column", "int"), F.lit(1)))
+    out = out.withColumn("end_line", F.coalesce(old("end_line", "int"), F.col("start_line"))).withColumn("end_column", F.coalesce(old("end_column", "int"), F.col("start_column")))
+    return out.withColumn("ordinal", F.struct("phase", "repo", "file", "start_line", "start_column", "rule_id"))

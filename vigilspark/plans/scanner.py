@@ -50,7 +50,7 @@ def scan(files: DataFrame, config: Config | None = None, *, advisories: DataFram
     code = own.where(F.col("language").isin(list(c.languages)))
     streams = {}
     if c.sast:
-        streams["sast"] = sast.scanned(code, c.snippet_lines).select(*_COLUMNS)
+        streams["sast"] = sast.scanned(code, c.snippet_lines).select(*_COLUMNS, "start_column", "end_line", "end_column", "cwe", "remediation", "snippet")
     if c.secrets:
         streams["secret"] = secrets.scanned(own.select("repo", "path", "language", "content"), c.entropy_threshold).select(*_COLUMNS)
     if c.sca and advisories is not None:
@@ -61,7 +61,7 @@ def scan(files: DataFrame, config: Config | None = None, *, advisories: DataFram
             deps = part if deps is None else deps.unionByName(part)
         hit = sca.affected(deps.withColumn("ecosystem", F.when(F.col("ecosystem") == "Cargo", "crates.io").otherwise(F.lower("ecosystem"))), advisories.withColumn("ecosystem", F.lower("ecosystem")))
         parts = F.split("manifest", "\u0000")
-        streams["sca"] = hit.select(F.get(parts, F.lit(0)).alias("repo"), F.get(parts, F.lit(1)).alias("file"), F.concat(F.lit("sca/"), F.col("id")).alias("rule_id"), "severity", F.lit("high").alias("confidence"), F.lit(0).alias("start_line"), F.lit("sca").alias("category"))
+        streams["sca"] = hit.select(F.get(parts, F.lit(0)).alias("repo"), F.get(parts, F.lit(1)).alias("file"), F.concat(F.lit("sca/"), F.col("id")).alias("rule_id"), "severity", F.lit("high").alias("confidence"), F.lit(0).alias("start_line"), F.lit("sca").alias("category"), findings.vulnerable_dependency_title(F.col("name"), F.col("version"), F.col("id")).alias("title"))
     if c.ai and replies is not None:
         streams["ai"] = findings.model_findings(replies).select(F.lit(None).cast("string").alias("repo"), F.col("path").alias("file"), "rule_id", "severity", "confidence", F.col("line").alias("start_line"), F.lit("sast").alias("category"))
     if c.provenance and attestations is not None:
@@ -75,3 +75,15 @@ def scan(files: DataFrame, config: Config | None = None, *, advisories: DataFram
 def changed(files: DataFrame, cached: DataFrame) -> DataFrame:
     """Files whose content isn't in cached (repo, path, hash); only these need a scan."""
     return files.withColumn("hash", F.sha2("content", 256)).join(cached.select("repo", "path", "hash"), ["repo", "path", "hash"], "left_anti")
+
+
+def verify(crates: DataFrame, statements: DataFrame, entries: DataFrame, cached: DataFrame | None = None) -> DataFrame:
+    """Findings of the provenance of crates (crate, version, checksum, repository); see provenance.verified."""
+    verdicts = provenance.verified(crates, statements, entries, cached)
+    return provenance.findings(verdicts.withColumn("package", F.concat_ws("@", "crate", "version")))
+
+
+def report(found: DataFrame, form: str = "text", repo: str = "", most: int = 0) -> str:
+    """A scan's findings as text, json or sarif."""
+    rows = findings.reportable(found)
+    return {"text": lambda: findings.text(rows, repo, most), "json": lambda: findings.as_json(rows), "sarif": lambda: findings.sarif(rows)}[form]()
