@@ -82,7 +82,7 @@ def test_source_files(spark, tmp_path):
 def test_scan_and_reports(spark, tmp_path):
     files = spark.createDataFrame([("r", "a.py", "eval(x)\npassword = 'hunter2hunter2'\n"), ("r", "requirements.txt", "requests==2.31.0\n"), ("r", "src/tests/b.py", "token = 'ab12cd34ef56gh78'\n")], "repo string, path string, content string")
     known = spark.sql("SELECT 'A-1' AS id, 'PyPI' AS ecosystem, 'requests' AS package, 'critical' AS severity, array(named_struct('introduced', '2.0', 'fixed', '3.0', 'last_affected', CAST(NULL AS STRING))) AS affected_versions")
-    out = scanner.scan(files, advisories=known)
+    out = scanner.scan(files, advisories=known).persist()
     got = {(r.category, r.rule_id, r.file) for r in out.collect()}
     assert ("sast", "python/exec-eval", "a.py") in got and ("secret", "secret/hardcoded-assignment", "a.py") in got and ("sca", "sca/A-1", "requirements.txt") in got
     assert not any(c == "secret" and f.startswith("src/tests") for c, _, f in got)
