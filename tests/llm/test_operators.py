@@ -303,6 +303,16 @@ def test_licences(spark, none):
     assert scanned(none.withColumn("path", F.col("source"))).count() == 0
 
 
+@pytest.mark.parametrize("plain", [0, 1, 5, 20])
+def test_licences_that_many_files_hold(spark, plain):
+    lines = ["Released under the MIT License.", "Licensed under the Apache License, Version 2.0."]
+    for held in lines if plain else lines[:1]:
+        licensed = max(1, plain)
+        rows = [(f"p{i}/x.c", f"{rng_text(i, 9)}\n{held}\nint x;") for i in range(licensed)] + [(f"q{i}/y.c", rng_text(70 + i, 9)) for i in range(plain)]
+        got = {r.path: r.own for r in scanned(spark.createDataFrame(rows, "path string, text string")).collect()}
+        assert got == {p: None if p[0] == "q" else "MIT" if "MIT" in held else "Apache-2.0" for p, _ in rows}
+
+
 def test_licence_cosines_equal_brute_force(spark):
     import math
 

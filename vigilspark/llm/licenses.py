@@ -26,8 +26,10 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
-#: Least cosine of a line to a template, and the part of documents a term may occur in to count as telling.
-LEAST, COMMON = 0.8, 0.1
+#: Least cosine of a line to a template.
+LEAST = 0.8
+#: Prevalence that no longer ends lines (see telling_terms); kept for those who import it.
+COMMON = 0.1
 #: Names of files whose licence holds for their directory.
 LICENCE_FILE = r"(?i)(^|/)(licen[sc]e|copying|notice)[^/]*$"
 _CUT = "[^a-z0-9]+"
@@ -46,12 +48,29 @@ def _values(df_of, rows: list[tuple], names: str) -> DataFrame:
     return df_of.sql(f"SELECT * FROM VALUES {cells} AS t({names})")
 
 
+def telling_terms(weights: list[dict[str, float]]) -> list[str]:
+    """Terms of which a line must hold one to reach LEAST with any of the templates, given as unit vectors, however many files hold them.
+
+    A line's cosine to a template is at most the root of the squared weights of the template's terms in it. So the heaviest
+    terms of each template are taken until all its others together stay under LEAST.
+    """
+    out: set[str] = set()
+    for w in weights:
+        rest = sum(x * x for x in w.values())
+        for t in sorted(w, key=lambda t: (-w[t], t)):
+            if rest < LEAST**2 * 0.999999:
+                break
+            out.add(t)
+            rest -= w[t] ** 2
+    return sorted(out)
+
+
 def scanned(files: DataFrame, *, path_col: str = "path", text_col: str = "text", templates: list[tuple[str, str]] | None = None, carry: list[str] | None = None) -> DataFrame:
     """One row per file: the columns named in carry, path, own (licence of its best line, or null), cosine, license (own or inherited), origin (own, inherited, none), license_path.
 
     A line's vector has a term's count times its inverse document frequency, which is counted over all files for the terms
-    of the templates; each other word of the line counts as a term of its own with the greatest possible. Lines without a telling term (one of the templates that at most a
-    tenth of the files hold) aren't compared. A file's licence is that of the line with the greatest cosine, LEAST at least; ties go to the
+    of the templates and is 1 for one that all files hold; each other word of the line counts as a term of its own with the greatest possible. Only lines that can't reach
+    LEAST (telling_terms and a bound by their other words) aren't compared. A file's licence is that of the line with the greatest cosine, LEAST at least; ties go to the
     licence that sorts first. A file without one inherits that of the licence file (by name) in the nearest directory on its path to the root, its
     own directory first; of several there, the greatest cosine and then the path that sorts first holds.
 
@@ -67,14 +86,15 @@ def scanned(files: DataFrame, *, path_col: str = "path", text_col: str = "text",
     counts = src.select(F.explode(F.concat(F.array(F.lit("")), F.array_intersect(_tokens(F.col("__text")), words))).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
     n = {r.t: r.n for r in counts.collect()}  # as many rows as the templates have terms
     total = n.get("", 0)
-    top = float(math.log(1 + total))
-    idf = {t: math.log((1 + total) / (1 + n.get(t, 0))) for t in vocabulary}
-    telling = [t for t in vocabulary if n.get(t, 0) <= COMMON * total]
-    weights = []
+    top = 1 + float(math.log(1 + total))
+    idf = {t: 1 + math.log((1 + total) / (1 + n.get(t, 0))) for t in vocabulary}
+    weights, vectors = [], []
     for name, k, ts in known:
         w = {t: ts.count(t) * idf[t] for t in set(ts)}
         norm = sum(x * x for x in w.values()) ** 0.5
-        weights += [(name, k, t, x / norm) for t, x in sorted(w.items()) if norm > 0]
+        vectors.append({t: x / norm for t, x in sorted(w.items())})
+        weights += [(name, k, t, x) for t, x in vectors[-1].items()]
+    telling = telling_terms(vectors)
     own_key = F.xxhash64("path", "__text")
     lines = src.select(own_key.alias("f"), F.posexplode(F.transform(F.split("__text", "\n"), _tokens)).alias("line", "ts"))
     lines = lines.where(F.arrays_overlap("ts", F.array(*[F.lit(t) for t in telling])) if telling else F.lit(False))
