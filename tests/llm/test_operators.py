@@ -243,6 +243,23 @@ def test_model_base_scores_and_probabilities(spark, docs, rows, none):
     assert model_scored(docs, training=F.lit(False)).count() == len(rows) + 1
 
 
+def test_network_trains_on_all_documents(spark, monkeypatch):
+    from vigilspark.llm import language_model
+
+    seen, own = [], language_model._train_on_all
+    monkeypatch.setattr(language_model, "_train_on_all", lambda *a: seen.append(own(*a)))
+    # the sample's bound lets no document in; one document is longer than it
+    monkeypatch.setattr(language_model, "TRAIN_TOKENS", 50)
+    docs = spark.createDataFrame([(i, " ".join(["a b c d"] * (3000 if i == 7 else 20)) + f" x{i}") for i in range(90)], "doc_id long, text string")
+    got = {r.id: r for r in model_scored(docs, training=F.col("doc_id") < 80).collect()}
+    want = sum(got[i].n_tokens for i in range(80))
+    assert seen == [want] == [got[0].train_tokens]
+    # and learns from them
+    monkeypatch.setattr(language_model, "ROUNDS", 0)
+    less = {r.id: r.score for r in model_scored(docs, training=F.col("doc_id") < 80).collect()}
+    assert all(got[i].score > less[i] for i in range(80, 90))
+
+
 def test_network_gradients_and_state():
     net = Network(6, 5, units=4)
     net.w = {k: v.astype(np.float64) for k, v in net.w.items()}

@@ -4,8 +4,9 @@ Tokens are words and an end. Their counts, by group of similar training document
 its main group and its band of frequency. Words seen once share a class with all unseen ones. P(token) is P(class | state), from the network, times
 P(token | class), from the counts, so probabilities over the seen tokens and one unseen token sum to 1.
 
-The network reads the commonest words and the classes of others. It is trained on a bounded sample of training documents, on windows of WINDOW
-tokens through which gradients flow, the state going on from window to window. The commonest words' counts are broadcast, a bounded number; those of all others are
+The network reads the commonest words and the classes of others. It begins with a few passes over a bounded sample; then all training documents train it,
+each once, in ROUNDS rounds: every task starts from the weights so far and trains on its documents of the round, and the weights are averaged by tokens.
+Training goes by windows of WINDOW tokens through which gradients flow, the state going on from window to window to a document's end. The commonest words' counts are broadcast, a bounded number; those of all others are
 looked up by shuffle.
 """
 
@@ -22,9 +23,13 @@ from pyspark.sql import functions as F
 from .repeats import BUCKET_BYTES, ROWS, _dealt, _rows, _send_texts, doc_bucket, pack, text_mark, unpack
 from .shared import BLANK_WORD, LOWER, Scratch, Spans, chunks, mix, parts, runs, utf8, words
 
-#: Documents and tokens that the network is trained on, at most, and documents that groups are fitted on.
+#: Documents and tokens of the network's first passes, at most, and documents whose commonest words and centres groups begin with.
 TRAIN_DOCS, TRAIN_TOKENS, GROUP_DOCS = 600, 300_000, 2000
 GROUPS, UNITS, READ, WINDOW, BATCH, PASSES = 8, 24, 512, 32, 32, 4
+#: Rounds that share out all training documents, documents in a batch and rate of the first round, tokens that a task holds to sort by length.
+ROUNDS, ROUND_BATCH, ROUND_RATE, ROUND_TOKENS = 4, 256, 0.002, 1_000_000
+#: Steps by which all training documents move the groups' centres.
+MOVES = 2
 #: Words whose counts are broadcast, and upper bounds of bands of relative frequency.
 HEAD = 50_000
 BANDS = np.array([1e-6, 1e-5, 1e-4, 1e-3])
@@ -51,20 +56,29 @@ def token_hashes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, np.append(0, ends)
 
 
-def grouped(h: np.ndarray, off: np.ndarray, signs: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """The group of each row, by the commonest words in it."""
+def described(h: np.ndarray, off: np.ndarray, signs: np.ndarray) -> np.ndarray:
+    """How often each row has each of the signs, as roots of shares."""
     n = len(off) - 1
-    if not len(signs) or not n:
-        return np.zeros(n, np.int64)
     k = np.searchsorted(signs, h)
     k[k == len(signs)] = 0
     hit = signs[k] == h
     row = np.repeat(np.arange(n), np.diff(off))
     x = np.bincount(row[hit] * len(signs) + k[hit], minlength=n * len(signs)).reshape(n, -1).astype(float)
-    x = np.sqrt(x / np.maximum(1, np.diff(off))[:, None])
+    return np.sqrt(x / np.maximum(1, np.diff(off))[:, None])
+
+
+def _centred(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return ((x[:, None, :] - centres[None]) ** 2).sum(2).argmin(1)
 
 
+def grouped(h: np.ndarray, off: np.ndarray, signs: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The group of each row, by the commonest words in it."""
+    n = len(off) - 1
+    if not len(signs) or not n:
+        return np.zeros(n, np.int64)
+    return _centred(described(h, off, signs), centres)
+
+
 def _fit_groups(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     if not docs:
         return np.zeros(0, np.uint64), np.zeros((1, 0))
@@ -90,6 +104,23 @@ def _fit_groups(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return signs, c
 
 
+def _moves(signs: np.ndarray, centres: np.ndarray):
+    """Sums and numbers of the task's documents by nearest centre."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, n = np.zeros(centres.shape), np.zeros(len(centres))
+        for batch in batches:
+            data, off = utf8(batch.column(0))
+            for i, j in chunks(off):
+                x = described(*token_hashes(data[off[i] : off[j]], off[i : j + 1] - off[i]), signs)
+                g = _centred(x, centres)
+                np.add.at(sums, g, x)
+                n += np.bincount(g, minlength=len(n))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n), pa.array(list(sums), pa.list_(pa.float64()))], ["g", "n", "sums"])
+
+    return run
+
+
 def _count(signs: np.ndarray, centres: np.ndarray, buckets: int):
     """Counts of each word by group of documents, summed in the task, by bucket of words."""
 
@@ -205,6 +236,20 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return x
 
 
+class Adam:
+    def __init__(self, w: dict[str, np.ndarray]):
+        self.moment, self.t = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in w.items()}, 0
+
+    def step(self, w: dict[str, np.ndarray], grads: dict[str, np.ndarray], rate: float) -> None:
+        self.t += 1
+        for k, dv in grads.items():
+            np.clip(dv, -1, 1, out=dv)
+            m, v = self.moment[k]
+            m += 0.1 * (dv - m)
+            v += 0.001 * (dv * dv - v)
+            w[k] -= rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.999**self.t)) + 1e-8)
+
+
 class Network:
     """A gated recurrent unit that reads symbols and gives log-probabilities of classes."""
 
@@ -235,63 +280,68 @@ class Network:
 
     def train(self, streams: list[tuple[np.ndarray, np.ndarray]], passes: int = PASSES, window: int = WINDOW, batch: int = BATCH, rate: float = 0.01) -> list[float]:
         """Adam on windows; streams are (symbols read, classes to tell), one for each document, each from a zero state. Returns the mean loss of each pass."""
-        moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.w.items()}
-        rng, t, losses = np.random.default_rng(7), 0, []
+        adam = Adam(self.w)
+        rng, losses = np.random.default_rng(7), []
         for _ in range(passes):
-            order = rng.permutation(len(streams))
-            # documents of like length share a batch, so that few rows idle
-            order = sorted(order, key=lambda i: len(streams[i][1]) // 64)
-            loss = count = 0.0
-            groups = [order[i : i + batch] for i in range(0, len(order), batch)]
-            for g in rng.permutation(len(groups)):
-                own = [streams[i] for i in groups[g]]
-                longest = max(len(c) for _, c in own)
-                xs, cs = np.zeros((longest, len(own)), np.int64), np.full((longest, len(own)), -1)
-                for k, (x, c) in enumerate(own):
-                    xs[: len(x), k], cs[: len(c), k] = x, c
-                h = np.zeros((len(own), self.units), np.float32)
-                for i in range(0, longest, window):
-                    t += 1
-                    grads, h, own_loss, n = self._window(h, xs[i : i + window], cs[i : i + window])
-                    loss, count = loss + own_loss, count + n
-                    for k, dv in grads.items():
-                        np.clip(dv, -1, 1, out=dv)
-                        m, v = moment[k]
-                        m += 0.1 * (dv - m)
-                        v += 0.001 * (dv * dv - v)
-                        self.w[k] -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-            losses.append(loss / max(1, count))
+            losses.append(self.passed(streams, adam, rng, window, batch, rate))
             rate *= 0.6
         return losses
 
+    def passed(self, streams: list[tuple[np.ndarray, np.ndarray]], adam: Adam, rng: np.random.Generator, window: int, batch: int, rate: float) -> float:
+        """One pass; returns the mean loss. Documents of like length share a batch, and those that have ended leave it."""
+        order = sorted(rng.permutation(len(streams)), key=lambda i: -(len(streams[i][1]) // 64))
+        groups = [sorted(order[i : i + batch], key=lambda i: -len(streams[i][1])) for i in range(0, len(order), batch)]
+        loss = count = 0.0
+        for g in rng.permutation(len(groups)):
+            own = [streams[i] for i in groups[g]]
+            lengths = np.array([len(c) for _, c in own])
+            h = np.zeros((len(own), self.units), self.w["u"].dtype)
+            for i in range(0, int(lengths[0]), window):
+                own = own[: int((lengths > i).sum())]
+                xs, cs = np.zeros((min(window, int(lengths[0]) - i), len(own)), np.int64), np.full((min(window, int(lengths[0]) - i), len(own)), -1)
+                for k, (x, c) in enumerate(own):
+                    part = c[i : i + window]
+                    xs[: len(part), k], cs[: len(part), k] = x[i : i + window], part
+                grads, h, own_loss, n = self._window(h[: len(own)], xs, cs)
+                loss, count = loss + own_loss, count + n
+                adam.step(self.w, grads, rate)
+        return loss / max(1, count)
+
     def _window(self, h: np.ndarray, xs: np.ndarray, cs: np.ndarray):
-        k, kept = self.units, []
-        grads = {n: np.zeros_like(v) for n, v in self.w.items()}
-        loss, total = 0.0, max(1, int((cs >= 0).sum()))
-        for x, c in zip(xs, cs, strict=True):
-            log = self.log_classes(h)
-            on = c >= 0
-            loss -= float(log[on, c[on]].sum())
-            d = np.exp(log)
-            d[np.arange(len(c)), np.maximum(c, 0)] -= 1
-            d[~on] = 0
-            new, z, r, cand, p = self.step(h, x)
-            kept.append((h, x, d / total, z, r, cand, p))
-            h = new
-        back = np.zeros_like(h)
-        u = self.w["u"]
-        for before, x, d, z, r, cand, p in reversed(kept):
-            # through the step from before to after
+        k, kept, before = self.units, [], []
+        total = max(1, int((cs >= 0).sum()))
+        for x in xs:
+            before.append(h)
+            h, *gates = self.step(h, x)
+            kept.append(gates)
+        states = np.concatenate(before)
+        log, c = self.log_classes(states), cs.reshape(-1)
+        on = np.flatnonzero(c >= 0)
+        loss = -float(log[on, c[on]].sum())
+        d = np.zeros_like(log)
+        d[on] = np.exp(log[on])
+        d[on, c[on]] -= 1
+        d /= total
+        grads = {"o": states.T @ d, "b": d.sum(0)}
+        told = (d @ self.w["o"].T).reshape(len(xs), -1, k)
+        back, u = np.zeros_like(h), self.w["u"].T
+        da, dps = np.empty((*xs.shape, 3 * k), h.dtype), np.empty((*xs.shape, 3 * k), h.dtype)
+        for t in range(len(xs) - 1, -1, -1):
+            # through the step from before to after, then the output at before
+            z, r, cand, p = kept[t]
             dc = back * z * (1 - cand * cand)
-            dz = back * (cand - before) * z * (1 - z)
-            dr = dc * p * r * (1 - r)
-            dp = np.concatenate([dz, dr, dc * r], 1)
-            np.add.at(grads["x"], x, np.concatenate([dz, dr, dc], 1))
-            grads["u"] += before.T @ dp
-            # through the output at before
-            grads["o"] += before.T @ d
-            grads["b"] += d.sum(0)
-            back = back * (1 - z) + dp @ u.T + d @ self.w["o"].T
+            da[t, :, :k] = back * (cand - before[t]) * z * (1 - z)
+            da[t, :, k : 2 * k] = dc * p * r * (1 - r)
+            da[t, :, 2 * k :] = dc
+            dps[t] = da[t]
+            dps[t, :, 2 * k :] *= r
+            back = back * (1 - z) + dps[t] @ u + told[t]
+        grads["u"] = states.T @ dps.reshape(-1, 3 * k)
+        x = xs.reshape(-1)
+        order = np.argsort(x, kind="stable")
+        first = np.flatnonzero(np.append(True, np.diff(x[order]) > 0))
+        grads["x"] = np.zeros_like(self.w["x"])
+        grads["x"][x[order][first]] = np.add.reduceat(da.reshape(-1, 3 * k)[order], first, axis=0)
         return grads, h, loss, total
 
     def scores(self, symbols: np.ndarray, told: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -317,6 +367,9 @@ class Model:
     """What a task needs: counts of the commonest words, sums of classes and the network."""
 
     def __init__(self, total: int, distinct: int, unseen: float, once: int, sums: np.ndarray, head: tuple[np.ndarray, ...], read: np.ndarray, network: Network):
+        n, g, _ = _of(head, read)
+        #: the class of each symbol
+        self.told = np.append(np.arange(N_CLASSES), classes(np.where(read == END_KEY, END, read), n, g, total))
         self.total, self.distinct, self.unseen, self.once, self.sums, self.head, self.read, self.network = total, distinct, unseen, once, sums, head, read, network
 
     def within(self, n: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -401,14 +454,16 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _rows(rows())
 
 
-def _score(model):
+def _read(model):
+    """Of each text, what its counts tell and the symbols that the network reads, compressed."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        squeeze = zstandard.ZstdDecompressor()
+        squeeze, small = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
 
         def done(held: list[tuple], table: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-            data = np.frombuffer(b"".join(x for _, x in held), np.uint8)
-            h, off = token_hashes(data, np.cumsum([0, *(len(x) for _, x in held)]))
+            data = np.frombuffer(b"".join(x for _, x, _ in held), np.uint8)
+            h, off = token_hashes(data, np.cumsum([0, *(len(x) for _, x, _ in held)]))
             h &= ~np.uint64(15)
             n, g, there = _of(m.head, h)
             n2, g2, _ = _of(table, h[~there])
@@ -416,12 +471,13 @@ def _score(model):
             c = classes(np.where(h == END_KEY, END, h), n, g, m.total)
             row_sum = lambda x: np.add.reduceat(x, off[:-1])  # noqa: E731  every row has an end
             base = row_sum(np.log10((n + 1) / (m.total + m.distinct + 1)))
-            score = row_sum(m.within(n, c)) + m.network.scores(m.symbols(h, c), c, off) / np.log(10)
-            return pa.RecordBatch.from_arrays([pa.array([i for i, _ in held], pa.int64()), pa.array(np.diff(off)), pa.array(row_sum((n > 0).astype(np.int64))), pa.array(base), pa.array(score)], ["id", "n_tokens", "n_known", "base_score", "score"])
+            symbols = m.symbols(h, c).astype(np.uint16)
+            blobs = [small.compress(symbols[a:b].tobytes()) for a, b in zip(off[:-1], off[1:], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array([i for i, *_ in held], pa.int64()), pa.array([t for _, _, t in held], pa.bool_()), pa.array(np.diff(off)), pa.array(row_sum((n > 0).astype(np.int64))), pa.array(base), pa.array(row_sum(m.within(n, c))), pa.array(blobs, pa.binary())], [x.split()[0] for x in READ_ROWS.split(", ")])
 
         bucket, blobs, table, held, size = None, [], None, [], 0
         for batch in batches:
-            for b, k, blob, i in zip(*(batch.column(x).to_pylist() for x in range(4)), strict=True):
+            for b, k, blob, i, training in zip(*(batch.column(x).to_pylist() for x in range(5)), strict=True):
                 if b != bucket:
                     if held:
                         yield done(held, table)
@@ -433,7 +489,7 @@ def _score(model):
                     t = unpack(blobs, _KINDS)
                     order = np.argsort(t[0])
                     table, blobs = tuple(x[order] for x in t), []
-                held.append((i, squeeze.decompress(blob)))
+                held.append((i, squeeze.decompress(blob), training))
                 size += len(held[-1][1])
                 if size > SCORED_BYTES:
                     yield done(held, table)
@@ -444,6 +500,78 @@ def _score(model):
     return run
 
 
+READ_ROWS = "id long, training boolean, n_tokens long, n_known long, base_score double, within double, symbols binary"
+
+
+def _trained(model, number: int):
+    """The weights after the task's training documents of a round, times their tokens, and the tokens; each document is trained on once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        net = Network(len(m.network.w["x"]), N_CLASSES, m.network.units)
+        net.w = {k: v.copy() for k, v in m.network.w.items()}
+        squeeze, adam, rng = zstandard.ZstdDecompressor(), Adam(net.w), np.random.default_rng(number)
+        held, size, tokens = [], 0, 0
+        rate = ROUND_RATE * 0.6**number
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                x = np.frombuffer(squeeze.decompress(blob), np.uint16)
+                held.append((x, m.told[x]))
+                size, tokens = size + len(x), tokens + len(x)
+                if size > ROUND_TOKENS:
+                    net.passed(held, adam, rng, WINDOW, ROUND_BATCH, rate)
+                    held, size = [], 0
+        if held:
+            net.passed(held, adam, rng, WINDOW, ROUND_BATCH, rate)
+        if tokens:
+            flat = np.concatenate([net.w[k].reshape(-1) for k in sorted(net.w)]).astype(np.float64) * tokens
+            yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([flat.tobytes()], pa.binary())], ["tokens", "w"])
+
+    return run
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tokens, total = 0, None
+    for batch in batches:
+        for n, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            w = np.frombuffer(w)
+            tokens, total = tokens + n, w if total is None else total + w
+    if tokens:
+        yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["tokens", "w"])
+
+
+def _train_on_all(read: DataFrame, model: Model) -> int:
+    """Trains the model's network on all training rows in rounds; returns the tokens trained on."""
+    spark, seen = read.sparkSession, 0
+    for number in range(ROUNDS):
+        own = read.where("training").where(F.pmod(F.xxhash64("id", "symbols"), F.lit(ROUNDS)) == number).select("symbols")
+        shared = spark.sparkContext.broadcast(model)
+        got = own.mapInArrow(_trained(shared, number), "tokens long, w binary").repartition(8).mapInArrow(_summed, "tokens long, w binary").collect()
+        n = sum(r.tokens for r in got)
+        if n:
+            flat, at = sum(np.frombuffer(r.w) for r in got) / n, 0
+            for k in sorted(model.network.w):
+                v = model.network.w[k]
+                model.network.w[k] = flat[at : at + v.size].reshape(v.shape).astype(v.dtype)
+                at += v.size
+        seen += n
+    return seen
+
+
+def _score(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        squeeze = zstandard.ZstdDecompressor()
+        for batch in batches:
+            off = np.append(0, np.cumsum(batch.column(1).to_numpy()))
+            for i, j in chunks(off, SCORED_BYTES // 4):
+                symbols = np.frombuffer(b"".join(squeeze.decompress(x) for x in batch.column(5).slice(i, j - i).to_pylist()), np.uint16)
+                score = batch.column(4).slice(i, j - i).to_numpy() + m.network.scores(symbols, m.told[symbols], off[i : j + 1] - off[i]) / np.log(10)
+                yield pa.RecordBatch.from_arrays([*(batch.column(x).slice(i, j - i) for x in range(4)), pa.array(score)], ["id", "n_tokens", "n_known", "base_score", "score"])
+
+    return run
+
+
 #: The end's hash as it is kept in tables, whose lowest four bits are cut off.
 END_KEY = END & ~np.uint64(15)
 
@@ -468,6 +596,13 @@ def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", t
         b = np.frombuffer((r.text or "").encode(), np.uint8)
         sample.append(token_hashes(b, np.array([0, len(b)]))[0])
     signs, centres = _fit_groups(sample)
+    for _ in range(MOVES if len(signs) else 0):
+        moved = learn.select("text").mapInArrow(_moves(signs, centres), "g long, n double, sums array<double>").collect()  # a row of each group from each task
+        sums, n = np.zeros(centres.shape), np.zeros(len(centres))
+        for r in moved:
+            sums[r.g] += r.sums
+            n[r.g] += r.n
+        centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
 
     table = scratch.cut(met(learn.select("text").mapInArrow(_count(signs, centres, buckets), ROWS)).mapInArrow(_table, ROWS), "words")
     steps = table.mapInArrow(_numbers, "step long, words long, tokens long").groupBy("step").agg(F.sum("words").alias("words"), F.sum("tokens").alias("tokens")).orderBy(F.desc("step")).collect()
@@ -486,8 +621,8 @@ def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", t
     sums = np.zeros(N_CLASSES)
     for r in table.mapInArrow(_by_class(total), "c long, tokens long").groupBy("c").agg(F.sum("tokens").alias("n")).collect():
         sums[r.c] = r.n
-    read = np.sort(head[0][np.argsort(-head[1], kind="stable")[:READ]])
-    model = Model(total, distinct, (once + 1) / (once + 2 * twice + 2), once, sums, head, read, Network(N_CLASSES + len(read), N_CLASSES))
+    common = np.sort(head[0][np.argsort(-head[1], kind="stable")[:READ]])
+    model = Model(total, distinct, (once + 1) / (once + 2 * twice + 2), once, sums, head, common, Network(N_CLASSES + len(common), N_CLASSES))
 
     chosen = []
     for d in sample[:TRAIN_DOCS]:
@@ -505,9 +640,13 @@ def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", t
         model.network.train(streams)
     shared = spark.sparkContext.broadcast(model)
 
-    texts = rows.select("id", "text").mapInArrow(_send_texts(buckets), ROWS + ", id long")
+    texts = rows.select("id", "text", "training").mapInArrow(_send_texts(buckets), ROWS + ", id long, training boolean")
     asked = rows.select("id", "text").mapInArrow(_ask(shared, buckets), ROWS)
     replies = met(table.unionByName(asked)).mapInArrow(_answer, ROWS)
-    both = met(texts.unionByName(replies.select("bucket", "kind", "blob", F.lit(None).cast("long").alias("id"))))
-    out = both.mapInArrow(_score(shared), "id long, n_tokens long, n_known long, base_score double, score double")
+    both = met(texts.unionByName(replies.select("bucket", "kind", "blob", F.lit(None).cast("long").alias("id"), F.lit(None).cast("boolean").alias("training"))))
+    read = scratch.cut(both.mapInArrow(_read(shared), READ_ROWS), "symbols")
+    if total:
+        _train_on_all(read, model)
+    trained = spark.sparkContext.broadcast(model)
+    out = read.select("id", "n_tokens", "n_known", "base_score", "within", "symbols").mapInArrow(_score(trained), "id long, n_tokens long, n_known long, base_score double, score double")
     return out.select("id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
