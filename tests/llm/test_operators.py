@@ -302,6 +302,15 @@ def test_toxicity_learns_and_takes_odd_rows(spark, none):
     assert {r.score for r in scored(docs, fitted(docs, labels.where("label = 5"))).collect()} == {0.0}
 
 
+def test_toxicity_learns_words_of_few_examples(spark):
+    bad = ["vile", "grim", "foul", "base", "rank"]
+    texts = [rng_text(i, 30, 60) for i in range(80)] + [rng_text(500 + i, 30, 60) + " " + bad[i % 5] for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 80)) for i in range(120) if i < 60 or 80 <= i < 100], "id long, label int")
+    got = {r.id: r.score for r in scored(docs, fitted(docs, labels)).collect()}
+    assert all((got[i] >= 0.5) == (i >= 80) for i in range(120))
+
+
 def test_held_out_toxicity(spark):
     got = entries.op1_toxicity(spark, "/root/testdata/sf0.1").where("held_out").select("doc_id", "predicted", "score")
     r = got.join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").collect()

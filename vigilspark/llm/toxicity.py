@@ -1,7 +1,7 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine from a block-max inverted index, distance-weighted calibrated votes.
 
-A bounded sample of labelled training rows gives the examples and the terms (words and their beginnings whose document counts differ
-clearly between the classes). Inverse document frequencies are counted over all documents. The index keeps, for each term, its
+A bounded sample of labelled training rows gives the examples and the terms (words and their beginnings that are several times
+as frequent among the documents of one class as among those of the other). Inverse document frequencies are counted over all documents. The index keeps, for each term, its
 postings by block of examples and the greatest weight in each block; a search visits blocks in the order of their upper
 bounds and ends when no bound exceeds the k-th best cosine, so its neighbours are exact.
 """
@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 from ..session import ship
 from .shared import ALNUM_WORD, LOWER, Spans, carried, chunks, give_back, mix, own_columns, utf8, words
 
-#: Examples of each class at most (a sample of the labelled training rows, by hash) and terms at most.
-EXAMPLES, TERMS = 2500, 4000
-#: Least log-likelihood ratio of a term between the classes.
-CLEAR = 20.0
+#: Examples of each class at most (a sample of the labelled training rows, by hash).
+EXAMPLES = 2500
+#: Least ratio of a term's shares of documents between the classes, and least documents; neither grows with the number of labels.
+RATIO, SUPPORT = 5.0, 3
 NEIGHBOURS, BLOCK = 15, 64
 #: Beginnings of words, in bytes, that are terms beside the words.
 BEGINNINGS = (4, 5, 6)
@@ -86,7 +86,7 @@ class Vocabulary:
 
 
 def chosen(examples: list[tuple[np.ndarray, int]]) -> np.ndarray:
-    """Hashes of the terms that tell the classes apart, by the log-likelihood ratio of their document counts."""
+    """Hashes of the terms that tell the classes apart, by the ratio of their smoothed shares of documents."""
     sides = []
     for y in (0, 1):
         own = [t for t, label in examples if label == y]
@@ -99,14 +99,8 @@ def chosen(examples: list[tuple[np.ndarray, int]]) -> np.ndarray:
     a, b = np.zeros(len(u)), np.zeros(len(u))
     a[np.searchsorted(u, u1)], b[np.searchsorted(u, u0)] = n1, n0
 
-    def part(x: np.ndarray, expected: np.ndarray) -> np.ndarray:
-        return np.where(x > 0, x * np.log(np.maximum(x, 1e-9) / np.maximum(expected, 1e-9)), 0)
-
-    p = (a + b) / (m0 + m1)
-    g = 2 * (part(a, p * m1) + part(m1 - a, (1 - p) * m1) + part(b, p * m0) + part(m0 - b, (1 - p) * m0))
-    keep = np.flatnonzero(g >= CLEAR)
-    keep = keep[np.argsort(-g[keep], kind="stable")][:TERMS]
-    return np.sort(u[keep])
+    lift = np.log((a + 0.5) / (m1 + 1)) - np.log((b + 0.5) / (m0 + 1))
+    return u[(np.abs(lift) >= np.log(RATIO)) & (a + b >= SUPPORT)]
 
 
 class BlockMax:
@@ -129,25 +123,27 @@ class BlockMax:
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of greatest cosine above 0, and the cosines; ties by position."""
         bound = weight @ self.bound[term]
-        found_i, found_c, least = [], [], 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (bound[b] < least - 1e-12):
-                break
-            score = np.zeros(BLOCK)
-            for t, w in zip(term.tolist(), weight.tolist(), strict=True):
-                x, y = self.at[t * self.blocks + b], self.at[t * self.blocks + b + 1]
-                score[self.example[x:y] - b * BLOCK] += w * self.weight[x:y]
-            if 0 <= without - b * BLOCK < BLOCK:
-                score[without - b * BLOCK] = 0
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        found_i, found_c, least, at, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, 2
+        while at < len(order) and bound[order[at]] >= least - 1e-12:
+            # a few blocks at once, more each time
+            b = order[at : at + step]
+            key = (term[:, None] * self.blocks + b[bound[b] >= least - 1e-12]).reshape(-1)
+            x = self.at[key]
+            n = self.at[key + 1] - x
+            post = np.repeat(x - np.cumsum(n) + n, n) + np.arange(n.sum())
+            score = np.bincount(self.example[post], np.repeat(np.repeat(weight, len(key) // len(term)), n) * self.weight[post], minlength=self.n)
+            if without >= 0:
+                score[without] = 0
             some = np.flatnonzero(score > max(0.0, least - 1e-12))
-            found_i += (some + b * BLOCK).tolist()
-            found_c += score[some].tolist()
-            if len(found_c) >= k:
-                best = np.lexsort((found_i, -np.array(found_c)))[:k]
-                found_i, found_c = [found_i[x] for x in best], [found_c[x] for x in best]
+            found_i, found_c = np.append(found_i, some), np.append(found_c, score[some])
+            best = np.lexsort((found_i, -found_c))[:k]
+            found_i, found_c = found_i[best], found_c[best]
+            if len(found_c) == k:
                 least = found_c[-1]
-        best = np.lexsort((found_i, -np.array(found_c))) if found_i else []
-        return np.array([found_i[x] for x in best], np.int64), np.array([found_c[x] for x in best])
+            at, step = at + step, step * 2
+        return found_i, found_c
 
 
 class Model:
