@@ -339,6 +339,15 @@ def test_licences_that_many_files_hold(spark, plain):
         assert got == {p: None if p[0] == "q" else "MIT" if "MIT" in held else "Apache-2.0" for p, _ in rows}
 
 
+@pytest.mark.parametrize("n", [100, 30000])
+def test_licence_line_with_a_common_word_more(spark, n):
+    lines = {"a/x.c": "some Licensed under the Apache License, Version 2.0."}
+    rows = spark.createDataFrame(list(lines.items()), "path string, text string").unionByName(spark.range(n).select(F.concat(F.lit("b/"), "id").alias("path"), F.lit("some file of code").alias("text")))
+    got = {r.path: (r.own, r.cosine) for r in scanned(rows).where("own is not null").collect()}
+    w = 1 + np.log((n + 2) / 2)
+    assert got == {"a/x.c": ("Apache-2.0", pytest.approx((8 * w * w / (8 * w * w + 1)) ** 0.5, abs=1e-8))}
+
+
 def test_licence_cosines_equal_brute_force(spark):
     import math
 

@@ -8,6 +8,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import Scratch
+
 #: Public licence identifiers and the statements by which files refer to them.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -43,9 +45,14 @@ def _tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), _CUT), "")
 
 
-def _values(df_of, rows: list[tuple], names: str) -> DataFrame:
-    cells = ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else f"CAST({x!r} AS DOUBLE)" for x in r) + ")" for r in rows)
-    return df_of.sql(f"SELECT * FROM VALUES {cells} AS t({names})")
+def _map(values: dict[str, float]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+
+
+def _dot(values: dict[str, float]) -> Column:
+    """The sum of the values of the column known."""
+    part = _map(values)
+    return F.aggregate("known", F.lit(0.0), lambda a, t: a + F.coalesce(F.try_element_at(part, t), F.lit(0.0)))
 
 
 def telling_terms(weights: list[dict[str, float]]) -> list[str]:
@@ -65,12 +72,11 @@ def telling_terms(weights: list[dict[str, float]]) -> list[str]:
     return sorted(out)
 
 
-def scanned(files: DataFrame, *, path_col: str = "path", text_col: str = "text", templates: list[tuple[str, str]] | None = None, carry: list[str] | None = None) -> DataFrame:
+def scanned(files: DataFrame, *, path_col: str = "path", text_col: str = "text", templates: list[tuple[str, str]] | None = None, carry: list[str] | None = None, scratch: Scratch | None = None) -> DataFrame:
     """One row per file: the columns named in carry, path, own (licence of its best line, or null), cosine, license (own or inherited), origin (own, inherited, none), license_path.
 
-    A line's vector has a term's count times its inverse document frequency, which is counted over all files for the terms
-    of the templates and is 1 for one that all files hold; each other word of the line counts as a term of its own with the greatest possible. Only lines that can't reach
-    LEAST (telling_terms and a bound by their other words) aren't compared. A file's licence is that of the line with the greatest cosine, LEAST at least; ties go to the
+    A line's vector has a term's count times its inverse document frequency, counted over all files and 1 for a term that all files hold. Only
+    lines that can't reach LEAST even if all files held their words outside the templates (telling_terms, then the cosine under that bound) end before those words are counted. A file's licence is that of the line with the greatest cosine, LEAST at least; ties go to the
     licence that sorts first. A file without one inherits that of the licence file (by name) in the nearest directory on its path to the root, its
     own directory first; of several there, the greatest cosine and then the path that sorts first holds.
 
@@ -86,32 +92,39 @@ def scanned(files: DataFrame, *, path_col: str = "path", text_col: str = "text",
     counts = src.select(F.explode(F.concat(F.array(F.lit("")), F.array_intersect(_tokens(F.col("__text")), words))).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
     n = {r.t: r.n for r in counts.collect()}  # as many rows as the templates have terms
     total = n.get("", 0)
-    top = 1 + float(math.log(1 + total))
     idf = {t: 1 + math.log((1 + total) / (1 + n.get(t, 0))) for t in vocabulary}
-    weights, vectors = [], []
+    vectors = []
     for name, k, ts in known:
         w = {t: ts.count(t) * idf[t] for t in set(ts)}
         norm = sum(x * x for x in w.values()) ** 0.5
         vectors.append({t: x / norm for t, x in sorted(w.items())})
-        weights += [(name, k, t, x) for t, x in vectors[-1].items()]
     telling = telling_terms(vectors)
     own_key = F.xxhash64("path", "__text")
     lines = src.select(own_key.alias("f"), F.posexplode(F.transform(F.split("__text", "\n"), _tokens)).alias("line", "ts"))
     lines = lines.where(F.arrays_overlap("ts", F.array(*[F.lit(t) for t in telling])) if telling else F.lit(False))
-    # words that no template has weigh the most and count one by one; a line that has too many of them can't reach LEAST, so it ends here
-    lines = lines.withColumn("known", F.filter("ts", lambda t: F.array_contains(words, t))).withColumn("other", (F.size("ts") - F.size("known")).cast("double"))
-    greatest = max(idf.values(), default=0.0)
-    lines = lines.where((F.size("known") * F.lit(greatest)) ** 2 >= F.col("other") * F.lit(top * top * LEAST**2 / (1 - LEAST**2) * 0.999999))
-    counted = F.transform(F.array_distinct("known"), lambda t: F.struct(t.alias("t"), F.size(F.filter("known", lambda x: x == t)).cast("double").alias("n")))
-    # repeated rows have the same lines
-    terms = lines.select("f", "line", "other", F.explode(counted).alias("c")).select("f", "line", "other", "c.t", "c.n").distinct()
-    if weights:
-        terms = terms.join(F.broadcast(_values(spark, [(t, idf[t]) for t in vocabulary], "t, idf")), "t").withColumn("x", F.col("n") * F.col("idf"))
-        norms = terms.groupBy("f", "line", "other").agg(F.sum(F.col("x") * F.col("x")).alias("s")).select("f", "line", F.sqrt(F.col("s") + F.col("other") * F.lit(top * top)).alias("norm"))
-        dots = terms.join(F.broadcast(_values(spark, weights, "license, k, t, w")), "t").groupBy("f", "line", "license", "k").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
-        cosines = dots.join(norms, ["f", "line"]).select("f", "license", F.round(F.col("dot") / F.col("norm"), 9).alias("cosine")).where(F.col("cosine") >= LEAST)
-    else:
-        cosines = terms.select("f", F.lit("").alias("license"), F.lit(0.0).alias("cosine")).where("false")
+    lines = lines.withColumn("known", F.filter("ts", lambda t: F.array_contains(words, t))).withColumn("others", F.filter("ts", lambda t: ~F.array_contains(words, t)))
+    # each other word weighs 1 at least, so these are bounds
+    weight = _map({t: x * x for t, x in idf.items()})
+    lines = lines.withColumn("s", F.aggregate(F.array_distinct("known"), F.lit(0.0), lambda a, t: a + weight[t] * F.pow(F.size(F.filter("known", lambda x: x == t)), F.lit(2.0))))
+    dots = []
+    for (name, _, _), w in zip(known, vectors, strict=True):
+        dots.append(F.struct(F.lit(name).alias("license"), _dot({t: x * idf[t] for t, x in w.items()}).alias("dot")))
+    norm = F.sqrt(F.col("s") + F.size("others"))
+    lines = lines.withColumn("dots", F.array(*dots)).withColumn("dots", F.filter("dots", lambda d: d["dot"] >= norm * F.lit(LEAST * 0.999999))).where(F.size("dots") > 0)
+    # equal lines of files and of repeated rows are compared once
+    scratch = scratch or Scratch(spark, "licenses")
+    lines = lines.select("f", F.array_join("ts", " ").alias("line"), "s", "others", "dots").dropDuplicates(["f", "line"])
+    lines = scratch.cut(lines, "lines")
+    alike = lines.groupBy("line").agg(F.first("s").alias("s"), F.first("others").alias("others"), F.first("dots").alias("dots"))
+    others = alike.select("line", F.explode("others").alias("t")).groupBy("line", "t").agg(F.count("*").cast("double").alias("n"))
+    held = src.select(F.explode(F.array_distinct(_tokens(F.col("__text")))).alias("t")).groupBy("t").agg(F.count("*").alias("df"))
+    held = held.join(others.select("t").distinct(), "t", "left_semi")
+    idf_of = 1 + F.log(F.lit(1.0 + total) / (1 + F.col("df")))
+    norms = others.join(held, "t").groupBy("line").agg(F.sum(F.pow(F.col("n") * idf_of, F.lit(2.0))).alias("o"))
+    norm = F.sqrt(F.col("s") + F.coalesce("o", F.lit(0.0)))
+    reached = alike.join(norms, "line", "left").select("line", F.filter(F.transform("dots", lambda d: F.struct((-F.round(d["dot"] / norm, 9)).alias("c"), d["license"].alias("license"))), lambda d: d["c"] <= -LEAST).alias("cs"))
+    reached = reached.where(F.size("cs") > 0).select("line", F.array_min("cs").alias("b"))
+    cosines = lines.select("f", "line").join(reached, "line").select("f", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"))
     best = cosines.groupBy("f").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("b")).select("f", F.col("b.license").alias("own"), (-F.col("b.c")).alias("cosine"))
     told = src.withColumn("f", own_key).drop("__text").join(best, "f", "left").drop("f").withColumn("dir", F.regexp_replace("path", "[^/]*$", ""))
 
