@@ -181,6 +181,12 @@ def test_warc_round_trip(spark, tmp_path):
     assert {(dict(h)["WARC-Record-ID"], b) for h, b in back} == {(r.record_id, r.block.encode()) for r in got}
 
 
+def test_conversions_keep_the_whole_text():
+    page = "<html><head><title>T</title><style>s{}</style><script>x()</script></head><body class='widget'><nav><a>menu</a></nav><form><p>in form</p><button>go</button></form><div class='ad comment'>said</div><!-- no --><template><p>t</p></template><footer>foot</footer></body></html>"
+    (_, _), (headers, block) = derived(*response("http://x", page, "2020-01-01T00:00:00Z"))
+    assert block.decode().split() == ["T", "menu", "in", "form", "go", "said", "foot"] and dict(headers)["WARC-Block-Digest"] == digest(block)
+
+
 def test_warc_query_links_both_records(spark):
     got = entries.op8_warc(spark, "/root/testdata/sf0.001").collect()
     pages = pq.read_table("/root/testdata/sf0.001/pages.parquet")

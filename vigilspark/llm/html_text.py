@@ -125,25 +125,20 @@ def content_lines(ratio: np.ndarray) -> np.ndarray:
     return s >= (cut if len(lo) and s[s >= cut].mean() > 2 * lo.mean() else -1)
 
 
-def parsed(html: str) -> Lines:
-    p = Lines()
+def parsed(html: str, kind: type[Lines] = Lines) -> Lines:
+    p = kind()
     try:
         p.feed(html)
         p.close()
     except AssertionError:
         # a declaration that the parser gives up on is text
-        p = Lines()
+        p = kind()
         p.feed(html.replace("<![", "&lt;!["))
         p.close()
     p.flush()
     return p
 
 
-def visible_text(html: str | None) -> str:
-    """All lines outside of dropped elements."""
-    return "\n\n".join(t for t, _, _ in parsed(html).lines) if html else ""
-
-
 def main_text(html: str | None) -> str:
     """The lines of content regions, joined by blank lines.
 

@@ -13,11 +13,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .html_text import visible_text
+from .html_text import Lines, parsed
 
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 
+class Whole(Lines):
+    """All lines of a page: nothing goes but scripts, styles, templates and comments."""
+
+    def is_dropped(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+        return tag in ("script", "style", "template")
+
+
+def plain_text(html: str) -> str:
+    """The text of a whole page, white space collapsed, lines joined by blank lines."""
+    return "\n\n".join(t for t, _, _ in parsed(html, Whole).lines) if html else ""
+
+
 def digest(block: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
 
@@ -75,7 +87,7 @@ def derived(headers: list[tuple[str, str]], block: bytes) -> list[tuple[list[tup
         return []
     source, uri, date = h.get("warc-record-id", ""), h.get("warc-target-uri", ""), h.get("warc-date", "")
     http, body = http_parts(block)
-    text = visible_text(body.decode("utf-8", "replace")).encode()
+    text = plain_text(body.decode("utf-8", "replace")).encode()
     conversion_id, metadata_id = record_id("conversion", source), record_id("metadata", source)
     fields = [*(f"source-{k.lower()}: {v}" for k, v in headers), *(f"http-{x}" for x in http), f"source-payload-length: {len(body)}", f"conversion-record: {conversion_id}", f"conversion-block-digest: {digest(text)}", f"conversion-length: {len(text)}"]
     meta = "".join(f"{' '.join(x.split())}\r\n" for x in fields).encode()
