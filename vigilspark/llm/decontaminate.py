@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .shared import _R, _R_INV, ALNUM_WORD, LOWER, Spans, _powers, carried, chunks, mix, own_columns, utf8, words
+from .shared import _R, _R_INV, ALNUM_WORD, LOWER, _powers, carried, chunks, mix, own_columns, utf8, word_hashes, words
 
 #: Bytes of benchmark text in one broadcast block; a larger benchmark is scanned for block by block.
 BLOCK_BYTES = 16_000_000
@@ -29,7 +29,7 @@ def _window_hashes(word_hashes: np.ndarray, length: int) -> np.ndarray:
 def _word_lists(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     buf = LOWER[data[off[0] : off[-1]]]
     s, e, at = words(buf, off - off[0], ALNUM_WORD)
-    return buf, s, e, at, Spans(buf).of(s, e) if len(s) else np.zeros(0, np.uint64)
+    return buf, s, e, at, word_hashes(buf, s, e) if len(s) else np.zeros(0, np.uint64)
 
 
 def window_index(items: list[tuple[str | None, str | None]], width: int) -> dict:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .repeats import BUCKET_BYTES, ROWS, _dealt, _rows, _send_texts, doc_bucket, pack, text_mark, unpack
-from .shared import BLANK_WORD, LOWER, Scratch, Spans, chunks, mix, parts, runs, utf8, words
+from .shared import BLANK_WORD, LOWER, Scratch, chunks, mix, parts, runs, utf8, word_hashes, words
 
 #: Documents and tokens of the network's first passes, at most, and documents whose commonest words and centres groups begin with.
 TRAIN_DOCS, TRAIN_TOKENS, GROUP_DOCS = 600, 300_000, 2000
@@ -47,7 +47,7 @@ def token_hashes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """Hashes of the words of each row with END after them, and the offsets of rows."""
     buf = LOWER[buf]
     s, e, at = words(buf, off, BLANK_WORD)
-    own = np.maximum(Spans(buf).of(s, e), np.uint64(16)) if len(s) else np.zeros(0, np.uint64)
+    own = np.maximum(word_hashes(buf, s, e), np.uint64(16)) if len(s) else np.zeros(0, np.uint64)
     ends = at[1:] + np.arange(1, len(off))
     out = np.full(len(own) + len(off) - 1, END, np.uint64)
     keep = np.ones(len(out), bool)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import BLANK_WORD, LOWER, Scratch, Spans, chunks, give_back, mix, runs, utf8, words
+from .shared import BLANK_WORD, LOWER, Scratch, chunks, give_back, mix, runs, utf8, word_hashes, words
 
 #: Hashes in a band; the number of bands follows from the threshold.
 ROWS = 5
@@ -36,7 +36,7 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, size: int = 5) -> list[np.nda
     out: list[np.ndarray] = []
     if not len(s):
         return [np.zeros(0, np.uint64)] * (len(off) - 1)
-    h = Spans(buf).of(s, e)
+    h = word_hashes(buf, s, e)
     steps = np.resize(_STEP, size) + np.arange(size, dtype=np.uint64) * np.uint64(2)
     full = sum((h[k : len(h) - size + 1 + k] * steps[k] for k in range(size)), np.zeros(max(0, len(h) - size + 1), np.uint64)) if len(h) >= size else np.zeros(0, np.uint64)
     full = mix(full + np.uint64(size))

@@ -10,6 +10,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,9 +24,11 @@ CHUNK_BYTES = 1 << 20
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a local one of our own only where none is set, as in tests."""
+    """The shared folder of the cluster; a local one of our own only where none is set and all tasks run in this machine's one process, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="vigilspark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -148,17 +151,85 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def word_hashes(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Hashes of words, eight bytes at a time, each step mixed before the next, so that no pattern of bytes cancels out.
+
+    Words of over _LONG bytes, of which there are few, are hashed one by one.
+    """
+    n = e - s
+    h = mix(n.astype(np.uint64) * np.uint64(_R) + np.uint64(0x2545F4914F6CDD1D))
+    if not len(s):
+        return h
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    lanes = np.ndarray(len(buf) + 1, "<u8", padded, 0, (1,))
+    on = np.arange(len(s)) if n.max() <= _LONG else np.flatnonzero(n <= _LONG)
+    at, left = s[on], n[on]
+    while len(on):
+        h[on] = mix((h[on] ^ (lanes[at] & _MASKS[np.minimum(left, 8)])) * np.uint64(_R))
+        more = left > 8
+        on, at, left = on[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(n > _LONG).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(buf[s[i] : e[i]].tobytes())
+    return h
+
+
+_LONG = 256
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: A Mersenne prime, and two bases of the polynomials modulo it.
+_P = np.uint64(2**31 - 1)
+_BASES = (1_103_515_245, 1_812_433_253)
+
+
+def _residues(x: np.ndarray) -> np.ndarray:
+    x = (x & _P) + (x >> np.uint64(31))
+    x = (x & _P) + (x >> np.uint64(31))
+    x[x >= _P] -= _P
+    return x
+
+
+def _prime_powers(base: int, n: int) -> np.ndarray:
+    have = _pow.get(-base)
+    if have is None or len(have) < n:
+        size = max(n, CHUNK_BYTES + 4096)
+        have = np.ones(size, np.uint64)
+        k, step = 1, base
+        while k < size:
+            m = min(k, size - k)
+            have[k : k + m] = _residues(have[:m] * np.uint64(step))
+            step, k = step * step % int(_P), k * 2
+        if size <= 16 * CHUNK_BYTES:
+            _pow[-base] = have
+    return have[:n]
+
+
 class Spans:
-    """Hashes of any spans of a buffer, from one pass of prefix sums modulo 2**64."""
+    """Hashes of any spans of a buffer, from passes of prefix sums.
+
+    ``grams`` is a polynomial modulo 2**64, for short strings. ``of`` adds to it two polynomials modulo a prime, which patterns of
+    bytes that cancel modulo powers of two don't touch.
+    """
 
     def __init__(self, buf: np.ndarray):
         n = len(buf)
         self.prefix = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE[buf] * _powers(_R, n), out=self.prefix[1:])
         self.inverse = _powers(_R_INV, n + 1)
+        self.buf, self.primes = buf, None
 
     def of(self, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-        return mix((self.prefix[e] - self.prefix[s]) * self.inverse[s] + (e - s).astype(np.uint64))
+        if self.primes is None:
+            self.primes = []
+            for base in _BASES:
+                # below 2**39 each, so sums over 2**24 bytes stay exact; longer buffers are reduced by parts
+                terms = (self.buf.astype(np.uint64) + np.uint64(1)) * _prime_powers(base, len(self.buf))
+                sums = np.zeros(len(terms) + 1, np.uint64)
+                for i in range(0, len(terms), 1 << 24):
+                    sums[i + 1 : i + 1 + (1 << 24)] = _residues(np.cumsum(terms[i : i + (1 << 24)]) + sums[i])
+                self.primes.append((sums, _prime_powers(pow(base, -1, int(_P)), len(sums))))
+        out = mix((self.prefix[e] - self.prefix[s]) * self.inverse[s] + (e - s).astype(np.uint64))
+        first, second = (_residues(_residues(sums[e] + _P - sums[s]) * back[s]) for sums, back in self.primes)
+        return mix(out ^ (first << np.uint64(31) | second))
 
     def grams(self, q: int) -> np.ndarray:
         return mix((self.prefix[q:] - self.prefix[:-q]) * self.inverse[: len(self.prefix) - q] + np.uint64(q))
