@@ -1,9 +1,10 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine from a block-max inverted index, distance-weighted calibrated votes.
 
-A bounded sample of labelled training rows gives the examples and the terms (words and their beginnings that are several times
-as frequent among the documents of one class as among those of the other). Inverse document frequencies are counted over all documents. The index keeps, for each term, its
-postings by block of examples and the greatest weight in each block; a search visits blocks in the order of their upper
-bounds and ends when no bound exceeds the k-th best cosine, so its neighbours are exact.
+A bounded sample of labelled training rows gives the examples; all their words are terms. A term weighs its inverse document
+frequency, counted over all documents, times the power RELEVANCE of how surely its shares of the two classes' examples differ (FLOOR at
+least, so that no known word weighs nothing). The index keeps, for each term, its postings by block of examples and the greatest
+weight in each block; a search visits blocks in the order of their upper bounds and ends when no bound exceeds the k-th best
+cosine, so its neighbours are exact.
 """
 
 from __future__ import annotations
@@ -15,32 +16,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
-from .shared import ALNUM_WORD, LOWER, Spans, carried, chunks, give_back, mix, own_columns, utf8, words
+from .shared import ALNUM_WORD, LOWER, Scratch, carried, chunks, give_back, own_columns, utf8, word_hashes, words
 
-#: Examples of each class at most (a sample of the labelled training rows, by hash).
-EXAMPLES = 2500
-#: Least ratio of a term's shares of documents between the classes, and least documents; neither grows with the number of labels.
-RATIO, SUPPORT = 5.0, 3
-NEIGHBOURS, BLOCK = 15, 64
-#: Beginnings of words, in bytes, that are terms beside the words.
-BEGINNINGS = (4, 5, 6)
-_SIEVE = 1 << 22
+#: Examples of each class at most (a sample of the labelled training rows, by hash), and distinct words of all of them together.
+EXAMPLES, EXAMPLE_TERMS = 2500, 4_000_000
+RELEVANCE, FLOOR = 2.0, 0.05
+#: Neighbours that vote, examples in a block, blocks that a search visits before it looks at bounds again.
+NEIGHBOURS, BLOCK, FIRST = 15, 16, 6
+#: Scores of equal lists of terms that a task remembers.
+REMEMBERED = 20_000
 
 
-def terms(buf: np.ndarray, off: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For words and each length of beginning: hashes, and the row of each."""
+def terms(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words, and the row of each."""
     buf = LOWER[buf]
     s, e, at = words(buf, off, ALNUM_WORD)
-    row = np.repeat(np.arange(len(off) - 1), np.diff(at))
-    if not len(s):
-        return [(np.zeros(0, np.uint64), row)]
-    spans = Spans(buf)
-    out = [(spans.of(s, e), row)]
-    for n in BEGINNINGS:
-        x = e - s > n
-        out.append((mix(spans.of(s[x], s[x] + n) + np.uint64(n)), row[x]))
-    return out
+    return word_hashes(buf, s, e), np.repeat(np.arange(len(off) - 1), np.diff(at))
 
 
 def _document_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,92 +39,84 @@ def _document_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in batches:
         data, off = utf8(batch.column(2))
         for i, j in chunks(off):
-            got = terms(data[off[i] : off[j]], off[i : j + 1] - off[i])
-            h, row = np.concatenate([x for x, _ in got]), np.concatenate([x for _, x in got])
-            order = np.lexsort((h, row))
-            h, row = h[order], row[order]
+            h, row = terms(data[off[i] : off[j]], off[i : j + 1] - off[i])
             cut = np.searchsorted(row, np.arange(j - i + 1))
-            t, c = [], []
+            t, c, m = [], [], []
             for a, b in zip(cut[:-1], cut[1:], strict=True):
                 u, n = np.unique(h[a:b], return_counts=True)
-                t.append(u.tobytes())
-                c.append(np.minimum(n, 65535).astype(np.uint16).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(t, pa.binary()), pa.array(c, pa.binary())], ["id", "label", "terms", "counts"])
-
-
-class Vocabulary:
-    def __init__(self, hashes: np.ndarray):
-        self.hashes = hashes
-        self.sieve = np.zeros(_SIEVE, bool)
-        self.sieve[(hashes % np.uint64(_SIEVE)).astype(np.int64)] = True
-
-    def found(self, h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Indices of known terms, and their rows."""
-        if not len(self.hashes):
-            return np.zeros(0, np.int64), row[:0]
-        may = np.flatnonzero(self.sieve[(h % np.uint64(_SIEVE)).astype(np.int64)])
-        k = np.searchsorted(self.hashes, h[may])
-        k[k == len(self.hashes)] = 0
-        is_one = self.hashes[k] == h[may]
-        return k[is_one], row[may[is_one]]
-
-    def counted(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, term, times) of the known terms."""
-        got = [self.found(h, row) for h, row in terms(buf, off)]
-        key = np.concatenate([r * max(1, len(self.hashes)) + k for k, r in got])
-        key, n = np.unique(key, return_counts=True)
-        return key // max(1, len(self.hashes)), key % max(1, len(self.hashes)), n
-
-
-def chosen(examples: list[tuple[np.ndarray, int]]) -> np.ndarray:
-    """Hashes of the terms that tell the classes apart, by the ratio of their smoothed shares of documents."""
-    sides = []
-    for y in (0, 1):
-        own = [t for t, label in examples if label == y]
-        u, n = np.unique(np.concatenate(own) if own else np.zeros(0, np.uint64), return_counts=True)
-        sides.append((u, n, len(own)))
-    (u0, n0, m0), (u1, n1, m1) = sides
-    if not m0 or not m1:
-        return np.zeros(0, np.uint64)
-    u = np.union1d(u0, u1)
-    a, b = np.zeros(len(u)), np.zeros(len(u))
-    a[np.searchsorted(u, u1)], b[np.searchsorted(u, u0)] = n1, n0
+                t.append(u.tobytes()), c.append(n.astype(np.int64).tobytes()), m.append(len(u))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(m, pa.int64()), pa.array(t, pa.binary()), pa.array(c, pa.binary())], ["id", "label", "m", "terms", "counts"])
+
+
+def counted(vocabulary: np.ndarray, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, times) of the words in a sorted vocabulary, by row and term."""
+    h, row = terms(buf, off)
+    if not len(vocabulary) or not len(h):
+        return (np.zeros(0, np.int64),) * 3
+    distinct, which = np.unique(h, return_inverse=True)
+    k = np.searchsorted(vocabulary, distinct)
+    k[k == len(vocabulary)] = 0
+    known = vocabulary[k] == distinct
+    on = known[which]
+    key, n = np.unique(row[on] * len(vocabulary) + k[which[on]], return_counts=True)
+    return key // len(vocabulary), key % len(vocabulary), n
+
 
-    lift = np.log((a + 0.5) / (m1 + 1)) - np.log((b + 0.5) / (m0 + 1))
-    return u[(np.abs(lift) >= np.log(RATIO)) & (a + b >= SUPPORT)]
+def relevance(holders: np.ndarray, sizes: tuple[int, int]) -> np.ndarray:
+    """Of each term, from its numbers of examples of class 0 and 1: the log ratio of the smoothed shares over its standard error, to the power RELEVANCE."""
+    if not min(sizes):
+        return np.ones(len(holders))
+    a, b = holders[:, 1] + 0.5, holders[:, 0] + 0.5
+    lift = np.log(a / (sizes[1] + 1)) - np.log(b / (sizes[0] + 1))
+    return np.maximum(np.abs(lift) / np.sqrt(1 / a + 1 / b), FLOOR) ** RELEVANCE
+
+
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """All places of the ranges, one after another."""
+    ends = np.cumsum(n)
+    return np.repeat(start - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class BlockMax:
-    """Postings by block of examples, with the greatest weight of each term in each block."""
+    """Postings by term and block of examples, with the greatest weight in each of these pairs."""
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ids: list, n_terms: int):
+        # examples of like heaviest terms lie together, so that blocks differ
         order = sorted(range(len(rows)), key=lambda i: (int(rows[i][0][np.argmax(rows[i][1])]) if len(rows[i][0]) else -1, labels[i]))
-        self.labels, self.ids = labels[order], [ids[i] for i in order]
+        self.order, self.labels, self.ids = np.array(order, np.int64), labels[order], [ids[i] for i in order]
         self.n, self.blocks = len(order), -(-len(order) // BLOCK)
         term = np.concatenate([rows[i][0] for i in order]) if order else np.zeros(0, np.int64)
         weight = np.concatenate([rows[i][1] for i in order]) if order else np.zeros(0)
         example = np.repeat(np.arange(self.n), [len(rows[i][0]) for i in order])
         by = np.lexsort((example, term))
-        self.example, self.weight = example[by], weight[by]
-        key = term[by] * max(1, self.blocks) + self.example // BLOCK
-        self.at = np.searchsorted(key, np.arange(n_terms * self.blocks + 1)).reshape(-1) if self.blocks else np.zeros(1, np.int64)
-        self.bound = np.zeros((n_terms, self.blocks))
-        np.maximum.at(self.bound.reshape(-1), key, self.weight)
+        term, example, self.weight = term[by], example[by], weight[by]
+        block = example // BLOCK
+        first = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1]))) if len(term) else np.zeros(0, np.int64)
+        self.example = example.astype(np.int32)
+        #: of each pair: its block, its greatest weight and where its postings begin; of each term: where its pairs begin
+        self.block, self.most = block[first].astype(np.int32), np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.start, self.pairs = np.append(first, len(term)), np.searchsorted(term[first], np.arange(n_terms + 1))
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of greatest cosine above 0, and the cosines; ties by position."""
-        bound = weight @ self.bound[term]
+        n = self.pairs[term + 1] - self.pairs[term]
+        pair, w = _ranges(self.pairs[term], n), np.repeat(weight, n)
+        block = self.block[pair]
+        bound = np.bincount(block, w * self.most[pair], minlength=self.blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        found_i, found_c, least, at, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, 2
+        found_i, found_c, least, at, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, FIRST
         while at < len(order) and bound[order[at]] >= least - 1e-12:
-            # a few blocks at once, more each time
-            b = order[at : at + step]
-            key = (term[:, None] * self.blocks + b[bound[b] >= least - 1e-12]).reshape(-1)
-            x = self.at[key]
-            n = self.at[key + 1] - x
-            post = np.repeat(x - np.cumsum(n) + n, n) + np.arange(n.sum())
-            score = np.bincount(self.example[post], np.repeat(np.repeat(weight, len(key) // len(term)), n) * self.weight[post], minlength=self.n)
+            # the first few blocks give a bound for all others
+            now = order[at : at + step]
+            chosen = np.zeros(self.blocks, bool)
+            chosen[now[bound[now] >= least - 1e-12]] = True
+            on = np.flatnonzero(chosen[block])
+            own = pair[on]
+            start = self.start[own]
+            many = self.start[own + 1] - start
+            post = _ranges(start, many)
+            score = np.bincount(self.example[post], np.repeat(w[on], many) * self.weight[post], minlength=self.n)
             if without >= 0:
                 score[without] = 0
             some = np.flatnonzero(score > max(0.0, least - 1e-12))
@@ -142,13 +125,15 @@ class BlockMax:
             found_i, found_c = found_i[best], found_c[best]
             if len(found_c) == k:
                 least = found_c[-1]
-            at, step = at + step, step * 2
+            at, step = at + step, len(order)
         return found_i, found_c
 
 
 class Model:
-    def __init__(self, vocabulary: np.ndarray, idf: np.ndarray, rows: list, labels: np.ndarray, ids: list, totals: tuple[int, int]):
-        self.hashes, self.idf = vocabulary, idf
+    """Terms with their weights, the index of the examples and what makes votes of neighbours a score."""
+
+    def __init__(self, vocabulary: np.ndarray, importance: np.ndarray, rows: list, labels: np.ndarray, ids: list, totals: tuple[int, int]):
+        self.hashes, self.importance = vocabulary, importance
         self.index = BlockMax([self.weighted(t, n) for t, n in rows], labels, ids, len(vocabulary))
         n1 = int((labels == 1).sum())
         n0 = len(labels) - n1
@@ -157,10 +142,8 @@ class Model:
         if not n0 or not n1:
             return
         # each example is judged by the others; classes count as they do among all labelled training rows
-        order = sorted(range(len(rows)), key=lambda i: i)
-        weighted = [self.weighted(*rows[i]) for i in order]
-        place = {i: p for p, i in enumerate(self.index.ids)}
-        votes = [self.vote(*w, without=place[ids[i]]) for i, w in zip(order, weighted, strict=True)]
+        place = np.argsort(self.index.order)
+        votes = [self.vote(*self.weighted(*r), without=int(p)) for r, p in zip(rows, place, strict=True)]
         share = np.where(labels == 1, totals[1] / n1, totals[0] / n0)
         some = np.array([v is not None for v in votes])
         lonely = share[~some]
@@ -169,7 +152,7 @@ class Model:
             self.slope, self.base = _logistic(np.array([v for v in votes if v is not None]), labels[some], share[some], self.prior)
 
     def weighted(self, term: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        w = (1 + np.log(n)) * self.idf[term]
+        w = (1 + np.log(n)) * self.importance[term]
         norm = np.sqrt((w * w).sum())
         keep = w > 0
         return term[keep], w[keep] / norm if norm > 0 else w[keep]
@@ -204,12 +187,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, prior: float) -> tupl
 
 def _frequencies(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Vocabulary(vocabulary.value)
-        total, n = np.zeros(len(known.hashes), np.int64), 0
+        known = vocabulary.value
+        total, n = np.zeros(len(known), np.int64), 0
         for batch in batches:
             data, off = utf8(batch.column(0))
             for i, j in chunks(off):
-                _, term, _ = known.counted(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                _, term, _ = counted(known, data[off[i] : off[j]], off[i : j + 1] - off[i])
                 total += np.bincount(term, minlength=len(total))
             n += batch.num_rows
         k = np.flatnonzero(total)
@@ -221,18 +204,17 @@ def _frequencies(vocabulary):
 def _scores(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        known = Vocabulary(m.hashes)
         told: dict[bytes, tuple[float, list]] = {}
         for batch in batches:
             data, off = utf8(batch.column(1))
             for i, j in chunks(off):
-                row, term, n = known.counted(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                row, term, n = counted(m.hashes, data[off[i] : off[j]], off[i : j + 1] - off[i])
                 cut = np.searchsorted(row, np.arange(j - i + 1))
                 score, evidence = [], []
                 for a, b in zip(cut[:-1], cut[1:], strict=True):
                     key = term[a:b].tobytes() + n[a:b].tobytes()
                     if key not in told:
-                        if len(told) > 50_000:
+                        if len(told) > REMEMBERED:
                             told.clear()
                         v, near = m.vote(*m.weighted(term[a:b], n[a:b]), evidence=True)
                         told[key] = m.score(v), [m.index.ids[x] for x in near[:3]]
@@ -244,14 +226,15 @@ def _scores(model):
     return run
 
 
-def fitted(docs: DataFrame, examples: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"):
-    """The model. examples: columns id and label (0 or 1) of training rows; EXAMPLES of each class are fitted, taken by hash of the id.
+def fitted(docs: DataFrame, examples: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> Model:
+    """The model. examples: columns id and label (0 or 1) of training rows; EXAMPLES of each class are fitted, taken by hash of the id,
+    and of those as many, in this order, as have EXAMPLE_TERMS distinct words together (one at least).
 
-    Repeated ids count once (the greater label holds); rows without an id or label are left out. With fewer than two classes scores are 0
+    Repeated ids count once (the greater label holds; their rows are examples each); rows without an id or label are left out. With fewer than two classes scores are 0
     or 1, whichever class there is, and 0 without any examples.
     """
     spark = docs.sparkSession
-    ship(spark)
+    scratch = scratch or Scratch(spark, "toxicity")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     own = examples.where("id is not null and label is not null").groupBy("id").agg(F.max(F.col("label").cast("int")).alias("label"))
     n = {r.label: r["n"] for r in own.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -261,11 +244,23 @@ def fitted(docs: DataFrame, examples: DataFrame, *, id_col: str = "doc_id", text
         part = own.where(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(EXAMPLES)
         sample = part if sample is None else sample.unionByName(part)
     # 2 * EXAMPLES rows at most
-    near = rows.join(F.broadcast(sample), "id").select("id", "label", "text").mapInArrow(_document_terms, "id long, label int, terms binary, counts binary")
-    got = {r.id: r for r in near.collect()}
-    got = [got[i] for i in sorted(got)]
-    sets = [(np.frombuffer(r.terms, np.uint64), np.frombuffer(r.counts, np.uint16), r.label) for r in got]
-    vocabulary = chosen([(t, y) for t, _, y in sets])
+    near = rows.join(F.broadcast(sample), "id").select("id", "label", "text").mapInArrow(_document_terms, "id long, label int, m long, terms binary, counts binary")
+    near = scratch.cut(near.withColumn("place", F.xxhash64("id")), "examples")
+    last, size = None, 0
+    for r in near.groupBy("place").agg(F.sum("m").alias("m")).orderBy("place").collect():
+        size += r.m
+        if last is None or size <= EXAMPLE_TERMS:
+            last = r.place
+    got = near.where(F.col("place") <= last).collect() if last is not None else []
+    scratch.drop(near)
+    got = sorted(got, key=lambda r: (r.id, r.terms, r.counts))
+    sets = [(np.frombuffer(r.terms, np.uint64), np.frombuffer(r.counts, np.int64)) for r in got]
+    labels = np.array([r.label for r in got], np.int64)
+    vocabulary = np.unique(np.concatenate([t for t, _ in sets])) if sets else np.zeros(0, np.uint64)
+    kept = [(np.searchsorted(vocabulary, t), c) for t, c in sets]
+    holders = np.zeros((len(vocabulary), 2))
+    for (k, _), y in zip(kept, labels, strict=True):
+        holders[k, y] += 1
     seen = rows.select("text").mapInArrow(_frequencies(spark.sparkContext.broadcast(vocabulary)), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     df, total = np.zeros(len(vocabulary)), 0
     for r in seen:
@@ -273,14 +268,8 @@ def fitted(docs: DataFrame, examples: DataFrame, *, id_col: str = "doc_id", text
             total = r["n"]
         else:
             df[r.term] = r["n"]
-    idf = np.log((1 + total) / (1 + df))
-    kept = []
-    for t, c, _ in sets:
-        k = np.searchsorted(vocabulary, t)
-        k[k == len(vocabulary)] = 0
-        is_one = vocabulary[k] == t if len(vocabulary) else np.zeros(len(t), bool)
-        kept.append((k[is_one], c[is_one].astype(np.int64)))
-    return Model(vocabulary, idf, kept, np.array([y for _, _, y in sets], np.int64), [r.id for r in got], totals)
+    idf = np.log((2 + total) / (1 + df))
+    return Model(vocabulary, idf * relevance(holders, (int((labels == 0).sum()), int((labels == 1).sum()))), kept, labels, [r.id for r in got], totals)
 
 
 def scored(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, keep: str = "true") -> DataFrame:
