@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from vigilspark.llm import entries
+from vigilspark.llm import entries, toxicity
 from vigilspark.llm.components import connected_components
 from vigilspark.llm.decontaminate import contamination, window_index
 from vigilspark.llm.html_text import extracted, main_text
@@ -283,7 +283,10 @@ def test_network_gradients_and_state():
     assert np.exp(net.log_classes(h)).sum(1) == pytest.approx([1, 1])
 
 
-def test_block_max_search_is_exact():
+@pytest.mark.parametrize("common", [0, 5, 1024])
+def test_block_max_search_is_exact(monkeypatch, common):
+    monkeypatch.setattr(toxicity, "COMMON", common)
+    monkeypatch.setattr(toxicity, "QUERIES", 7)
     r = np.random.default_rng(3)
     rows = [(np.sort(r.choice(50, r.integers(0, 9), replace=False)), None) for _ in range(300)]
     rows = [(t, w / max(1e-9, np.linalg.norm(w))) for t, w in ((t, r.random(len(t))) for t, _ in rows)]
@@ -291,10 +294,11 @@ def test_block_max_search_is_exact():
     dense = np.zeros((300, 50))
     for i, (t, w) in enumerate(rows):
         dense[i, t] = w
-    for t, w in rows[:60]:
-        _, c = index.nearest(t, w, 7)
+    for (t, w), (i, c) in zip(rows, index.nearest(rows, 7), strict=True):
         want = np.sort(dense[:, t] @ w)[::-1][:7] if len(t) else np.zeros(0)
-        assert c == pytest.approx(want[want > 0][: len(c)]) and len(c) == (want > 0).sum()
+        assert c == pytest.approx(want[want > 0]) and c == pytest.approx(dense[index.order[i]][:, t] @ w)
+    place = np.argsort(index.order).tolist()
+    assert all(p not in i for p, (i, _) in zip(place, index.nearest(rows, 7, place), strict=True))
 
 
 def test_toxicity_learns_and_takes_odd_rows(spark, none):

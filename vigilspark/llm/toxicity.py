@@ -9,6 +9,7 @@ cosine, so its neighbours are exact.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,8 @@ EXAMPLES, EXAMPLE_TERMS = 2500, 4_000_000
 RELEVANCE, FLOOR = 2.0, 0.05
 #: Neighbours that vote, examples in a block, blocks that a search visits before it looks at bounds again.
 NEIGHBOURS, BLOCK, FIRST = 15, 16, 6
+#: Terms whose postings are dense, queries that are multiplied by them at once, and more than single precision takes from a sum of at most 1.
+COMMON, QUERIES, SLACK = 1024, 256, 1e-5
 #: Scores of equal lists of terms that a task remembers.
 REMEMBERED = 20_000
 
@@ -78,55 +81,96 @@ def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 class BlockMax:
-    """Postings by term and block of examples, with the greatest weight in each of these pairs."""
+    """An inverted index by blocks of examples.
+
+    Postings of the COMMON terms that most examples hold are a dense matrix, which a batch of queries is multiplied by at once; the others' are lists by
+    block, each with its greatest weight. A block's bound is the greatest sum of common terms in it and the greatest weights of the others; only blocks whose bounds
+    reach the k-th best cosine so far are looked into. What may be among the nearest gets its whole cosine in double precision.
+    """
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ids: list, n_terms: int):
         # examples of like heaviest terms lie together, so that blocks differ
         order = sorted(range(len(rows)), key=lambda i: (int(rows[i][0][np.argmax(rows[i][1])]) if len(rows[i][0]) else -1, labels[i]))
         self.order, self.labels, self.ids = np.array(order, np.int64), labels[order], [ids[i] for i in order]
         self.n, self.blocks = len(order), -(-len(order) // BLOCK)
-        term = np.concatenate([rows[i][0] for i in order]) if order else np.zeros(0, np.int64)
-        weight = np.concatenate([rows[i][1] for i in order]) if order else np.zeros(0)
-        example = np.repeat(np.arange(self.n), [len(rows[i][0]) for i in order])
+        self.size = np.array([len(rows[i][0]) for i in order], np.int64)
+        #: of each example: where its terms and weights are
+        self.own = np.cumsum(self.size) - self.size
+        self.own_term, self.own_weight = (np.concatenate([rows[i][x] for i in order]) if order else np.zeros(0, np.int64) for x in (0, 1))
+        example = np.repeat(np.arange(self.n), self.size)
+        many = np.bincount(self.own_term, minlength=n_terms)
+        common = np.argsort(-many, kind="stable")[:COMMON]
+        self.place = np.full(n_terms, -1, np.int32)
+        self.place[common] = np.arange(len(common))
+        at = self.place[self.own_term]
+        self.dense = np.zeros((len(common), self.blocks * BLOCK), np.float32)
+        self.dense[at[at >= 0], example[at >= 0]] = self.own_weight[at >= 0]
+        term, example, weight = self.own_term[at < 0], example[at < 0], self.own_weight[at < 0]
         by = np.lexsort((example, term))
         term, example, self.weight = term[by], example[by], weight[by]
         block = example // BLOCK
         first = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1]))) if len(term) else np.zeros(0, np.int64)
         self.example = example.astype(np.int32)
-        #: of each pair: its block, its greatest weight and where its postings begin; of each term: where its pairs begin
+        #: of each pair of a term and a block: the block, the greatest weight and where its postings begin; of each term: where its pairs begin
         self.block, self.most = block[first].astype(np.int32), np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
         self.start, self.pairs = np.append(first, len(term)), np.searchsorted(term[first], np.arange(n_terms + 1))
-
-    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of greatest cosine above 0, and the cosines; ties by position."""
-        n = self.pairs[term + 1] - self.pairs[term]
-        pair, w = _ranges(self.pairs[term], n), np.repeat(weight, n)
+        self.query = np.zeros(n_terms)
+
+    def exact(self, examples: np.ndarray, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """The cosines of a query with some examples, from their own lists of terms."""
+        self.query[term] = weight
+        n = self.size[examples]
+        at = _ranges(self.own[examples], n)
+        out = np.bincount(np.repeat(np.arange(len(examples)), n), self.query[self.own_term[at]] * self.own_weight[at], minlength=len(examples))
+        self.query[term] = 0
+        return out
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (terms and weights) the k examples of greatest cosine above 0, and the cosines; ties by position."""
+        out = []
+        for i in range(0, len(queries), QUERIES):
+            some = queries[i : i + QUERIES]
+            q = np.zeros((len(some), len(self.dense)), np.float32)
+            for r, (term, weight) in enumerate(some):
+                at = self.place[term]
+                q[r, at[at >= 0]] = weight[at >= 0]
+            sums = q @ self.dense
+            most = sums.reshape(len(some), self.blocks, BLOCK).max(2)
+            for r, (term, weight) in enumerate(some):
+                rare = self.place[term] < 0
+                out.append(self._nearest(term, weight, sums[r], most[r], term[rare], weight[rare], k, without[i + r] if without else -1))
+        return out
+
+    def _nearest(self, term: np.ndarray, weight: np.ndarray, sums: np.ndarray, most: np.ndarray, rare: np.ndarray, rare_weight: np.ndarray, k: int, without: int) -> tuple[np.ndarray, np.ndarray]:
+        n = self.pairs[rare + 1] - self.pairs[rare]
+        pair, w = _ranges(self.pairs[rare], n), np.repeat(rare_weight, n)
         block = self.block[pair]
-        bound = np.bincount(block, w * self.most[pair], minlength=self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        found_i, found_c, least, at, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, FIRST
-        while at < len(order) and bound[order[at]] >= least - 1e-12:
-            # the first few blocks give a bound for all others
-            now = order[at : at + step]
-            chosen = np.zeros(self.blocks, bool)
-            chosen[now[bound[now] >= least - 1e-12]] = True
-            on = np.flatnonzero(chosen[block])
+        bound = most + np.bincount(block, w * self.most[pair], minlength=self.blocks) + SLACK
+
+        def looked_into(visited: np.ndarray) -> np.ndarray:
+            on = np.flatnonzero(visited[block])
             own = pair[on]
             start = self.start[own]
             many = self.start[own + 1] - start
             post = _ranges(start, many)
-            score = np.bincount(self.example[post], np.repeat(w[on], many) * self.weight[post], minlength=self.n)
+            found = np.repeat(visited, BLOCK)[: self.n] * sums[: self.n]
+            found += np.bincount(self.example[post], np.repeat(w[on], many) * self.weight[post], minlength=self.n)
             if without >= 0:
-                score[without] = 0
-            some = np.flatnonzero(score > max(0.0, least - 1e-12))
-            found_i, found_c = np.append(found_i, some), np.append(found_c, score[some])
-            best = np.lexsort((found_i, -found_c))[:k]
-            found_i, found_c = found_i[best], found_c[best]
-            if len(found_c) == k:
-                least = found_c[-1]
-            at, step = at + step, len(order)
-        return found_i, found_c
+                found[without] = 0
+            return found
+
+        first = np.zeros(self.blocks, bool)
+        first[np.argsort(-bound, kind="stable")[:FIRST]] = True
+        score = looked_into(first)
+        least = np.partition(score, -k)[-k] - 2 * SLACK if self.n > k else 0.0
+        rest = (bound >= least) & ~first
+        if rest.any():
+            score += looked_into(rest)
+        least = max(np.partition(score, -k)[-k] - 2 * SLACK, 0.0) if self.n > k else 0.0
+        found = np.flatnonzero((score >= least) & (score > 0))
+        cosine = self.exact(found, term, weight)
+        best = np.lexsort((found, -cosine))[:k]
+        return found[best], cosine[best]
 
 
 class Model:
@@ -142,8 +186,7 @@ class Model:
         if not n0 or not n1:
             return
         # each example is judged by the others; classes count as they do among all labelled training rows
-        place = np.argsort(self.index.order)
-        votes = [self.vote(*self.weighted(*r), without=int(p)) for r, p in zip(rows, place, strict=True)]
+        votes = [v for v, _ in self.votes([self.weighted(*r) for r in rows], np.argsort(self.index.order).tolist())]
         share = np.where(labels == 1, totals[1] / n1, totals[0] / n0)
         some = np.array([v is not None for v in votes])
         lonely = share[~some]
@@ -157,13 +200,13 @@ class Model:
         keep = w > 0
         return term[keep], w[keep] / norm if norm > 0 else w[keep]
 
-    def vote(self, term: np.ndarray, weight: np.ndarray, without: int = -1, evidence: bool = False):
-        i, c = self.index.nearest(term, weight, NEIGHBOURS, without) if len(term) and self.index.n else (np.zeros(0, np.int64), np.zeros(0))
-        if not len(i):
-            return (None, i) if evidence else None
-        near = c / (1.05 - np.minimum(c, 1))
-        v = float((near * self.index.labels[i]).sum() / near.sum())
-        return (v, i) if evidence else v
+    def votes(self, queries: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> list[tuple[float | None, np.ndarray]]:
+        """The share of the neighbours' votes that are for label 1, or None without neighbours, and the neighbours."""
+        out = []
+        for i, c in self.index.nearest(queries, NEIGHBOURS, without) if self.index.n else [(np.zeros(0, np.int64),) * 2] * len(queries):
+            near = c / (1.05 - np.minimum(c, 1))
+            out.append((float((near * self.index.labels[i]).sum() / near.sum()) if len(i) else None, i))
+        return out
 
     def score(self, v: float | None) -> float:
         return self.alone if v is None else float(1 / (1 + np.exp(-np.clip(self.slope * v + self.base, -30, 30))))
@@ -209,17 +252,15 @@ def _scores(model):
             data, off = utf8(batch.column(1))
             for i, j in chunks(off):
                 row, term, n = counted(m.hashes, data[off[i] : off[j]], off[i : j + 1] - off[i])
-                cut = np.searchsorted(row, np.arange(j - i + 1))
-                score, evidence = [], []
-                for a, b in zip(cut[:-1], cut[1:], strict=True):
-                    key = term[a:b].tobytes() + n[a:b].tobytes()
-                    if key not in told:
-                        if len(told) > REMEMBERED:
-                            told.clear()
-                        v, near = m.vote(*m.weighted(term[a:b], n[a:b]), evidence=True)
-                        told[key] = m.score(v), [m.index.ids[x] for x in near[:3]]
-                    score.append(told[key][0])
-                    evidence.append(told[key][1])
+                cut = np.searchsorted(row, np.arange(j - i + 1)).tolist()
+                lists = [(term[a:b], n[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                keys = [hashlib.blake2b(t.tobytes() + c.tobytes(), digest_size=16).digest() for t, c in lists]
+                if len(told) > REMEMBERED:
+                    told.clear()
+                new = {key: x for key, x in zip(keys, lists, strict=True) if key not in told}
+                for key, (v, near) in zip(new, m.votes([m.weighted(*x) for x in new.values()]), strict=True):
+                    told[key] = m.score(v), [m.index.ids[x] for x in near[:3]]
+                score, evidence = ([told[key][x] for key in keys] for x in (0, 1))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(score, pa.float64()), pa.array(evidence, pa.list_(pa.int64())), *(c.slice(i, j - i) for c in batch.columns[1:])], names=["id", "score", "evidence", *batch.schema.names[1:]])
         give_back()
 
