@@ -266,21 +266,55 @@ def test_network_trains_on_all_documents(spark, monkeypatch):
     assert all(got[i].score > less[i] for i in range(80, 90))
 
 
-def test_network_gradients_and_state():
-    net = Network(6, 5, units=4)
+def small_network():
+    net = Network(5, np.array([2, 2, 3, 2]), np.array([0.5, 0.25, 1.0, 0.125]), units=4)
     net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
-    xs, cs = np.array([[1, 2], [3, 4], [5, 0]]), np.array([[0, 1], [2, 3], [4, -1]])
+    net.w["v"] *= 30
+    return net
+
+
+def test_network_gradients_and_state():
+    net = small_network()
+    # symbols 0 to 4 are classes, 5 to 8 words of the classes 2, 2, 3 and 2
+    xs, cs = np.array([[1, 0], [5, 8], [2, 7], [6, 0]]), np.array([[1, 0], [2, 2], [2, 3], [2, -1]])
     h = np.random.default_rng(1).normal(size=(2, 4)) * 0.1
     grads, _, loss, n = net._window(h, xs, cs)
-    for name, at in (("x", (3, 5)), ("u", (1, 2)), ("o", (2, 3)), ("b", (1,))):
+    for name, at in (("x", (5, 5)), ("u", (1, 2)), ("o", (2, 3)), ("b", (1,)), ("v", (1, 6)), ("v", (2, 2)), ("v", (0, 7)), ("d", (8,))):
         eps = 1e-6
         net.w[name][at] += eps
         more = net._window(h, xs, cs)[2]
         net.w[name][at] -= eps
         assert (more - loss) / eps / n == pytest.approx(grads[name][at], abs=1e-4)
-    whole = net.scores(np.array([1, 2, 3, 1]), np.array([0, 1, 2, 0]), np.array([0, 3, 4]))
-    assert whole[1] == pytest.approx(net.log_classes(np.zeros((1, 4)))[0, 0], abs=1e-5) and whole[0] < whole[1] * 0.9
-    assert np.exp(net.log_classes(h)).sum(1) == pytest.approx([1, 1])
+    symbols, told = np.array([1, 5, 2, 6, 1]), np.array([1, 2, 2, 2, 1])
+    whole = net.scores(symbols, told, np.array([0, 4, 5]))
+    assert whole[1] == pytest.approx(net.log_classes(np.zeros((1, 4)))[0, 1], abs=1e-5) and whole[0] < whole[1] * 0.9
+    assert whole[0] == pytest.approx(-net._window(np.zeros((1, 4)), symbols[:4, None], told[:4, None])[2], abs=1e-4)
+
+
+def test_probabilities_sum_to_one_in_every_state():
+    net = small_network()
+    for h in np.random.default_rng(2).normal(size=(5, 1, 4)):
+        c = np.exp(net.log_classes(h))[0]
+        total = sum(p * (np.exp(net.log_words(h, net.members[i])).sum() if i in net.members else 1) for i, p in enumerate(c))
+        assert total == pytest.approx(1)
+        # the state decides which word of a class comes
+        assert not np.allclose(net.log_words(h, net.members[2]), net.log_words(h * 0, net.members[2]))
+    # class 3 has no words but the one that is read
+    assert net.members[3].tolist() == [7] and net.members[2].tolist() == [5, 6, 8, 2]
+
+
+def test_model_probabilities_sum_to_one(spark):
+    """All seen words and one unseen word, as one-word texts after the end: the sum of P(word) in the first state."""
+    from vigilspark.llm import language_model
+
+    train = [(i, " ".join(["a b c", "a a d", "e f a b", "g"][i % 4].split() + [f"h{i % 5}"])) for i in range(40)]
+    seen = sorted({w for _, t in train for w in t.split()})
+    docs = spark.createDataFrame(train + [(1000 + k, w) for k, w in enumerate([*seen, "unseen", ""])], "doc_id long, text string")
+    got = {r.id: r for r in model_scored(docs, training=F.col("doc_id") < 1000).collect()}
+    # a one-word text is that word and an end; whatever the word, what the end takes off is at most all
+    words = sum(10 ** got[1000 + k].score for k in range(len(seen) + 1)) + 10 ** got[1000 + len(seen) + 1].score
+    assert 0 < words < 1
+    assert all(r.score < 0 for r in got.values()) and language_model.READ >= len(seen)
 
 
 @pytest.mark.parametrize("common", [0, 5, 1024])

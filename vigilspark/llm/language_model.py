@@ -1,17 +1,19 @@
 """A gated recurrent language model with class-factored softmax: truncated backpropagation in numpy, state carried over whole documents.
 
 Tokens are words and an end. Their counts, by group of similar training documents, come from all training documents; a word's class is
-its main group and its band of frequency. Words seen once share a class with all unseen ones. P(token) is P(class | state), from the network, times
-P(token | class), from the counts, so probabilities over the seen tokens and one unseen token sum to 1.
+its main group and its band of frequency. Words seen once share a class with all unseen ones. P(token) is P(class | state) times P(token | class, state), two softmaxes of the
+network. The second is over the READ commonest words of the class and one entry for all its others, among which counts decide. Probabilities over the seen tokens and one unseen token sum to 1.
 
 The network reads the commonest words and the classes of others. It begins with a few passes over a bounded sample; then all training documents train it,
 each once, in ROUNDS rounds: every task starts from the weights so far and trains on its documents of the round, and the weights are averaged by tokens.
-Training goes by windows of WINDOW tokens through which gradients flow, the state going on from window to window to a document's end. The commonest words' counts are broadcast, a bounded number; those of all others are
+Training goes by windows of WINDOW tokens through which gradients flow, the state going on from window to window for SEGMENT tokens; scoring carries it to a document's end. The commonest words' counts are broadcast, a bounded number; those of all others are
 looked up by shuffle.
 """
 
 from __future__ import annotations
 
+import copy
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +25,10 @@ from pyspark.sql import functions as F
 from .repeats import BUCKET_BYTES, ROWS, _dealt, _rows, _send_texts, doc_bucket, pack, text_mark, unpack
 from .shared import BLANK_WORD, LOWER, Scratch, chunks, mix, parts, runs, utf8, word_hashes, words
 
-#: Documents and tokens of the network's first passes, at most, and documents whose commonest words and centres groups begin with.
-TRAIN_DOCS, TRAIN_TOKENS, GROUP_DOCS = 600, 300_000, 2000
+#: Documents and tokens of the network's first passes, at most; documents and bytes, about, whose commonest words and centres groups begin with, and the longest such document.
+TRAIN_DOCS, TRAIN_TOKENS, GROUP_DOCS, GROUP_BYTES, GROUP_LONGEST = 600, 300_000, 2000, 16_000_000, 1_000_000
+#: Tokens through which the state goes on in training.
+SEGMENT = 512
 GROUPS, UNITS, READ, WINDOW, BATCH, PASSES = 8, 24, 512, 32, 32, 4
 #: Rounds that share out all training documents, documents in a batch and rate of the first round, tokens that a task holds to sort by length.
 ROUNDS, ROUND_BATCH, ROUND_RATE, ROUND_TOKENS = 4, 256, 0.002, 1_000_000
@@ -36,8 +40,10 @@ BANDS = np.array([1e-6, 1e-5, 1e-4, 1e-3])
 #: Words that describe a document when groups are fitted.
 SIGNS = 64
 END = np.uint64(1)
-#: Bytes of text that a task scores at once; one longer document is scored whole.
-SCORED_BYTES = 4_000_000
+#: Bytes of text that a task reads, and tokens that it scores, at once; one longer document is taken whole.
+SCORED_BYTES, SCORED_TOKENS = 4_000_000, 4_000_000
+#: States whose softmaxes are taken at once.
+STATES = 50_000
 
 #: A row of a table of words: hash, count, group.
 _KINDS = ("u8", "i8", "u1")
@@ -228,12 +234,10 @@ def _matching(wanted: np.ndarray | None, least: int):
 # ---------------------------------------------------------------- the network
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    np.negative(x, out=x)
-    np.exp(x, out=x)
-    x += 1
-    np.reciprocal(x, out=x)
-    return x
+def _log_softmax(y: np.ndarray) -> np.ndarray:
+    y -= y.max(1, keepdims=True)
+    y -= np.log(np.exp(y).sum(1, keepdims=True))
+    return y
 
 
 class Adam:
@@ -251,32 +255,67 @@ class Adam:
 
 
 class Network:
-    """A gated recurrent unit that reads symbols and gives log-probabilities of classes."""
+    """A gated recurrent unit that reads symbols and gives log-probabilities of classes and of the words that it reads within their classes.
 
-    def __init__(self, symbols: int, classes_: int, units: int = UNITS, seed: int = 3):
+    Symbols are the classes and then the words read; ``own`` has the class of each of these, ``shares`` their shares of their classes' counts.
+    """
+
+    def __init__(self, classes_: int, own: np.ndarray, shares: np.ndarray, units: int = UNITS, seed: int = 3):
         r = np.random.default_rng(seed)
         f = np.float32
+        symbols = classes_ + len(own)
+        rest = np.maximum(0, 1 - np.bincount(own, shares, minlength=classes_)) if len(own) else np.ones(classes_)
+        rest[rest < 1e-9] = 0
         self.w = {
             "x": (r.normal(0, 0.1, (symbols, 3 * units))).astype(f),
             "u": (r.normal(0, 1 / np.sqrt(units), (units, 3 * units))).astype(f),
             "o": (r.normal(0, 0.1, (units, classes_))).astype(f),
             "b": np.zeros(classes_, f),
+            # a symbol that is a class stands for all its words that aren't read
+            "v": (r.normal(0, 0.02, (units, symbols))).astype(f),
+            "d": np.log(np.maximum(np.append(rest, shares), 1e-12)).astype(f),
         }
-        self.units = units
+        self.units, self.classes = units, classes_
+        #: of each class with words that are read: its symbols; of each symbol: its place among those of its class
+        self.members = {int(c): np.append(np.flatnonzero(own == c) + classes_, [c] if rest[c] > 0 else []).astype(np.int64) for c in np.unique(own)}
+        self.place = np.zeros(symbols, np.int64)
+        for m in self.members.values():
+            self.place[m] = np.arange(len(m))
 
     def step(self, h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
         k = self.units
         a = self.w["x"][x]
         p = h @ self.w["u"]
-        zr = _sigmoid(np.clip(a[:, : 2 * k] + p[:, : 2 * k], -30, 30))
+        # the logistic function by way of tanh, which can't overflow
+        zr = a[:, : 2 * k] + p[:, : 2 * k]
+        zr *= 0.5
+        np.tanh(zr, out=zr)
+        zr *= 0.5
+        zr += 0.5
         z, r = zr[:, :k], zr[:, k:]
-        c = np.tanh(a[:, 2 * k :] + r * p[:, 2 * k :])
-        return h + z * (c - h), z, r, c, p[:, 2 * k :]
+        p = p[:, 2 * k :]
+        c = r * p
+        c += a[:, 2 * k :]
+        np.tanh(c, out=c)
+        after = c - h
+        after *= z
+        after += h
+        return after, z, r, c, p
 
     def log_classes(self, h: np.ndarray) -> np.ndarray:
-        y = h @ self.w["o"] + self.w["b"]
-        y -= y.max(1, keepdims=True)
-        return y - np.log(np.exp(y).sum(1, keepdims=True))
+        return _log_softmax(h @ self.w["o"] + self.w["b"])
+
+    def words(self, symbols: np.ndarray, told: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each class with words that are read: the rows of its tokens, its symbols, and the place of each token's symbol among them."""
+        order = np.argsort(told.astype(np.int16), kind="stable")
+        edges = np.searchsorted(told[order], np.arange(self.classes + 1))
+        for c, m in self.members.items():
+            rows = order[edges[c] : edges[c + 1]]
+            if len(rows):
+                yield rows, m, self.place[symbols[rows]]
+
+    def log_words(self, h: np.ndarray, members: np.ndarray) -> np.ndarray:
+        return _log_softmax(h @ self.w["v"][:, members] + self.w["d"][members])
 
     def train(self, streams: list[tuple[np.ndarray, np.ndarray]], passes: int = PASSES, window: int = WINDOW, batch: int = BATCH, rate: float = 0.01) -> list[float]:
         """Adam on windows; streams are (symbols read, classes to tell), one for each document, each from a zero state. Returns the mean loss of each pass."""
@@ -318,12 +357,25 @@ class Network:
         log, c = self.log_classes(states), cs.reshape(-1)
         on = np.flatnonzero(c >= 0)
         loss = -float(log[on, c[on]].sum())
-        d = np.zeros_like(log)
-        d[on] = np.exp(log[on])
+        d = np.exp(log, out=log)
         d[on, c[on]] -= 1
+        if len(on) < len(c):
+            d[c < 0] = 0
         d /= total
-        grads = {"o": states.T @ d, "b": d.sum(0)}
-        told = (d @ self.w["o"].T).reshape(len(xs), -1, k)
+        grads = {"o": states.T @ d, "b": d.sum(0), "v": np.zeros_like(self.w["v"]), "d": np.zeros_like(self.w["d"])}
+        told = d @ self.w["o"].T
+        for rows, members, at in self.words(xs.reshape(-1)[on], c[on]):
+            rows = on[rows]
+            own = states[rows]
+            log = self.log_words(own, members)
+            loss -= float(log[np.arange(len(rows)), at].sum())
+            d = np.exp(log, out=log)
+            d[np.arange(len(rows)), at] -= 1
+            d /= total
+            grads["v"][:, members] = own.T @ d
+            grads["d"][members] = d.sum(0)
+            told[rows] += d @ self.w["v"][:, members].T
+        told = told.reshape(len(xs), -1, k)
         back, u = np.zeros_like(h), self.w["u"].T
         da, dps = np.empty((*xs.shape, 3 * k), h.dtype), np.empty((*xs.shape, 3 * k), h.dtype)
         for t in range(len(xs) - 1, -1, -1):
@@ -345,19 +397,33 @@ class Network:
         return grads, h, loss, total
 
     def scores(self, symbols: np.ndarray, told: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """Natural log-probability of the classes of each row, the state going on from window to window to its end."""
+        """Natural log-probability of the classes of each row and of the words that are read within them, the state going on from window to window to its end."""
         n = np.diff(off)
         order = np.argsort(-n, kind="stable")
         start, length = off[:-1][order], n[order]
         out = np.zeros(len(order))
         h = np.zeros((len(order), self.units), np.float32)
         active = np.searchsorted(-length, -np.arange(1, (int(length[0]) if len(length) else 0) + 1), "right")
+        held, at, size = [], [], 0
+
+        def take() -> None:
+            states, i = np.concatenate(held), np.concatenate(at)
+            row = np.concatenate([np.arange(len(x)) for x in at])
+            x, c = symbols[i], told[i]
+            out[: len(at[0])] += np.bincount(row, self.log_classes(states)[np.arange(len(i)), c], minlength=len(at[0]))
+            for rows, members, place in self.words(x, c):
+                out[: len(at[0])] += np.bincount(row[rows], self.log_words(states[rows], members)[np.arange(len(rows)), place], minlength=len(at[0]))
+
         for t, m in enumerate(active.tolist()):
-            at = start[:m] + t
             h = h[:m]
-            log = self.log_classes(h)
-            out[:m] += log[np.arange(m), told[at]]
-            h = self.step(h, symbols[at])[0]
+            held.append(h), at.append(start[:m] + t)
+            size += m
+            if size > STATES:
+                take()
+                held, at, size = [], [], 0
+            h = self.step(h, symbols[start[:m] + t])[0]
+        if held:
+            take()
         back = np.empty_like(out)
         back[order] = out
         return back
@@ -366,17 +432,21 @@ class Network:
 class Model:
     """What a task needs: counts of the commonest words, sums of classes and the network."""
 
-    def __init__(self, total: int, distinct: int, unseen: float, once: int, sums: np.ndarray, head: tuple[np.ndarray, ...], read: np.ndarray, network: Network):
+    def __init__(self, total: int, distinct: int, unseen: float, once: int, sums: np.ndarray, head: tuple[np.ndarray, ...], read: np.ndarray):
         n, g, _ = _of(head, read)
-        #: the class of each symbol
-        self.told = np.append(np.arange(N_CLASSES), classes(np.where(read == END_KEY, END, read), n, g, total))
+        own = classes(read, n, g, total)
+        #: the class of each symbol, and the counts of each class without the words that are read
+        self.told = np.append(np.arange(N_CLASSES), own)
+        self.rest = sums - np.bincount(own, n, minlength=N_CLASSES)
+        network = Network(N_CLASSES, own, n / np.maximum(1, sums[own]))
         self.total, self.distinct, self.unseen, self.once, self.sums, self.head, self.read, self.network = total, distinct, unseen, once, sums, head, read, network
 
-    def within(self, n: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """log10 P(token | class)."""
-        out = np.log10(np.maximum(n, 1)) - np.log10(np.maximum(self.sums[c], 1))
+    def within(self, n: np.ndarray, c: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """log10 P(token | symbol): of words that aren't read, among those of their class."""
+        out = np.log10(np.maximum(n, 1)) - np.log10(np.maximum(self.rest[c], 1))
         out[c == RARE] = np.log10((1 - self.unseen) / max(1, self.once)) if self.once else -300.0
         out[n == 0] = np.log10(self.unseen)
+        out[symbols >= N_CLASSES] = 0
         return out
 
     def symbols(self, h: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -471,9 +541,11 @@ def _read(model):
             c = classes(np.where(h == END_KEY, END, h), n, g, m.total)
             row_sum = lambda x: np.add.reduceat(x, off[:-1])  # noqa: E731  every row has an end
             base = row_sum(np.log10((n + 1) / (m.total + m.distinct + 1)))
-            symbols = m.symbols(h, c).astype(np.uint16)
+            symbols = m.symbols(h, c)
+            within = row_sum(m.within(n, c, symbols))
+            symbols = symbols.astype(np.uint16)
             blobs = [small.compress(symbols[a:b].tobytes()) for a, b in zip(off[:-1], off[1:], strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array([i for i, *_ in held], pa.int64()), pa.array([t for _, _, t in held], pa.bool_()), pa.array(np.diff(off)), pa.array(row_sum((n > 0).astype(np.int64))), pa.array(base), pa.array(row_sum(m.within(n, c))), pa.array(blobs, pa.binary())], [x.split()[0] for x in READ_ROWS.split(", ")])
+            return pa.RecordBatch.from_arrays([pa.array([i for i, *_ in held], pa.int64()), pa.array([t for _, _, t in held], pa.bool_()), pa.array(np.diff(off)), pa.array(row_sum((n > 0).astype(np.int64))), pa.array(base), pa.array(within), pa.array(blobs, pa.binary())], [x.split()[0] for x in READ_ROWS.split(", ")])
 
         bucket, blobs, table, held, size = None, [], None, [], 0
         for batch in batches:
@@ -503,20 +575,24 @@ def _read(model):
 READ_ROWS = "id long, training boolean, n_tokens long, n_known long, base_score double, within double, symbols binary"
 
 
+def segments(symbols: np.ndarray, told: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """A document's parts that are trained on, each from a zero state."""
+    return [(symbols[i : i + SEGMENT], told[i : i + SEGMENT]) for i in range(0, len(told), SEGMENT)]
+
+
 def _trained(model, number: int):
     """The weights after the task's training documents of a round, times their tokens, and the tokens; each document is trained on once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        net = Network(len(m.network.w["x"]), N_CLASSES, m.network.units)
-        net.w = {k: v.copy() for k, v in m.network.w.items()}
+        net = copy.deepcopy(m.network)
         squeeze, adam, rng = zstandard.ZstdDecompressor(), Adam(net.w), np.random.default_rng(number)
         held, size, tokens = [], 0, 0
         rate = ROUND_RATE * 0.6**number
         for batch in batches:
             for blob in batch.column(0).to_pylist():
                 x = np.frombuffer(squeeze.decompress(blob), np.uint16)
-                held.append((x, m.told[x]))
+                held += segments(x, m.told[x])
                 size, tokens = size + len(x), tokens + len(x)
                 if size > ROUND_TOKENS:
                     net.passed(held, adam, rng, WINDOW, ROUND_BATCH, rate)
@@ -564,7 +640,7 @@ def _score(model):
         squeeze = zstandard.ZstdDecompressor()
         for batch in batches:
             off = np.append(0, np.cumsum(batch.column(1).to_numpy()))
-            for i, j in chunks(off, SCORED_BYTES // 4):
+            for i, j in chunks(off, SCORED_TOKENS):
                 symbols = np.frombuffer(b"".join(squeeze.decompress(x) for x in batch.column(5).slice(i, j - i).to_pylist()), np.uint16)
                 score = batch.column(4).slice(i, j - i).to_numpy() + m.network.scores(symbols, m.told[symbols], off[i : j + 1] - off[i]) / np.log(10)
                 yield pa.RecordBatch.from_arrays([*(batch.column(x).slice(i, j - i) for x in range(4)), pa.array(score)], ["id", "n_tokens", "n_known", "base_score", "score"])
@@ -586,13 +662,16 @@ def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", t
     scratch = scratch or Scratch(spark, "model")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(training if training is not None else F.lit(True), F.lit(False)).alias("training"))
     learn = rows.where("training").select("id", "text")
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size, own, many = rows.agg(F.sum(F.octet_length("text")), F.sum(F.when(F.col("training"), F.octet_length("text"))), F.count_if("training")).first()
+    size, own = size or 0, own or 0
     buckets = max(parts(spark), -(-int(size) // BUCKET_BYTES))
     met = lambda df: df.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
 
-    # a bounded sample by hash: whole documents, as many as the bounds let in
-    sample, tokens = [], 0
-    for r in learn.orderBy(F.xxhash64("id"), "id").limit(GROUP_DOCS).toLocalIterator():
+    # a sample by a threshold of the hash, which is a plain filter: whole documents, about as many as the bounds let in
+    sample, tokens, length = [], 0, F.coalesce(F.octet_length("text"), F.lit(0))
+    share = min(1.0, GROUP_DOCS / max(1, many), GROUP_BYTES / max(1, own))
+    drawn = F.col("training") & (F.pmod(F.xxhash64("id", length), F.lit(1 << 30)) < int(share * (1 << 30)))
+    for r in sorted(rows.where(drawn & (length <= GROUP_LONGEST)).select("id", "text").collect(), key=lambda r: (zlib.crc32(str(r.id).encode()), str(r.id), r.text or "")):
         b = np.frombuffer((r.text or "").encode(), np.uint8)
         sample.append(token_hashes(b, np.array([0, len(b)]))[0])
     signs, centres = _fit_groups(sample)
@@ -621,8 +700,10 @@ def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", t
     sums = np.zeros(N_CLASSES)
     for r in table.mapInArrow(_by_class(total), "c long, tokens long").groupBy("c").agg(F.sum("tokens").alias("n")).collect():
         sums[r.c] = r.n
-    common = np.sort(head[0][np.argsort(-head[1], kind="stable")[:READ]])
-    model = Model(total, distinct, (once + 1) / (once + 2 * twice + 2), once, sums, head, common, Network(N_CLASSES + len(common), N_CLASSES))
+    # the end has a class of its own, and words seen once are one with unseen ones
+    may = np.flatnonzero((head[1] > 1) & (head[0] != END_KEY))
+    common = np.sort(head[0][may[np.argsort(-head[1][may], kind="stable")[:READ]]])
+    model = Model(total, distinct, (once + 1) / (once + 2 * twice + 2), once, sums, head, common)
 
     chosen = []
     for d in sample[:TRAIN_DOCS]:
@@ -636,7 +717,7 @@ def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", t
         for h in chosen:
             n, g, _ = _of(known, h)
             c = classes(np.where(h == END_KEY, END, h), n, g, total)
-            streams.append((model.symbols(h, c), c))
+            streams += segments(model.symbols(h, c), c)
         model.network.train(streams)
     shared = spark.sparkContext.broadcast(model)
 
