@@ -273,11 +273,16 @@ def small_network():
     return net
 
 
+def shares(y, e):
+    assert np.allclose(np.exp(y), e)
+    return e / e.sum(0)
+
+
 def test_network_gradients_and_state():
     net = small_network()
     # symbols 0 to 4 are classes, 5 to 8 words of the classes 2, 2, 3 and 2
     xs, cs = np.array([[1, 0], [5, 8], [2, 7], [6, 0]]), np.array([[1, 0], [2, 2], [2, 3], [2, -1]])
-    h = np.random.default_rng(1).normal(size=(2, 4)) * 0.1
+    h = np.random.default_rng(1).normal(size=(4, 2)) * 0.1
     grads, _, loss, n = net._window(h, xs, cs)
     for name, at in (("x", (5, 5)), ("u", (1, 2)), ("o", (2, 3)), ("b", (1,)), ("v", (1, 6)), ("v", (2, 2)), ("v", (0, 7)), ("d", (8,))):
         eps = 1e-6
@@ -287,18 +292,21 @@ def test_network_gradients_and_state():
         assert (more - loss) / eps / n == pytest.approx(grads[name][at], abs=1e-4)
     symbols, told = np.array([1, 5, 2, 6, 1]), np.array([1, 2, 2, 2, 1])
     whole = net.scores(symbols, told, np.array([0, 4, 5]))
-    assert whole[1] == pytest.approx(net.log_classes(np.zeros((1, 4)))[0, 1], abs=1e-5) and whole[0] < whole[1] * 0.9
-    assert whole[0] == pytest.approx(-net._window(np.zeros((1, 4)), symbols[:4, None], told[:4, None])[2], abs=1e-4)
+    assert whole[1] == pytest.approx(np.log(shares(*net.classes_of(np.zeros((4, 1))))[1, 0]), abs=1e-5) and whole[0] < whole[1] * 0.9
+    assert whole[0] == pytest.approx(-net._window(np.zeros((4, 1)), symbols[:4, None], told[:4, None])[2], abs=1e-4)
 
 
 def test_probabilities_sum_to_one_in_every_state():
     net = small_network()
-    for h in np.random.default_rng(2).normal(size=(5, 1, 4)):
-        c = np.exp(net.log_classes(h))[0]
-        total = sum(p * (np.exp(net.log_words(h, net.members[i])).sum() if i in net.members else 1) for i, p in enumerate(c))
-        assert total == pytest.approx(1)
+    for h in np.random.default_rng(2).normal(size=(5, 4, 1)):
+        c = shares(*net.classes_of(h))[:, 0]
+        total = sum(p * (shares(*net.words_of(h, net.members[i])).sum() if i in net.members else 1) for i, p in enumerate(c))
+        assert c.sum() == pytest.approx(1) and total == pytest.approx(1)
         # the state decides which word of a class comes
-        assert not np.allclose(net.log_words(h, net.members[2]), net.log_words(h * 0, net.members[2]))
+        assert not np.allclose(shares(*net.words_of(h, net.members[2])), shares(*net.words_of(h * 0, net.members[2])))
+    # great weights don't overflow
+    net.w["o"] *= 1e4
+    assert np.isfinite(net.classes_of(h)[1]).all()
     # class 3 has no words but the one that is read
     assert net.members[3].tolist() == [7] and net.members[2].tolist() == [5, 6, 8, 2]
 

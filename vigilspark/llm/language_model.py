@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .repeats import BUCKET_BYTES, ROWS, _dealt, _rows, _send_texts, doc_bucket, pack, text_mark, unpack
-from .shared import BLANK_WORD, LOWER, Scratch, chunks, mix, parts, runs, utf8, word_hashes, words
+from .shared import BLANK_WORD, LOWER, Scratch, chunks, give_back, mix, parts, runs, utf8, word_hashes, words
 
 #: Documents and tokens of the network's first passes, at most; documents and bytes, about, whose commonest words and centres groups begin with, and the longest such document.
 TRAIN_DOCS, TRAIN_TOKENS, GROUP_DOCS, GROUP_BYTES, GROUP_LONGEST = 600, 300_000, 2000, 16_000_000, 1_000_000
@@ -37,11 +37,15 @@ MOVES = 2
 #: Words whose counts are broadcast, and upper bounds of bands of relative frequency.
 HEAD = 50_000
 BANDS = np.array([1e-6, 1e-5, 1e-4, 1e-3])
+#: Upper bits of a hash by which the commonest words are looked up.
+SLOT_BITS = 18
 #: Words that describe a document when groups are fitted.
 SIGNS = 64
 END = np.uint64(1)
+#: Words that a task holds before it sends them.
+HELD = 1_500_000
 #: Bytes of text that a task reads, and tokens that it scores, at once; one longer document is taken whole.
-SCORED_BYTES, SCORED_TOKENS = 4_000_000, 4_000_000
+SCORED_BYTES, SCORED_TOKENS = 2_000_000, 4_000_000
 #: States whose softmaxes are taken at once.
 STATES = 50_000
 
@@ -152,7 +156,7 @@ def _count(signs: np.ndarray, centres: np.ndarray, buckets: int):
                     key, n = np.unique((h & ~np.uint64(15)) | g, return_counts=True)
                     held.append((key & ~np.uint64(15), key & np.uint64(15), n))
                     size += len(key)
-                    if size > 3_000_000:
+                    if size > HELD:
                         yield from flush(held)
                         held, size = [], 0
             if held:
@@ -234,12 +238,6 @@ def _matching(wanted: np.ndarray | None, least: int):
 # ---------------------------------------------------------------- the network
 
 
-def _log_softmax(y: np.ndarray) -> np.ndarray:
-    y -= y.max(1, keepdims=True)
-    y -= np.log(np.exp(y).sum(1, keepdims=True))
-    return y
-
-
 class Adam:
     def __init__(self, w: dict[str, np.ndarray]):
         self.moment, self.t = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in w.items()}, 0
@@ -283,39 +281,52 @@ class Network:
             self.place[m] = np.arange(len(m))
 
     def step(self, h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
+        """States are columns, here and below, so that each gate's rows lie together."""
         k = self.units
-        a = self.w["x"][x]
-        p = h @ self.w["u"]
+        a = np.ascontiguousarray(self.w["x"].take(x, 0).T)
+        p = self.w["u"].T @ h
         # the logistic function by way of tanh, which can't overflow
-        zr = a[:, : 2 * k] + p[:, : 2 * k]
+        zr = a[: 2 * k]
+        zr += p[: 2 * k]
         zr *= 0.5
         np.tanh(zr, out=zr)
         zr *= 0.5
         zr += 0.5
-        z, r = zr[:, :k], zr[:, k:]
-        p = p[:, 2 * k :]
-        c = r * p
-        c += a[:, 2 * k :]
+        z, r, c, p = zr[:k], zr[k:], a[2 * k :], p[2 * k :]
+        c += r * p
         np.tanh(c, out=c)
         after = c - h
         after *= z
         after += h
         return after, z, r, c, p
 
-    def log_classes(self, h: np.ndarray) -> np.ndarray:
-        return _log_softmax(h @ self.w["o"] + self.w["b"])
+    def exps(self, y: np.ndarray, out: np.ndarray, bias: np.ndarray) -> np.ndarray:
+        """exp(y), y being out.T @ states + bias; where weights are great, y loses its greatest entry in each column first."""
+        if float((np.abs(out).sum(0) + np.abs(bias)).max(initial=0)) > 60:
+            y -= y.max(0)
+        return np.exp(y)
+
+    def classes_of(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each column the scores of classes and their exponentials."""
+        y = self.w["o"].T @ h
+        y += self.w["b"][:, None]
+        return y, self.exps(y, self.w["o"], self.w["b"])
+
+    def words_of(self, h: np.ndarray, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each column the scores of a class's symbols and their exponentials."""
+        v, d = self.w["v"][:, members], self.w["d"][members]
+        y = v.T @ h
+        y += d[:, None]
+        return y, self.exps(y, v, d)
 
     def words(self, symbols: np.ndarray, told: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Of each class with words that are read: the rows of its tokens, its symbols, and the place of each token's symbol among them."""
+        """Of each class with words that are read: the places of its tokens, its symbols, and the place of each token's symbol among them."""
         order = np.argsort(told.astype(np.int16), kind="stable")
         edges = np.searchsorted(told[order], np.arange(self.classes + 1))
         for c, m in self.members.items():
-            rows = order[edges[c] : edges[c + 1]]
-            if len(rows):
-                yield rows, m, self.place[symbols[rows]]
-
-    def log_words(self, h: np.ndarray, members: np.ndarray) -> np.ndarray:
-        return _log_softmax(h @ self.w["v"][:, members] + self.w["d"][members])
+            at = order[edges[c] : edges[c + 1]]
+            if len(at):
+                yield at, m, self.place[symbols[at]]
 
     def train(self, streams: list[tuple[np.ndarray, np.ndarray]], passes: int = PASSES, window: int = WINDOW, batch: int = BATCH, rate: float = 0.01) -> list[float]:
         """Adam on windows; streams are (symbols read, classes to tell), one for each document, each from a zero state. Returns the mean loss of each pass."""
@@ -334,14 +345,14 @@ class Network:
         for g in rng.permutation(len(groups)):
             own = [streams[i] for i in groups[g]]
             lengths = np.array([len(c) for _, c in own])
-            h = np.zeros((len(own), self.units), self.w["u"].dtype)
+            h = np.zeros((self.units, len(own)), self.w["u"].dtype)
             for i in range(0, int(lengths[0]), window):
                 own = own[: int((lengths > i).sum())]
                 xs, cs = np.zeros((min(window, int(lengths[0]) - i), len(own)), np.int64), np.full((min(window, int(lengths[0]) - i), len(own)), -1)
                 for k, (x, c) in enumerate(own):
                     part = c[i : i + window]
                     xs[: len(part), k], cs[: len(part), k] = x[i : i + window], part
-                grads, h, own_loss, n = self._window(h[: len(own)], xs, cs)
+                grads, h, own_loss, n = self._window(np.ascontiguousarray(h[:, : len(own)]), xs, cs)
                 loss, count = loss + own_loss, count + n
                 adam.step(self.w, grads, rate)
         return loss / max(1, count)
@@ -353,47 +364,62 @@ class Network:
             before.append(h)
             h, *gates = self.step(h, x)
             kept.append(gates)
-        states = np.concatenate(before)
-        log, c = self.log_classes(states), cs.reshape(-1)
+        steps, many = xs.shape
+        states = np.concatenate(before, 1)
+        c = cs.reshape(-1)
         on = np.flatnonzero(c >= 0)
-        loss = -float(log[on, c[on]].sum())
-        d = np.exp(log, out=log)
-        d[on, c[on]] -= 1
+        loss = 0.0
+
+        def told_of(y: np.ndarray, e: np.ndarray, at: np.ndarray, columns: np.ndarray) -> np.ndarray:
+            """The gradient of the loss with regard to the scores, in place of their exponentials."""
+            nonlocal loss
+            sums = e.sum(0)
+            loss -= float((y[at, columns] - np.log(sums[columns])).sum())
+            e /= sums * total
+            e[at, columns] -= 1 / total
+            return e
+
+        d = told_of(*self.classes_of(states), c[on], on)
         if len(on) < len(c):
-            d[c < 0] = 0
-        d /= total
-        grads = {"o": states.T @ d, "b": d.sum(0), "v": np.zeros_like(self.w["v"]), "d": np.zeros_like(self.w["d"])}
-        told = d @ self.w["o"].T
-        for rows, members, at in self.words(xs.reshape(-1)[on], c[on]):
-            rows = on[rows]
-            own = states[rows]
-            log = self.log_words(own, members)
-            loss -= float(log[np.arange(len(rows)), at].sum())
-            d = np.exp(log, out=log)
-            d[np.arange(len(rows)), at] -= 1
-            d /= total
-            grads["v"][:, members] = own.T @ d
-            grads["d"][members] = d.sum(0)
-            told[rows] += d @ self.w["v"][:, members].T
-        told = told.reshape(len(xs), -1, k)
-        back, u = np.zeros_like(h), self.w["u"].T
-        da, dps = np.empty((*xs.shape, 3 * k), h.dtype), np.empty((*xs.shape, 3 * k), h.dtype)
-        for t in range(len(xs) - 1, -1, -1):
+            d[:, c < 0] = 0
+        grads = {"o": states @ d.T, "b": d.sum(1), "v": np.zeros_like(self.w["v"]), "d": np.zeros_like(self.w["d"])}
+        told = self.w["o"] @ d
+        for columns, members, at in self.words(xs.reshape(-1)[on], c[on]):
+            columns = on[columns]
+            own = states.take(columns, 1)
+            d = told_of(*self.words_of(own, members), at, np.arange(len(columns)))
+            grads["v"][:, members] = own @ d.T
+            grads["d"][members] = d.sum(1)
+            told[:, columns] += self.w["v"][:, members] @ d
+        told = told.reshape(k, steps, many)
+        back, u = np.zeros_like(h), self.w["u"]
+        da, dps = np.empty((3 * k, steps, many), h.dtype), np.empty((3 * k, steps, many), h.dtype)
+        ones = np.ones_like(h)
+        for t in range(steps - 1, -1, -1):
             # through the step from before to after, then the output at before
             z, r, cand, p = kept[t]
-            dc = back * z * (1 - cand * cand)
-            da[t, :, :k] = back * (cand - before[t]) * z * (1 - z)
-            da[t, :, k : 2 * k] = dc * p * r * (1 - r)
-            da[t, :, 2 * k :] = dc
-            dps[t] = da[t]
-            dps[t, :, 2 * k :] *= r
-            back = back * (1 - z) + dps[t] @ u + told[t]
-        grads["u"] = states.T @ dps.reshape(-1, 3 * k)
+            dp = np.empty((3 * k, many), h.dtype)
+            zs = back * z
+            rest = back - zs
+            np.multiply(rest, cand - before[t], out=dp[:k])
+            dp[:k] *= z
+            dc = cand * cand
+            np.subtract(ones, dc, out=dc)
+            dc *= zs
+            np.multiply(dc, r, out=dp[2 * k :])
+            np.subtract(ones, r, out=zs)
+            zs *= p
+            np.multiply(zs, dp[2 * k :], out=dp[k : 2 * k])
+            da[: 2 * k, t], da[2 * k :, t], dps[:, t] = dp[: 2 * k], dc, dp
+            back = u @ dp
+            back += rest
+            back += told[:, t]
+        grads["u"] = states @ dps.reshape(3 * k, -1).T
         x = xs.reshape(-1)
-        order = np.argsort(x, kind="stable")
+        order = np.argsort(x.astype(np.int16), kind="stable")
         first = np.flatnonzero(np.append(True, np.diff(x[order]) > 0))
         grads["x"] = np.zeros_like(self.w["x"])
-        grads["x"][x[order][first]] = np.add.reduceat(da.reshape(-1, 3 * k)[order], first, axis=0)
+        grads["x"][x[order][first]] = np.add.reduceat(np.ascontiguousarray(da.reshape(3 * k, -1).T).take(order, 0), first, axis=0)
         return grads, h, loss, total
 
     def scores(self, symbols: np.ndarray, told: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -402,20 +428,25 @@ class Network:
         order = np.argsort(-n, kind="stable")
         start, length = off[:-1][order], n[order]
         out = np.zeros(len(order))
-        h = np.zeros((len(order), self.units), np.float32)
+        h = np.zeros((self.units, len(order)), np.float32)
         active = np.searchsorted(-length, -np.arange(1, (int(length[0]) if len(length) else 0) + 1), "right")
         held, at, size = [], [], 0
 
         def take() -> None:
-            states, i = np.concatenate(held), np.concatenate(at)
+            states, i = np.concatenate(held, 1), np.concatenate(at)
             row = np.concatenate([np.arange(len(x)) for x in at])
-            x, c = symbols[i], told[i]
-            out[: len(at[0])] += np.bincount(row, self.log_classes(states)[np.arange(len(i)), c], minlength=len(at[0]))
-            for rows, members, place in self.words(x, c):
-                out[: len(at[0])] += np.bincount(row[rows], self.log_words(states[rows], members)[np.arange(len(rows)), place], minlength=len(at[0]))
+            x, c, many = symbols[i], told[i], len(at[0])
+
+            def add(y: np.ndarray, e: np.ndarray, place: np.ndarray, own: np.ndarray) -> None:
+                out[:many] += np.bincount(own, y[place, np.arange(len(place))] - np.log(e.sum(0)), minlength=many)
+
+            add(*self.classes_of(states), c, row)
+            for columns, members, place in self.words(x, c):
+                add(*self.words_of(states.take(columns, 1), members), place, row[columns])
 
         for t, m in enumerate(active.tolist()):
-            h = h[:m]
+            if m < h.shape[1]:
+                h = np.ascontiguousarray(h[:, :m])
             held.append(h), at.append(start[:m] + t)
             size += m
             if size > STATES:
@@ -436,9 +467,18 @@ class Model:
         n, g, _ = _of(head, read)
         own = classes(read, n, g, total)
         #: the class of each symbol, and the counts of each class without the words that are read
-        self.told = np.append(np.arange(N_CLASSES), own)
+        self.told = np.append(np.arange(N_CLASSES), own).astype(np.int16)
         self.rest = sums - np.bincount(own, n, minlength=N_CLASSES)
         network = Network(N_CLASSES, own, n / np.maximum(1, sums[own]))
+        #: of each of the commonest words and of none: hash, count, group and what the network reads, or -1
+        self.keys, self.counts, self.groups = (np.append(x, x.dtype.type(0)) for x in head)
+        self.keys[-1] = np.uint64(1)
+        self.symbol = np.full(len(head[0]) + 1, -1)
+        self.symbol[np.searchsorted(head[0], read)] = N_CLASSES + np.arange(len(read))
+        slot, by = (head[0] >> np.uint64(64 - SLOT_BITS)).astype(np.int64), np.argsort(head[1], kind="stable")
+        self.slots, self.shared = np.full(1 << SLOT_BITS, -1, np.int32), np.zeros(1 << SLOT_BITS, bool)
+        self.slots[slot[by]] = by
+        self.shared[slot[self.slots[slot] != np.arange(len(slot))]] = True
         self.total, self.distinct, self.unseen, self.once, self.sums, self.head, self.read, self.network = total, distinct, unseen, once, sums, head, read, network
 
     def within(self, n: np.ndarray, c: np.ndarray, symbols: np.ndarray) -> np.ndarray:
@@ -449,12 +489,23 @@ class Model:
         out[symbols >= N_CLASSES] = 0
         return out
 
-    def symbols(self, h: np.ndarray, c: np.ndarray) -> np.ndarray:
-        if not len(self.read):
-            return c
-        k = np.searchsorted(self.read, h)
-        k[k == len(self.read)] = 0
-        return np.where(self.read[k] == h, N_CLASSES + k, c)
+    def look(self, h: np.ndarray) -> np.ndarray:
+        """Places among the commonest words, or -1: one probe by the upper bits of the hash, and a search for the few words that share them."""
+        slot = h >> np.uint64(64 - SLOT_BITS)
+        k = self.slots[slot]
+        hit = self.keys[k] == h
+        out = np.where(hit, k, -1)
+        may = np.flatnonzero(~hit & self.shared[slot])
+        if len(may):
+            x = np.searchsorted(self.head[0], h[may])
+            x[x == len(self.head[0])] = 0
+            out[may] = np.where(self.head[0][x] == h[may], x, -1)
+        return out
+
+    def symbols(self, k: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """What the network reads, from places among the commonest words and classes."""
+        own = self.symbol[k]
+        return np.where(own >= 0, own, c)
 
 
 def _of(table: tuple[np.ndarray, ...], h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -494,12 +545,12 @@ def _ask(model, buckets: int):
                     h &= ~np.uint64(15)
                     marks = np.array([text_mark(data[off[x] : off[x + 1]].tobytes()) for x in range(i, j)], np.uint16)
                     b = np.repeat(doc_bucket(ids[i:j], marks, buckets), np.diff(at))
-                    far = ~_of(m.head, h)[2] & (h != END_KEY)
+                    far = (m.look(h) < 0) & (h != END_KEY)
                     h, b = h[far], b[far]
                     _, one = np.unique(h ^ mix(b.astype(np.uint64) + np.uint64(1)), return_index=True)
                     held.append((h[one], b[one]))
                     size += len(one)
-                    if size > 3_000_000:
+                    if size > HELD:
                         yield from flush()
                         held, size = [], 0
             if held:
@@ -535,13 +586,13 @@ def _read(model):
             data = np.frombuffer(b"".join(x for _, x, _ in held), np.uint8)
             h, off = token_hashes(data, np.cumsum([0, *(len(x) for _, x, _ in held)]))
             h &= ~np.uint64(15)
-            n, g, there = _of(m.head, h)
-            n2, g2, _ = _of(table, h[~there])
-            n[~there], g[~there] = n2, g2
+            k = m.look(h)
+            n, g, far = m.counts[k], m.groups[k], np.flatnonzero(k < 0)
+            n[far], g[far], _ = _of(table, h[far])
             c = classes(np.where(h == END_KEY, END, h), n, g, m.total)
             row_sum = lambda x: np.add.reduceat(x, off[:-1])  # noqa: E731  every row has an end
             base = row_sum(np.log10((n + 1) / (m.total + m.distinct + 1)))
-            symbols = m.symbols(h, c)
+            symbols = m.symbols(k, c)
             within = row_sum(m.within(n, c, symbols))
             symbols = symbols.astype(np.uint16)
             blobs = [small.compress(symbols[a:b].tobytes()) for a, b in zip(off[:-1], off[1:], strict=True)]
@@ -568,6 +619,7 @@ def _read(model):
                     held, size = [], 0
         if held:
             yield done(held, table)
+        give_back()
 
     return run
 
@@ -602,6 +654,7 @@ def _trained(model, number: int):
         if tokens:
             flat = np.concatenate([net.w[k].reshape(-1) for k in sorted(net.w)]).astype(np.float64) * tokens
             yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([flat.tobytes()], pa.binary())], ["tokens", "w"])
+        give_back()
 
     return run
 
@@ -644,6 +697,7 @@ def _score(model):
                 symbols = np.frombuffer(b"".join(squeeze.decompress(x) for x in batch.column(5).slice(i, j - i).to_pylist()), np.uint16)
                 score = batch.column(4).slice(i, j - i).to_numpy() + m.network.scores(symbols, m.told[symbols], off[i : j + 1] - off[i]) / np.log(10)
                 yield pa.RecordBatch.from_arrays([*(batch.column(x).slice(i, j - i) for x in range(4)), pa.array(score)], ["id", "n_tokens", "n_known", "base_score", "score"])
+        give_back()
 
     return run
 
@@ -717,7 +771,7 @@ def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", t
         for h in chosen:
             n, g, _ = _of(known, h)
             c = classes(np.where(h == END_KEY, END, h), n, g, total)
-            streams += segments(model.symbols(h, c), c)
+            streams += segments(model.symbols(model.look(h), c), c)
         model.network.train(streams)
     shared = spark.sparkContext.broadcast(model)
 
