@@ -92,11 +92,25 @@ class BlockMax:
         # examples of like heaviest terms lie together, so that blocks differ
         order = sorted(range(len(rows)), key=lambda i: (int(rows[i][0][np.argmax(rows[i][1])]) if len(rows[i][0]) else -1, labels[i]))
         self.order, self.labels, self.ids = np.array(order, np.int64), labels[order], [ids[i] for i in order]
-        self.n, self.blocks = len(order), -(-len(order) // BLOCK)
         self.size = np.array([len(rows[i][0]) for i in order], np.int64)
-        #: of each example: where its terms and weights are
+        #: the terms and weights of all examples, one after another
+        self.own_term = (np.concatenate([rows[i][0] for i in order]) if order else np.zeros(0, np.int64)).astype(np.int32)
+        self.own_weight = np.concatenate([rows[i][1] for i in order]) if order else np.zeros(0)
+        self.n_terms = n_terms
+        self.build()
+
+    def __getstate__(self) -> dict:
+        """Only the examples' own lists are sent; the index is built where it is read."""
+        return {x: getattr(self, x) for x in ("order", "labels", "ids", "size", "own_term", "own_weight", "n_terms")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.build()
+
+    def build(self) -> None:
+        n_terms = self.n_terms
+        self.n, self.blocks = len(self.size), -(-len(self.size) // BLOCK)
         self.own = np.cumsum(self.size) - self.size
-        self.own_term, self.own_weight = (np.concatenate([rows[i][x] for i in order]) if order else np.zeros(0, np.int64) for x in (0, 1))
         example = np.repeat(np.arange(self.n), self.size)
         many = np.bincount(self.own_term, minlength=n_terms)
         common = np.argsort(-many, kind="stable")[:COMMON]
@@ -292,25 +306,24 @@ def fitted(docs: DataFrame, examples: DataFrame, *, id_col: str = "doc_id", text
         size += r.m
         if last is None or size <= EXAMPLE_TERMS:
             last = r.place
-    got = near.where(F.col("place") <= last).collect() if last is not None else []
+    got = near.where(F.col("place") <= last).toArrow() if last is not None else near.limit(0).toArrow()
     scratch.drop(near)
-    got = sorted(got, key=lambda r: (r.id, r.terms, r.counts))
-    sets = [(np.frombuffer(r.terms, np.uint64), np.frombuffer(r.counts, np.int64)) for r in got]
-    labels = np.array([r.label for r in got], np.int64)
+    got = got.sort_by([("id", "ascending"), ("terms", "ascending"), ("counts", "ascending")])
+    sets = [(np.frombuffer(t, np.uint64), np.frombuffer(c, np.int64)) for t, c in zip(got["terms"].to_pylist(), got["counts"].to_pylist(), strict=True)]
+    labels, ids = got["label"].to_numpy().astype(np.int64), got["id"].to_pylist()
+    del got
     vocabulary = np.unique(np.concatenate([t for t, _ in sets])) if sets else np.zeros(0, np.uint64)
     kept = [(np.searchsorted(vocabulary, t), c) for t, c in sets]
     holders = np.zeros((len(vocabulary), 2))
     for (k, _), y in zip(kept, labels, strict=True):
         holders[k, y] += 1
-    seen = rows.select("text").mapInArrow(_frequencies(spark.sparkContext.broadcast(vocabulary)), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    df, total = np.zeros(len(vocabulary)), 0
-    for r in seen:
-        if r.term < 0:
-            total = r["n"]
-        else:
-            df[r.term] = r["n"]
+    seen = rows.select("text").mapInArrow(_frequencies(spark.sparkContext.broadcast(vocabulary)), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df, total = np.zeros(len(vocabulary) + 1), 0
+    df[seen["term"].to_numpy()] = seen["n"].to_numpy()
+    # term -1 counts the rows
+    df, total = df[:-1], df[-1]
     idf = np.log((2 + total) / (1 + df))
-    return Model(vocabulary, idf * relevance(holders, (int((labels == 0).sum()), int((labels == 1).sum()))), kept, labels, [r.id for r in got], totals)
+    return Model(vocabulary, idf * relevance(holders, (int((labels == 0).sum()), int((labels == 1).sum()))), kept, labels, ids, totals)
 
 
 def scored(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, keep: str = "true") -> DataFrame:
