@@ -15,7 +15,7 @@ from vigilspark.llm.language_model import Network
 from vigilspark.llm.language_model import scored as model_scored
 from vigilspark.llm.licenses import scanned
 from vigilspark.llm.minhash import near_duplicates
-from vigilspark.llm.packing import ChunkTokens, best_fit, configurations, packed, priced
+from vigilspark.llm.packing import ChunkTokens, best_fit, configurations, packed, priced, solved
 from vigilspark.llm.repeats import repeated_bytes
 from vigilspark.llm.shared import Scratch
 from vigilspark.llm.toxicity import BlockMax, fitted, scored
@@ -207,8 +207,41 @@ def test_plans_hold_each_item_once_and_fit():
                 for n, k in config:
                     held[n] = held.get(n, 0) + times * k
             assert held == dict(zip(lengths.tolist(), counts.tolist(), strict=True))
-    best = priced(np.array([3, 5, 7]), np.array([3.0, 5.2, 7.1]), 10)
-    assert best == {1: 2}
+    assert priced(np.array([3, 5, 7]), np.array([3.0, 5.2, 7.1]), 10)[[2, 4, 9, 10]] == pytest.approx([0, 3.0, 9.0, 10.4])
+
+
+def test_the_program_places_most_items_near_its_bound():
+    r = np.random.default_rng(6)
+    lengths, counts = np.unique(np.minimum(4095, r.gamma(1.2, 700, 4000).astype(int) + 1), return_counts=True)
+    for times in (1, 50):
+        many = counts * times
+        plan, rest, bound = solved(lengths, many, 4096)
+        assert (rest * lengths).sum() < 0.1 * (many * lengths).sum()
+        assert bound == pytest.approx((many * lengths).sum() / 4096, rel=0.01)
+        total = sum(n for n, _ in configurations(lengths, many))
+        assert bound <= total + 1e-6 and total <= max(bound * 1.002, bound + 2) and total <= sum(n for n, _ in best_fit(lengths, many, 4096))
+    # where best fit is far from the bound the program saves sequences
+    lengths, counts = np.unique(r.integers(1024, 2049, 20000), return_counts=True)
+    assert sum(n for n, _ in configurations(lengths, counts)) < 0.98 * sum(n for n, _ in best_fit(lengths, counts, 4096))
+
+
+def test_packed_pieces_equal_the_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    real = Tokenizer.from_file(entries.tokenizer_path("word_bpe_49k.json"))
+    t = pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pydict()
+    want = {}
+    for i, text in zip(t["doc_id"], t["text"], strict=True):
+        ids = np.array([*real.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+        for k, at in enumerate(range(0, len(ids), 4096)):
+            want[i, k] = (at, len(ids[at : at + 4096]), zlib.crc32(ids[at : at + 4096].tobytes()))
+    got = entries.op9_packing(spark, "/root/testdata/sf0.001").collect()
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in got} == want and len(got) == len(want)
+    used = {}
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == used.get(r.sequence_id, 0)
+        used[r.sequence_id] = r.offset + r.length
+    assert max(used.values()) <= 4096 and len(used) <= -(-sum(used.values()) // 4096) + 1
 
 
 def test_chunked_tokens_equal_the_tokenizer():

@@ -2,8 +2,9 @@
 
 The lengths' histogram, at most ``capacity`` numbers however many documents there are, is all that the driver plans from. A
 configuration is a multiset of lengths that fits in one sequence. The program (fewest configurations that cover the
-histogram) is solved by multiplicative weights, the configuration of most weight being priced by a knapsack dynamic program;
-its solution is rounded down, and what it leaves is packed best fit, longest first, on the histogram too.
+histogram) is solved by multiplicative weights: a knapsack dynamic program prices configurations by the weights of what they
+hold, those of most weight are taken for a part of what they cover, and the weights of what is covered fall. Steps are rounded to whole sequences as
+they are taken, so that nothing of a configuration is lost. What only fits configurations that leave much room is packed best fit, longest first.
 """
 
 from __future__ import annotations
@@ -21,8 +22,13 @@ from pyspark.sql import functions as F
 from .shared import LOWER, Scratch, chunks, give_back, parts, utf8
 
 CAPACITY = 4096
-#: Rounds of multiplicative weights and the step of each, as a part of the scarcest length of its configuration.
-ROUNDS, STEP, RATE = 200, 0.5, 1.0
+#: Rounds of multiplicative weights (one dynamic program each), the part of all items that a round places, and the step of a configuration as a part of its
+#: scarcest length.
+ROUNDS, PART, STEP = 60, 0.08, 0.5
+#: Ways in which the program is solved, of whose plans the one of fewest sequences is taken: how fast weights fall, the least part of a sequence that a
+#: configuration fills (what fits none is packed best fit), the part of the items that is kept back for best fit, differences of worth that don't
+#: count, and whether the longest (or else the shortest) of equal worth is taken.
+WAYS = [(0.01, 0.995, 0.06, 3e-3, True), (0.003, 0.995, 0.09, 1e-3, True), (0.5, 0.985, 0.06, 1e-9, False)]
 #: Distinct chunks between white space whose ids a worker remembers.
 REMEMBERED = 800_000
 #: Marks before which the tokenizer always cuts a word; a space there changes nothing.
@@ -163,63 +169,91 @@ def _pieces(path: str, end: int, capacity: int):
 # ---------------------------------------------------------------- the plan
 
 
-def priced(lengths: np.ndarray, values: np.ndarray, capacity: int) -> dict[int, int]:
-    """The configuration of most value, by dynamic programming over the room left: {index of length: times}."""
+def priced(lengths: np.ndarray, values: np.ndarray, capacity: int) -> np.ndarray:
+    """The greatest value of a multiset of lengths that fits in each room from 0 to capacity, by dynamic programming."""
     order = np.argsort(lengths)
     ls, vs = lengths[order], values[order]
-    best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1, np.int64)
+    best = np.zeros(capacity + 1)
     fit = np.searchsorted(ls, np.arange(capacity + 1), "right")
     for c in range(int(ls[0]), capacity + 1):
-        k = fit[c]
-        got = best[c - ls[:k]] + vs[:k]
-        x = int(got.argmax())
-        if got[x] > best[c - 1]:
-            best[c], pick[c] = got[x], x
-        else:
-            best[c] = best[c - 1]
-    out: dict[int, int] = {}
-    c = capacity
-    while c > 0:
-        if pick[c] < 0:
-            c -= 1
-        else:
-            i = int(order[pick[c]])
-            out[i] = out.get(i, 0) + 1
-            c -= int(lengths[i])
-    return out
+        best[c] = max(best[c - 1], (best[c - ls[: fit[c]]] + vs[: fit[c]]).max())
+    return best
+
+
+def filled(first: int, lengths: np.ndarray, left: np.ndarray, values: np.ndarray, best: np.ndarray, capacity: int, tie: float, longest: bool) -> dict[int, int]:
+    """The configuration that holds one length and is filled by what is worth most with the room that it leaves, of what is left."""
+    out, room = {first: 1}, capacity - int(lengths[first])
+    has = left > 0
+    has[first] = left[first] > 1
+    while True:
+        fits = np.flatnonzero(has[: np.searchsorted(lengths, room, "right")])
+        if not len(fits):
+            return out
+        worth = values[fits] + best[room - lengths[fits]]
+        i = int(fits[np.flatnonzero(worth >= worth.max() - tie)[-1 if longest else 0]])
+        out[i] = out.get(i, 0) + 1
+        room -= int(lengths[i])
+        has[i] = left[i] > out[i]
+
+
+def solved(lengths: np.ndarray, counts: np.ndarray, capacity: int, way: tuple[float, float, float, float, bool] = WAYS[0]) -> tuple[list[tuple[int, list[tuple[int, int]]]], np.ndarray, float]:
+    """The program's configurations with the times that each is taken, what they leave of each length, and a lower bound of the number of sequences.
+
+    lengths ascend. Weights begin as parts of the capacity. The bound is that of weak duality: the weight of all items over the greatest weight of a configuration.
+    """
+    rate, full, part, tie, longest = way
+    # of every length a part is kept back, spread over lengths that few items have, so that the rest holds what fills gaps
+    spread = (np.arange(1, len(lengths) + 1) * 0.6180339887498949) % 1
+    kept = np.minimum(counts, (part * counts + spread).astype(np.int64))
+    left, plan, bound = counts - kept, [], 0.0
+    values = lengths / capacity
+    hopeless = np.zeros(len(lengths), bool)
+    for _ in range(ROUNDS):
+        open_ = np.flatnonzero((left > 0) & ~hopeless)
+        if not len(open_):
+            break
+        best = priced(lengths[left > 0], values[left > 0], capacity)
+        bound = max(bound, float((counts * values).sum() / priced(lengths, values, capacity)[capacity])) if not plan else bound
+        goal, placed = max(PART * float((left * lengths).sum()), capacity), 0
+        # lengths whose best configuration is worth most per round, the longest first among equals
+        seeds = open_[np.lexsort((-lengths[open_], -np.round(values[open_] + best[capacity - lengths[open_]], 6)))]
+        for i in seeds:
+            while left[i] > 0 and placed < goal:
+                config = filled(int(i), lengths, left, values, best, capacity, tie, longest)
+                k, n = np.array(sorted(config.items())).T
+                if (lengths[k] * n).sum() < full * capacity:
+                    hopeless[i] = True
+                    break
+                most = int((left[k] // n).min())
+                times = max(1, int(most * STEP))
+                plan.append((times, [(int(lengths[a]), int(b)) for a, b in zip(k, n, strict=True)]))
+                left[k] -= times * n
+                values[k] = lengths[k] / capacity * np.exp(rate * (left[k] / counts[k] - 1))
+                placed += times * int((lengths[k] * n).sum())
+                if times < most:
+                    break
+            if placed >= goal:
+                break
+    return plan, left + kept, bound
 
 
 def configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, list[tuple[int, int]]]]:
-    """(times, [(length, times in it)]) that hold every item of the histogram exactly once."""
-    left = counts.astype(np.int64).copy()
-    plan: list[tuple[int, list[tuple[int, int]]]] = []
+    """(times, [(length, times in it)]) that hold every item of the histogram exactly once: the program's plan and best fit for its rest, or best fit alone where that takes fewer."""
+    order = np.argsort(lengths)
+    lengths, left = lengths[order], counts[order].astype(np.int64)
     whole = lengths == capacity
-    if whole.any():
-        plan.append((int(left[whole][0]), [(capacity, 1)]))
-        left[whole] = 0
-    use = np.flatnonzero((left > 0) & ~whole)
-    if len(use):
-        ls, demand = lengths[use], left[use].astype(float)
-        value, x = ls / capacity, {}
-        covered = np.zeros(len(use))
-        for _ in range(min(ROUNDS, 4 * len(use))):
-            open_ = np.flatnonzero(covered < demand)
-            if not len(open_):
-                break
-            found = priced(ls[open_], value[open_], capacity)
-            config = tuple(sorted((int(open_[i]), n) for i, n in found.items()))
-            i, n = np.array(config).T
-            step = STEP * float((demand[i] / n).min())
-            x[config] = x.get(config, 0.0) + step
-            covered[i] += step * n
-            value[i] *= np.exp(-RATE * step * n / demand[i])
-        for config, times in sorted(x.items(), key=lambda c: -c[1]):
-            i, n = np.array(config).T
-            t = min(int(times), int((left[use[i]] // n).min()))
-            if t > 0:
-                plan.append((t, [(int(ls[a]), int(b)) for a, b in config]))
-                left[use[i]] -= t * n
-    return plan + best_fit(lengths, left, capacity)
+    plan = [(int(left[whole][0]), [(capacity, 1)])] if whole.any() else []
+    lengths, left = lengths[~whole], left[~whole]
+    if not len(lengths):
+        return plan
+    plans = []
+    for way in WAYS:
+        own, rest, _ = solved(lengths, left, capacity, way)
+        own += best_fit(lengths, rest, capacity)
+        plans.append((sum(n for n, _ in own), int((rest * lengths).sum()), own))
+    few = min(plans, key=lambda p: p[:2])
+    plain = best_fit(lengths, left, capacity)
+    return plan + (few[2] if few[0] <= sum(n for n, _ in plain) else plain)
 
 
 def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
