@@ -21,6 +21,13 @@ DROPPED = frozenset("aside audio button canvas dialog embed fieldset footer form
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words of a class, id or role that tell menus, notices, adverts, comments and the like.
 SIGNS = frozenset("ad ads advert adverts advertisement advertising adslot adsense alert banner breadcrumb breadcrumbs byline comment comments commentlist complementary consent contentinfo cookie cookies copyright dialog disqus disclaimer dropdown footer gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notification overlay pagination paywall popup promo promotion recommended recommendations related replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets".split())
+#: Elements that are dropped only if one of their classes as a whole is such a word, and elements that never are, whatever their names.
+MARKED_WHOLE = frozenset("p li span a b i em strong blockquote pre code td tr table figure dl dt dd".split())
+NAMED_FREELY = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())
+#: Ids that tell reader comments and the like within an article, where other ids name its parts.
+ARTICLE_IDS = frozenset("ad ads comment comments disqus newsletter replies respond sidebar".split())
+#: Elements that mark an article.
+ARTICLES = frozenset(("article", "main"))
 #: Elements within which lines belong together.
 HOLDERS = frozenset("article main section div td body center dd".split())
 _WORD = re.compile(r"[a-z]+")
@@ -51,12 +58,20 @@ class Lines(HTMLParser):
         self.text, self.tags = [], 0
 
     def is_dropped(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        if tag in DROPPED or tag == "header" and not any(t in ("article", "main") for t, _ in self.open):
+        inside = any(t in ARTICLES for t, _ in self.open)
+        if tag in DROPPED or tag == "header" and not inside:
             return True
         for k, v in attrs:
             if k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and "display:none" in v.replace(" ", "").lower():
                 return True
-            if k in ("class", "id", "role") and v and tag not in ("html", "body", "article", "main") and not SIGNS.isdisjoint(_WORD.findall(v.lower())):
+            if not v or tag in NAMED_FREELY or k not in ("class", "id", "role"):
+                continue
+            v = v.lower()
+            if k == "id" and (inside or tag in MARKED_WHOLE):
+                named = inside and tag not in MARKED_WHOLE and v in ARTICLE_IDS
+            else:
+                named = not SIGNS.isdisjoint(v.split() if tag in MARKED_WHOLE else _WORD.findall(v))
+            if named:
                 return True
         return False
 
@@ -111,9 +126,10 @@ def smoothed(ratio: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return np.convolve(np.pad(ratio, r, mode="edge"), kernel, "valid")
 
 
-def content_lines(ratio: np.ndarray) -> np.ndarray:
-    """Lines of the upper of two clusters of smoothed ratios, by a threshold between the means; all, if they hardly differ."""
-    s = smoothed(ratio)
+def content_lines(ratio: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Lines of the upper of two clusters of ratios, smoothed within each run of equal parts, by a threshold between the means; all, if they hardly differ."""
+    cuts = np.flatnonzero(part[1:] != part[:-1]) + 1
+    s = np.concatenate([smoothed(x) for x in np.split(ratio, cuts)])
     cut = s.mean()
     for _ in range(50):
         hi, lo = s[s >= cut], s[s < cut]
@@ -142,36 +158,38 @@ def parsed(html: str, kind: type[Lines] = Lines) -> Lines:
 def main_text(html: str | None) -> str:
     """The lines of content regions, joined by blank lines.
 
-    Content lines vote, by length, for the article or main element around them, or else the nearest holder; all lines in an elected one are
-    the region, short ones between and beside long ones too. Other holders are regions if over half of their text is in content lines.
+    Content lines vote, by length, for the article or main element around them, or else the nearest holder. A region is elected if over half of its
+    text is in content lines; of an element that marks an article a fifth is enough. Elected marked regions with a third of all content lines' text or more
+    are the article alone, else all elected ones are it. Short lines between and beside long ones belong to their region. Without any elected region
+    marked ones, or all, are taken.
     """
     if not html:
         return ""
     p = parsed(html)
     if not p.lines:
         return ""
-    ratio = np.array([len(t) / max(1, n) for t, n, _ in p.lines])
-    hit = content_lines(ratio)
 
     def region(h: int) -> int:
         near = h
         while h:
-            if p.kinds[h] in ("article", "main"):
+            if p.kinds[h] in ARTICLES:
                 return h
             h = p.up[h]
         return near
 
     of = [region(h) for _, _, h in p.lines]
-    marked = [p.kinds[r] in ("article", "main") for r in of]
-    if any(m and x for m, x in zip(marked, hit, strict=True)) or all(marked):
-        # a page that marks its article has it there
-        own = {r for r, m in zip(of, marked, strict=True) if m}
-    else:
-        size, content = {}, {}
-        for (t, _, _), r, x in zip(p.lines, of, hit, strict=True):
-            size[r] = size.get(r, 0) + len(t)
-            content[r] = content.get(r, 0) + len(t) * bool(x)
-        own = {r for r in size if 2 * content[r] > size[r]}
+    ratio = np.array([len(t) / max(1, n) for t, n, _ in p.lines])
+    # what is marked is smoothed on its own
+    hit = content_lines(ratio, np.array([r if p.kinds[r] in ARTICLES else -1 for r in of]))
+    size, content = {}, {}
+    for (t, _, _), r, x in zip(p.lines, of, hit, strict=True):
+        size[r] = size.get(r, 0) + len(t)
+        content[r] = content.get(r, 0) + len(t) * bool(x)
+    marked = {r for r in size if p.kinds[r] in ARTICLES}
+    own = {r for r in size if content[r] * (5 if r in marked else 2) > size[r]}
+    if 3 * sum(content[r] for r in own & marked) >= sum(content.values()) and own & marked:
+        own &= marked
+    own = own or marked or set(size)
     return "\n\n".join(t for (t, _, _), r in zip(p.lines, of, strict=True) if r in own)
 
 
