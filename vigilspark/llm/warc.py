@@ -3,18 +3,25 @@
 from __future__ import annotations
 
 import base64
+import codecs
 import gzip
 import hashlib
+import io
+import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
 from .html_text import Lines, parsed
 
+#: Bytes that are inflated at once, bytes of headers at most, and bytes of records whose derivatives are handed on together.
+PART_BYTES, HEAD_BYTES, FILE_BYTES = 1 << 20, 1 << 20, 8 << 20
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 
@@ -45,20 +52,97 @@ def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def records(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
-    """The records of a file's bytes, gzip members or not: headers as they are, without Content-Length, and block."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        headers = [tuple(x.split(": ", 1)) if ": " in x else (x.rstrip(":"), "") for x in lines[1:]]
-        n = int(next(v for k, v in headers if k.lower() == "content-length"))
-        yield [h for h in headers if h[0].lower() != "content-length"], data[end + 4 : end + 4 + n]
-        at = end + 4 + n + 4
+def inflated(data: bytes) -> Iterator[bytes]:
+    """A file's bytes in parts: those of its gzip members or zstd frames, or as they are. What can't be read on ends it."""
+    if data[:4] == b"\x28\xb5\x2f\xfd":
+        reader = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data), read_across_frames=True)
+        try:
+            while part := reader.read(PART_BYTES):
+                yield part
+        except zstandard.ZstdError:
+            return
+        return
+    rest = memoryview(data)
+    if data[:2] != b"\x1f\x8b":
+        for i in range(0, len(rest), PART_BYTES):
+            yield bytes(rest[i : i + PART_BYTES])
+        return
+    while len(rest):
+        member, at = zlib.decompressobj(31), 0
+        try:
+            # never more than a part at once, however well it was compressed
+            held = b""
+            while not member.eof and (held or at < len(rest)):
+                if not held:
+                    held, at = bytes(rest[at : at + PART_BYTES]), at + PART_BYTES
+                yield member.decompress(held, PART_BYTES)
+                held = member.unconsumed_tail
+        except zlib.error:
+            return
+        left = len(member.unused_data)
+        rest = rest[min(at, len(rest)) - left :] if left else rest[min(at, len(rest)) :]
+
+
+def records(data: bytes) -> Iterator[tuple[list[tuple[str, str]] | None, bytes]]:
+    """The records of a file's bytes, compressed or not, one after another: headers as they are, without Content-Length, and block.
+
+    What is no record gives None and a message; reading goes on at the next place that looks like one. Only the record at hand is held.
+    """
+    parts, held, at, done = inflated(data), bytearray(), 0, False
+
+    def more() -> bool:
+        nonlocal done
+        part = next(parts, None)
+        done = part is None
+        held.extend(part or b"")
+        return not done
+
+    def drop(n: int) -> None:
+        nonlocal at
+        del held[:n]
+        at += n
+
+    while True:
+        while len(held) < 5 and more():
+            pass
+        blank = len(held) - len(held.lstrip(b"\r\n"))
+        if blank:
+            drop(blank)
+            continue
+        if not held:
+            return
+        end = held.find(b"\r\n\r\n")
+        while end < 0 and len(held) < HEAD_BYTES and more():
+            end = held.find(b"\r\n\r\n")
+        headers, fault = _headers(bytes(held[:end])) if end >= 0 and held.startswith(b"WARC/") else (None, "no WARC record")
+        if headers is not None:
+            n = int(next(v for k, v in headers if k.lower() == "content-length"))
+            while len(held) < end + 4 + n and more():
+                pass
+            if len(held) >= end + 4 + n:
+                yield [h for h in headers if h[0].lower() != "content-length"], bytes(held[end + 4 : end + 4 + n])
+                drop(end + 4 + n)
+                continue
+            fault = f"a block of {n} bytes ends after {len(held) - end - 4}"
+        yield None, f"{fault} at byte {at}".encode()
+        drop(1)
+        while (found := held.find(b"\r\n\r\nWARC/")) < 0:
+            drop(max(0, len(held) - 8))
+            if not more():
+                return
+        drop(found + 4)
+
+
+def _headers(head: bytes) -> tuple[list[tuple[str, str]] | None, str]:
+    out: list[tuple[str, str]] = []
+    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and out:
+            out[-1] = (out[-1][0], f"{out[-1][1]} {line.strip()}".strip())
+        elif line:
+            k, _, v = line.partition(":")
+            out.append((k.strip(), v.strip()))
+    sizes = [v for k, v in out if k.lower() == "content-length"]
+    return (out, "") if sizes and sizes[0].isascii() and sizes[0].isdigit() else (None, "no Content-Length")
 
 
 def http_parts(block: bytes) -> tuple[list[str], bytes]:
@@ -69,6 +153,70 @@ def http_parts(block: bytes) -> tuple[list[str], bytes]:
     return head.decode("latin-1").split("\r\n"), body if found else b""
 
 
+def unchunked(body: bytes) -> bytes:
+    """A body without the marks of chunked transfer; what isn't so marked stays as it is."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        size = body[at:end].split(b";")[0].strip() if end >= 0 else b""
+        if not size or size.strip(b"0123456789abcdefABCDEF"):
+            return b"".join(out) if out else body
+        n = int(size, 16)
+        if not n:
+            return b"".join(out)
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 4 + n
+
+
+def decoded(http: list[str], body: bytes) -> tuple[str, str, list[str]]:
+    """The text of a message, its media type and what kept it from being read; transfer and content encodings are undone and the character set is found."""
+    h: dict[str, str] = {}
+    for line in http[1:]:
+        k, _, v = line.partition(":")
+        h[k.strip().lower()] = v.strip()
+    faults = []
+    if "chunked" in h.get("transfer-encoding", "").lower():
+        body = unchunked(body)
+    for name in reversed([x.strip().lower() for x in h.get("content-encoding", "").split(",") if x.strip()]):
+        try:
+            if name in ("gzip", "x-gzip"):
+                body = b"".join(inflated(body)) if body[:2] == b"\x1f\x8b" else body
+            elif name == "deflate":
+                body = zlib.decompressobj(15 if body[:1] == b"\x78" else -15).decompress(body)
+            elif name == "zstd":
+                body = b"".join(inflated(body))
+            elif name != "identity":
+                return "", "", [f"content encoding {name} is not known"]
+        except zlib.error as e:
+            faults.append(f"content encoding {name}: {e}")
+    kind, _, rest = h.get("content-type", "").partition(";")
+    named = _CHARSET.search(rest.encode("latin-1", "replace")) or _CHARSET.search(b" ".join(_META.findall(body[:4096])))
+    for mark, name in ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")):
+        if body.startswith(mark):
+            return body[len(mark) :].decode(name, "replace"), kind.strip().lower(), faults
+    try:
+        name = codecs.lookup(named.group(1).decode()).name if named else ""
+    except (LookupError, UnicodeDecodeError):
+        name = ""
+    if not name:
+        try:
+            return body.decode(), kind.strip().lower(), faults
+        except UnicodeDecodeError:
+            # as browsers do where nothing is told
+            name = "utf-8" if named or _is_utf8(body) else "cp1252"
+    # browsers read the names of these as the wider set
+    return body.decode({"iso8859-1": "cp1252", "ascii": "cp1252"}.get(name, name), "replace"), kind.strip().lower(), faults
+
+
+def _is_utf8(body: bytes) -> bool:
+    """Whether most of the bytes beyond ASCII are UTF-8, as in a text with a few broken characters."""
+    return 2 * body.decode("utf-8", "replace").count("\ufffd") < sum(1 for _ in re.finditer(rb"[\x80-\xff]+", body))
+
+
+_CHARSET, _META = re.compile(rb"(?i)charset\s*=\s*[\"']?\s*([a-z0-9_.:-]+)"), re.compile(rb"(?i)<meta[^>]*>")
+HTML = ("", "text/html", "application/xhtml+xml")
+
+
 def response(uri: str | None, html: str | None, date: str) -> tuple[list[tuple[str, str]], bytes]:
     """A response record of a page as a crawler would write it."""
     body = (html or "").encode()
@@ -80,16 +228,22 @@ def response(uri: str | None, html: str | None, date: str) -> tuple[list[tuple[s
 def derived(headers: list[tuple[str, str]], block: bytes) -> list[tuple[list[tuple[str, str]], bytes]]:
     """The metadata and the conversion record of a response record, each of which refers to it; none of other records.
 
-    The metadata record keeps the source's headers and those of its HTTP message.
+    The metadata record keeps the source's headers and those of its HTTP message. Bodies are read as their encodings and character sets tell. A body that isn't text, or
+    whose encoding isn't known, has an empty conversion, and its metadata tells why (conversion-fault).
     """
     h = {k.lower(): v for k, v in headers}
     if h.get("warc-type") != "response":
         return []
     source, uri, date = h.get("warc-record-id", ""), h.get("warc-target-uri", ""), h.get("warc-date", "")
     http, body = http_parts(block)
-    text = plain_text(body.decode("utf-8", "replace")).encode()
+    text, kind, faults = decoded(http, body)
+    if kind in HTML:
+        text = plain_text(text)
+    elif not kind.startswith("text/"):
+        text, faults = "", [*faults, f"{kind} is not text"]
+    text = text.encode("utf-8", "replace")
     conversion_id, metadata_id = record_id("conversion", source), record_id("metadata", source)
-    fields = [*(f"source-{k.lower()}: {v}" for k, v in headers), *(f"http-{x}" for x in http), f"source-payload-length: {len(body)}", f"conversion-record: {conversion_id}", f"conversion-block-digest: {digest(text)}", f"conversion-length: {len(text)}"]
+    fields = [*(f"source-{k.lower()}: {v}" for k, v in headers), *(f"http-{x}" for x in http), f"source-payload-length: {len(body)}", f"conversion-record: {conversion_id}", f"conversion-block-digest: {digest(text)}", f"conversion-length: {len(text)}", *(f"conversion-fault: {x}" for x in faults)]
     meta = "".join(f"{' '.join(x.split())}\r\n" for x in fields).encode()
     shared = [("WARC-Date", date), ("WARC-Target-URI", uri), ("WARC-Refers-To", source)]
     told = [("WARC-Source-Payload-Digest", h.get("warc-payload-digest") or digest(body)), ("WARC-Source-Block-Digest", h.get("warc-block-digest") or digest(block))]
@@ -135,13 +289,23 @@ def derivatives(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "ur
 
 
 def derivatives_of_files(spark, path: str) -> DataFrame:
-    """The derivatives of all response records in WARC files (gzip or not) under a path of any store that Spark reads; id is null."""
+    """The derivatives of all response records in WARC files (gzip, zstd or neither) under a path of any store that Spark reads; id is null.
+
+    A task holds one file as it is stored (2 GB at most, the limit of a value in Spark) and of what is inflated one record. What is no record, or ends too early, is a row of type
+    error whose block tells what and where; the file's other records are read all the same.
+    """
     ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column(0).to_pylist():
-                rows = [_row(None, *d) for r in records(data) for d in derived(*r)]
+            for k in range(batch.num_rows):
+                rows, size = [], 0
+                for headers, block in records(batch.column(0)[k].as_py()):
+                    rows += [(None, "error", *[None] * 5, len(block), *[None] * 3, block.decode())] if headers is None else [_row(None, *d) for d in derived(headers, block)]
+                    size += len(block)
+                    if size > FILE_BYTES:
+                        yield _table(rows)
+                        rows, size = [], 0
                 if rows:
                     yield _table(rows)
 
@@ -149,13 +313,13 @@ def derivatives_of_files(spark, path: str) -> DataFrame:
 
 
 def files(rows: DataFrame) -> DataFrame:
-    """The bytes of a gzip WARC member for each derivative row (column member); members of a partition, joined, are a file."""
+    """The bytes of a gzip WARC member for each derivative row (column member); members of a partition, joined, are a file. Rows of errors give none."""
     names = ["warc_type", "record_id", "refers_to", "target_uri", "warc_date", "content_type", "block_digest", "source_payload_digest", "source_block_digest", "block"]
     keys = ["WARC-Type", "WARC-Record-ID", "WARC-Refers-To", "WARC-Target-URI", "WARC-Date", "Content-Type", "WARC-Block-Digest", "WARC-Source-Payload-Digest", "WARC-Source-Block-Digest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*(batch.column(n).to_pylist() for n in names), strict=True)
+            rows = [r for r in zip(*(batch.column(n).to_pylist() for n in names), strict=True) if r[1] is not None]
             yield pa.RecordBatch.from_arrays([pa.array([gzip.compress(record(list(zip(keys, r[:-1], strict=True)), r[-1].encode()), mtime=0) for r in rows], pa.binary())], ["member"])
 
     return rows.select(*names).mapInArrow(run, "member binary")
