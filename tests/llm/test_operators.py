@@ -433,37 +433,6 @@ def test_licence_line_with_a_common_word_more(spark, n):
     assert got == {"a/x.c": ("Apache-2.0", pytest.approx((8 * w * w / (8 * w * w + 1)) ** 0.5, abs=1e-8))}
 
 
-def test_licence_cosines_equal_brute_force(spark):
-    import math
-
-    from vigilspark.llm.licenses import COMMON, LEAST, TEMPLATES, tokens
-
-    d = pq.read_table("/root/testdata/sf0.01/documents.parquet").to_pydict()
-    known = [(n, tokens(t)) for n, t in TEMPLATES]
-    vocabulary = {t for _, ts in known for t in ts}
-    has = [set(tokens(t)) for t in d["text"]]
-    total = len(has)
-    df = {t: sum(t in h for h in has) for t in vocabulary}
-    idf = {t: math.log((1 + total) / (1 + df[t])) for t in vocabulary}
-    want = {}
-    for i, text in zip(d["doc_id"], d["text"], strict=True):
-        best = []
-        for line in text.split("\n"):
-            ts = tokens(line)
-            if not any(df.get(t, total) <= COMMON * total for t in ts if t in vocabulary):
-                continue
-            x = {t: ts.count(t) * idf[t] for t in set(ts) & vocabulary}
-            norm = math.sqrt(sum(v * v for v in x.values()) + sum(t not in vocabulary for t in ts) * math.log(1 + total) ** 2)
-            for name, own in known:
-                w = {t: own.count(t) * idf[t] for t in set(own)}
-                c = round(sum(x.get(t, 0) * v for t, v in w.items()) / math.sqrt(sum(v * v for v in w.values())) / norm, 9)
-                if c >= LEAST:
-                    best.append((-c, name))
-        want[i] = min(best)[1] if best else None
-    got = {r.doc_id: r.own for r in entries.op6_licenses(spark, "/root/testdata/sf0.01").collect()}
-    assert got == want and sum(v is not None for v in want.values()) > 10
-
-
 def test_empty_tables(spark, none):
     assert near_duplicates(none).count() == repeated_bytes(none).count() == 0
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")

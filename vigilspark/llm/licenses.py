@@ -1,4 +1,4 @@
-"""Licence scans in DataFrame operations alone: TF-IDF cosine of lines to templates, then inheritance from the nearest ancestor directory."""
+"""Licence scans in DataFrame operations alone: TF-IDF cosine of lines, and of runs of lines, to templates, then inheritance from the nearest ancestor directory."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from .shared import Scratch
 
 #: Public licence identifiers and the statements by which files refer to them.
 TEMPLATES = [
+    ("AGPL-3.0", "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license."),
@@ -20,18 +21,21 @@ TEMPLATES = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0", "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
-#: Least cosine of a line to a template.
+#: Least cosine of a line, or a run of lines, to a template.
 LEAST = 0.8
-#: Prevalence that no longer ends lines (see telling_terms); kept for those who import it.
-COMMON = 0.1
+#: Lines of a run at most, over which statements are wrapped.
+WRAP = 4
 #: Names of files whose licence holds for their directory.
 LICENCE_FILE = r"(?i)(^|/)(licen[sc]e|copying|notice)[^/]*$"
 _CUT = "[^a-z0-9]+"
@@ -75,7 +79,7 @@ def telling_terms(weights: list[dict[str, float]]) -> list[str]:
 def scanned(files: DataFrame, *, path_col: str = "path", text_col: str = "text", templates: list[tuple[str, str]] | None = None, carry: list[str] | None = None, scratch: Scratch | None = None) -> DataFrame:
     """One row per file: the columns named in carry, path, own (licence of its best line, or null), cosine, license (own or inherited), origin (own, inherited, none), license_path.
 
-    A line's vector has a term's count times its inverse document frequency, counted over all files and 1 for a term that all files hold. Only
+    Each line and each run of up to WRAP lines is compared, so statements may be wrapped; "line" below means either. A line's vector has a term's count times its inverse document frequency, counted over all files and 1 for a term that all files hold. Only
     lines that can't reach LEAST even if all files held their words outside the templates (telling_terms, then the cosine under that bound) end before those words are counted. A file's licence is that of the line with the greatest cosine, LEAST at least; ties go to the
     licence that sorts first. A file without one inherits that of the licence file (by name) in the nearest directory on its path to the root, its
     own directory first; of several there, the greatest cosine and then the path that sorts first holds.
@@ -100,8 +104,14 @@ def scanned(files: DataFrame, *, path_col: str = "path", text_col: str = "text",
         vectors.append({t: x / norm for t, x in sorted(w.items())})
     telling = telling_terms(vectors)
     own_key = F.xxhash64("path", "__text")
-    lines = src.select(own_key.alias("f"), F.posexplode(F.transform(F.split("__text", "\n"), _tokens)).alias("line", "ts"))
-    lines = lines.where(F.arrays_overlap("ts", F.array(*[F.lit(t) for t in telling])) if telling else F.lit(False))
+    tell = F.array(*[F.lit(t) for t in telling])
+    cut = src.select(own_key.alias("f"), F.transform(F.split("__text", "\n"), _tokens).alias("ls"))
+    # runs that hold a telling line; all others can't reach the least cosine
+    at = F.filter(F.transform("ls", lambda ts, i: F.when(F.arrays_overlap(ts, tell), i)), lambda i: i.isNotNull())
+    runs = F.flatten(F.transform("at", lambda i: F.array(*[F.struct((i - back).alias("first"), F.lit(n).alias("n")) for n in range(1, WRAP + 1) for back in range(n)])))
+    runs = F.filter(F.array_distinct(runs), lambda r: (r["first"] >= 0) & (r["first"] + r["n"] <= F.size("ls")))
+    lines = cut.withColumn("at", at if telling else F.array().cast("array<int>")).where(F.size("at") > 0)
+    lines = lines.select("f", F.explode(F.transform(runs, lambda r: F.flatten(F.slice("ls", r["first"] + 1, r["n"])))).alias("ts"))
     lines = lines.withColumn("known", F.filter("ts", lambda t: F.array_contains(words, t))).withColumn("others", F.filter("ts", lambda t: ~F.array_contains(words, t)))
     # each other word weighs 1 at least, so these are bounds
     weight = _map({t: x * x for t, x in idf.items()})
