@@ -98,3 +98,49 @@ def test_toxicity_query_equals_dense_cosines(spark, sf):
         if len(near) < toxicity.NEIGHBOURS or near[-1][0] < near[-2][0] - 1e-9:
             assert got[i].score == pytest.approx(model.score(v), abs=1e-6)
     assert sum(not near for near in want.values()) < 0.05 * len(want)
+
+
+@pytest.mark.parametrize("block", [8, 16])
+def test_large_groups_that_hold_together_or_not(spark, monkeypatch, block):
+    """Candidate groups of many blocks: one chain of copies, one of which pivots don't reach all members, one whose members aren't linked."""
+    from vigilspark.llm import minhash
+
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "PIVOTS", 2)
+    monkeypatch.setattr(minhash, "WIDE", 4)
+    r = np.random.default_rng(12)
+    base = [f"w{k}" for k in r.integers(0, 900, 120)]
+    texts = [" ".join(w if k != v else f"x{v}" for k, w in enumerate(base)) for v in range(60)]
+    # each differs from the last by one more word, so that only neighbours are linked
+    chain, now = [], [f"c{k}" for k in r.integers(0, 900, 90)]
+    for v in range(70):
+        now = [f"y{v}" if k == v else w for k, w in enumerate(now)]
+        chain.append(" ".join(now))
+    # a shared half: candidates now and then, links never
+    half = [f"h{k}" for k in r.integers(0, 900, 60)]
+    loose = [" ".join(half + [f"z{v}a{k}" for k in range(14)]) for v in range(40)]
+    rows = list(enumerate(texts + chain + loose))
+    from . import brute
+
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=80).collect()
+    want, _ = brute.near([i for i, _ in rows], [t for _, t in rows], 80)
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_vectors_of_many_tiles_and_pivots(spark, monkeypatch):
+    from vigilspark.llm import vectors
+
+    from . import brute
+
+    monkeypatch.setattr(vectors, "TILE", 8)
+    monkeypatch.setattr(vectors, "ROOTS", 0.5)
+    r = np.random.default_rng(4)
+    hubs = r.normal(size=(6, 12))
+    v = [(hubs[k % 6] + 0.2 * r.normal(size=12)).astype(np.float32).tolist() for k in range(150)] + [r.normal(size=12).astype(np.float32).tolist() for _ in range(60)]
+    v += v[:5] * 3 + [r.normal(size=5).astype(np.float32).tolist() for _ in range(9)]
+    rows = list(enumerate(v)) + [(3, v[3]), (7, v[9])]
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    links = [(i, j) for i in range(len(v)) for j in range(i) if len(v[i]) == len(v[j]) and brute.cosine(v[i], v[j]) >= 0.9]
+    links += [(7, 9)]
+    want = brute.components(range(len(v)), links)
+    assert {(r.vec_id, r.component_id) for r in got} == set(want.items()) and len(got) == len(rows)

@@ -719,7 +719,7 @@ def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", t
     size, own, many = rows.agg(F.sum(F.octet_length("text")), F.sum(F.when(F.col("training"), F.octet_length("text"))), F.count_if("training")).first()
     size, own = size or 0, own or 0
     buckets = max(parts(spark), -(-int(size) // BUCKET_BYTES))
-    met = lambda df: df.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
+    met = lambda df: df.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "kind")
 
     # a sample by a threshold of the hash, which is a plain filter: whole documents, about as many as the bounds let in
     sample, tokens, length = [], 0, F.coalesce(F.octet_length("text"), F.lit(0))

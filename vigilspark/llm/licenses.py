@@ -36,6 +36,8 @@ TEMPLATES = [
 LEAST = 0.8
 #: Lines of a run at most, over which statements are wrapped.
 WRAP = 4
+#: Directories of which the nearest licences are broadcast.
+FEW = 100_000
 #: Names of files whose licence holds for their directory.
 LICENCE_FILE = r"(?i)(^|/)(licen[sc]e|copying|notice)[^/]*$"
 _CUT = "[^a-z0-9]+"
@@ -142,9 +144,11 @@ def scanned(files: DataFrame, *, path_col: str = "path", text_col: str = "text",
     at_dir = at_dir.select(F.col("dir").alias("up"), F.col("l.own").alias("license"), F.col("l.p").alias("license_path"))
     parts = F.split(F.regexp_replace("dir", "/$", ""), "/")
     ups = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.when(k == 0, "").otherwise(F.concat(F.array_join(F.slice(parts, 1, k), "/"), F.lit("/"))))
-    dirs = told.where("dir is not null").select("dir").distinct().select("dir", F.explode(F.array_distinct(ups)).alias("up"))
+    own_dirs = src.select(F.regexp_replace("path", "[^/]*$", "").alias("dir")).where("dir is not null").distinct()
+    dirs = own_dirs.select("dir", F.explode(F.array_distinct(ups)).alias("up"))
     nearest = dirs.join(at_dir, "up").groupBy("dir").agg(F.max_by(F.struct("license", "license_path"), F.length("up")).alias("near"))
-    out = told.join(nearest, "dir", "left")
+    # one directory may hold a third of all files: where directories are few, none is gathered
+    out = told.join(F.broadcast(nearest) if own_dirs.limit(FEW + 1).count() <= FEW else nearest, "dir", "left")
     has_own = F.col("own").isNotNull()
     return out.select(
         *[F.col(f"__c{x}").alias(c) for x, c in enumerate(carry)],

@@ -20,8 +20,11 @@ ROWS = 5
 MISS = 1e-6
 #: Buckets of more members are taken as one candidate group without a look at signatures; all members are compared on full sets later.
 WIDE = 256
-#: Documents of a candidate group that meet in one task; larger groups are compared block by block.
-BLOCK = 512
+#: Documents of a candidate group that meet in one task. Larger groups are cut into blocks, each of which meets about PIVOTS members of its group; only
+#: groups that don't hold together by that are compared block by block.
+BLOCK, PIVOTS = 512, 16
+#: Members of candidate groups up to which they are broadcast to the texts, so that no other text is shuffled.
+FEW = 500_000
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
@@ -209,7 +212,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, shingle: int = 5, id_
     Documents with equal sets are one class from the start (partial minimum). Signatures of classes are banded; small buckets
     are checked on signatures and give candidate groups, wide buckets give them unchecked; every link is then confirmed on
     full sets, in blocks of a bounded number of documents for large groups. Only spanning forests leave a task, never all
-    pairs of a group.
+    pairs of a group. Of a large group that links to its pivots hold together each set is shuffled once, and pivots once a block.
 
     Empty and null texts have n_shingles 0 and are linked with nothing. Rows that share an id are one node. Rows without an
     id have no component (null) and are kept. Other columns of docs are ignored, so their names can't clash.
@@ -236,14 +239,28 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, shingle: int = 5, id_
 
     sizes = clusters.groupBy("component").agg(F.count("*").alias("m"))
     placed = clusters.join(sizes, "component").select(F.col("node").alias("id"), F.struct(F.col("component").alias("cluster"), F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")).alias("blocks"))
-    members2 = placed.join(reps.select("id", "key"), "id")
-    texts = rows.where("id is not null and text is not null").join(members2.select("id", "blocks"), "id")
-    sets = texts.select("id", "blocks", "text").mapInArrow(_set_blobs(shingle), "id long, blocks struct<cluster:long,blocks:int>, set binary")
+    placed = scratch.cut(placed, "placed")
     own = F.pmod(F.xxhash64("id"), F.col("blocks.blocks")).cast("int")
-    met2 = sets.select("id", "set", F.col("blocks.cluster").alias("cluster"), own.alias("b"), F.explode(F.sequence(F.lit(0), F.col("blocks.blocks") - 1)).alias("o"))
-    met2 = met2.select("cluster", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "id", "set")
-    confirmed = met2.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(_confirmed(percent, 100), "u long, v long")
+    everywhere = F.sequence(F.lit(0), F.col("blocks.blocks") - 1)
+
+    def met_sets(some: DataFrame, others: F.Column) -> DataFrame:
+        """Links of the sets of some members, in the blocks (i, j) of their group that they go to."""
+        some = some.join(reps.select("id"), "id")
+        texts = rows.where("id is not null and text is not null").join(F.broadcast(some) if some.limit(FEW + 1).count() <= FEW else some, "id")
+        sets = texts.select("id", "blocks", "text").mapInArrow(_set_blobs(shingle), "id long, blocks struct<cluster:long,blocks:int>, set binary")
+        met = sets.select("id", "set", F.col("blocks.cluster").alias("cluster"), F.explode(others).alias("at")).select("id", "set", "cluster", "at.i", "at.j")
+        return met.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(_confirmed(percent, 100), "u long, v long")
+
+    # each member in its block, and pivots in all blocks of their group
+    is_pivot = F.pmod(F.xxhash64("id", F.lit(7)), F.ceil(F.col("blocks.blocks") * BLOCK / PIVOTS)) == 0
+    confirmed = scratch.cut(met_sets(placed, F.when(is_pivot, F.transform(everywhere, lambda i: F.struct(i.alias("i"), i.alias("j")))).otherwise(F.array(F.struct(own.alias("i"), own.alias("j"))))), "links")
     linked = connected_components(confirmed, scratch)
+    state = placed.where("blocks.blocks > 1").join(linked.withColumnRenamed("node", "id"), "id", "left").select(F.col("blocks.cluster").alias("cluster"), F.coalesce("component", "id").alias("c"))
+    split = scratch.cut(state.groupBy("cluster").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a < b").select("cluster"), "split")
+    if split.limit(1).count():
+        rest = placed.join(split, F.col("blocks.cluster") == F.col("cluster"), "left_semi")
+        pairs = F.transform(everywhere, lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j")))
+        linked = connected_components(confirmed.unionByName(met_sets(rest, pairs)), scratch)
     scratch.drop(members, clusters)
 
     known = reps.select("key", F.col("id").alias("rep")).join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))

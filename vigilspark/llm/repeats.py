@@ -460,7 +460,7 @@ def repeated_bytes(docs: DataFrame, *, width: int = 100, id_col: str = "doc_id",
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(parts(spark), -(-int(size) // BUCKET_BYTES))
     sent = rows.where("id is not null").mapInArrow(_send_runs(width, n), ROWS)
-    met = lambda df: df.repartition(n, "bucket").sortWithinPartitions("bucket", "kind")
+    met = lambda df: df.repartitionById(n, "bucket").sortWithinPartitions("bucket", "kind")
     first = scratch.cut(met(sent).mapInArrow(_collapse(n), ROWS), "classes")
     src, schema, back = carried(docs, id_col, text_col, [c for c in carry or [] if c != text_col])
     schema = schema.replace(", __t string", "", 1)
