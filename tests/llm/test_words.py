@@ -144,3 +144,19 @@ def test_vectors_of_many_tiles_and_pivots(spark, monkeypatch):
     links += [(7, 9)]
     want = brute.components(range(len(v)), links)
     assert {(r.vec_id, r.component_id) for r in got} == set(want.items()) and len(got) == len(rows)
+
+
+def test_contamination_of_very_long_texts_and_repeated_rows(spark, monkeypatch):
+    from vigilspark.llm import decontaminate
+
+    r = np.random.default_rng(3)
+    words = lambda n, kind: [f"{kind}{k}" for k in r.integers(0, 50_000, n)]
+    items = [(i, " ".join(words(40, "b"))) for i in range(60)] + [(60, "solo"), (60, None)]
+    long = words(200_000, "d")
+    long[1000:1040], long[150_000:150_013], long[-1:] = items[3][1].split(), items[7][1].split()[5:18], ["SOLO"]
+    rows = [(0, " ".join(long)), (1, items[5][1].upper()), (1, items[5][1].upper()), (2, " ".join(items[9][1].split()[:12])), (None, "solo")]
+    want = [(None, 1, 1, ["60"]), (0, 200_000, 54, ["3", "60", "7"]), (1, 40, 40, ["5"]), (1, 40, 40, ["5"]), (2, 12, 0, [])]
+    for size in (decontaminate.BLOCK_BYTES, 500):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+        got = decontaminate.contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+        assert sorted(((x.id, x.n_words, x.n_hit, x.items) for x in got), key=lambda x: (x[0] is not None, x[0] or 0)) == want

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ..session import ship
 from .shared import _R, _R_INV, ALNUM_WORD, LOWER, _powers, carried, chunks, mix, own_columns, utf8, word_hashes, words
 
-#: Bytes of benchmark text in one broadcast block; a larger benchmark is scanned for block by block.
-BLOCK_BYTES = 16_000_000
+#: Bytes of benchmark text in one broadcast block, whose index takes about eight times as many; a larger benchmark is scanned for block by block.
+BLOCK_BYTES = 8_000_000
 _SIEVE = 1 << 22
 
 
@@ -33,23 +33,25 @@ def _word_lists(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def window_index(items: list[tuple[str | None, str | None]], width: int) -> dict:
-    """The windows of a block of items: by length, their sorted hashes, words and items."""
+    """The windows of a block of items, in arrays: by length, their sorted hashes, a first word for each and its items; beside them the text and its words."""
     texts = pa.array([t for _, t in items], pa.string())
     buf, s, e, at, h = _word_lists(*utf8(texts))
-    found: dict[int, dict[int, tuple[list[bytes], set[int]]]] = {}
-    for k, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)):
-        length = min(width, int(j - i))
-        if not length:
-            continue
-        own = [buf[x:y].tobytes() for x, y in zip(s[i:j].tolist(), e[i:j].tolist(), strict=True)]
-        for p, x in enumerate(_window_hashes(h[i:j], length).tolist()):
-            found.setdefault(length, {}).setdefault(x, (own[p : p + length], set()))[1].add(k)
-    out = {"ids": [i for i, _ in items], "lengths": []}
-    for length, windows in sorted(found.items()):
-        hashes = np.array(sorted(windows), np.uint64)
+    size = np.minimum(width, np.diff(at))
+    out = {"ids": [i for i, _ in items], "text": buf.tobytes(), "starts": s.astype(np.int32), "ends": e.astype(np.int32), "lengths": []}
+    for length in np.unique(size[size > 0]).tolist():
+        own = np.flatnonzero(size == length)
+        # an item's windows, or the whole of a short one
+        first = np.concatenate([np.arange(at[k], at[k + 1] - length + 1) for k in own])
+        item = np.repeat(own, at[own + 1] - at[own] - length + 1)
+        w = _window_hashes(h, length)[first]
+        order = np.lexsort((item, w))
+        w, item, first = w[order], item[order], first[order]
+        keep = np.append(True, (w[1:] != w[:-1]) | (item[1:] != item[:-1]))
+        w, item, first = w[keep], item[keep], first[keep]
+        new = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
         sieve = np.zeros(_SIEVE, bool)
-        sieve[(hashes % np.uint64(_SIEVE)).astype(np.int64)] = True
-        out["lengths"].append((length, hashes, np.packbits(sieve), [windows[x] for x in hashes.tolist()]))
+        sieve[(w % np.uint64(_SIEVE)).astype(np.int64)] = True
+        out["lengths"].append((length, w[new], np.packbits(sieve), first[new].astype(np.int32), item.astype(np.int32), np.append(new, len(w)).astype(np.int32)))
     return out
 
 
@@ -57,7 +59,7 @@ def _scan(width: int, blocks: list):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def index(block):
             raw = block.value if len(blocks) == 1 else block.load_from_path(block._path)
-            return raw["ids"], [(n, hs, np.unpackbits(bits).view(bool), ws) for n, hs, bits, ws in raw["lengths"]]
+            return raw, [(n, hs, np.unpackbits(bits).view(bool), *rest) for n, hs, bits, *rest in raw["lengths"]]
 
         only = index(blocks[0]) if len(blocks) == 1 else None
         for batch in batches:
@@ -70,8 +72,9 @@ def _scan(width: int, blocks: list):
                 items: list[set[str]] = [set() for _ in range(j - i)]
                 row_of = np.repeat(np.arange(j - i), np.diff(at))
                 for block in blocks:
-                    ids, lengths = only or index(block)
-                    for length, hashes, sieve, windows in lengths:
+                    known, lengths = only or index(block)
+                    ids, text, ks, ke = known["ids"], known["text"], known["starts"], known["ends"]
+                    for length, hashes, sieve, firsts, owners, cuts in lengths:
                         w = _window_hashes(h, length)
                         # windows across a boundary of documents don't count
                         may = np.flatnonzero(sieve[(w % np.uint64(_SIEVE)).astype(np.int64)])
@@ -80,11 +83,12 @@ def _scan(width: int, blocks: list):
                         place[place == len(hashes)] = 0
                         equal = hashes[place] == w[may]
                         for p, k in zip(may[equal].tolist(), place[equal].tolist(), strict=True):
-                            text, owners = windows[k]
-                            if all(buf[x:y].tobytes() == t for x, y, t in zip(s[p : p + length].tolist(), e[p : p + length].tolist(), text, strict=True)):
+                            f = int(firsts[k])
+                            places = zip(s[p : p + length].tolist(), e[p : p + length].tolist(), ks[f : f + length].tolist(), ke[f : f + length].tolist(), strict=True)
+                            if all(buf[x:y].tobytes() == text[a:b] for x, y, a, b in places):
                                 marks[p] += 1
                                 marks[p + length] -= 1
-                                items[row_of[p]].update(ids[o] for o in owners if ids[o] is not None)
+                                items[row_of[p]].update(ids[o] for o in owners[cuts[k] : cuts[k + 1]].tolist() if ids[o] is not None)
                 hit = np.cumsum(marks[:-1]) > 0
                 total = np.append(0, np.cumsum(hit))
                 first, last = hit.copy(), hit.copy()
