@@ -17,6 +17,10 @@ from vigilspark.llm.shared import Scratch
 from vigilspark.llm.toxicity import fitted, scored
 
 
+#: Documents whose ids are broadcast.
+FEW = 500_000
+
+
 def _columns(docs: DataFrame) -> list:
     return [F.col(f"`{c}`") for c in docs.columns]
 
@@ -30,12 +34,16 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def minhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document of the least id stays.
 
-    Of rows that share an id one stays. Rows without an id all stay.
+    Of rows that share an id one stays. Rows without an id all stay. Texts are shuffled only where more than FEW documents go.
     """
-    kept = near_duplicates(docs.select("doc_id", "text")).where("kept and doc_id is not null").select("doc_id").distinct()
-    own = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
-    own = own.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where("__n = 1").drop("__n")
-    return own.unionByName(docs.where("doc_id is null")).select(*_columns(docs))
+    scratch = Scratch(spark, "kept")
+    found = scratch.cut(near_duplicates(docs.select("doc_id", "text"), scratch=scratch), "found").where("doc_id is not null")
+    gone, twice = found.where("not kept").select("doc_id").distinct(), found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    few = lambda ids: F.broadcast(ids) if ids.limit(FEW + 1).count() <= FEW else ids
+    gone, twice = few(gone), few(twice)
+    own = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti")
+    repeated = own.join(twice, "doc_id", "left_semi").withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where("__n = 1").drop("__n")
+    return own.join(twice, "doc_id", "left_anti").unionByName(repeated).unionByName(docs.where("doc_id is null")).select(*_columns(docs))
 
 
 def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
