@@ -107,12 +107,14 @@ def scanned(files: DataFrame, *, path_col: str = "path", text_col: str = "text",
     telling = telling_terms(vectors)
     own_key = F.xxhash64("path", "__text")
     tell = F.array(*[F.lit(t) for t in telling])
-    cut = src.select(own_key.alias("f"), F.transform(F.split("__text", "\n"), _tokens).alias("ls"))
+    # texts without a telling term, nearly all, are told by one look at all their words
+    some = src.where(F.arrays_overlap(_tokens(F.col("__text")), tell)) if telling else src.where(F.lit(False))
+    cut = some.select(own_key.alias("f"), F.transform(F.split("__text", "\n"), _tokens).alias("ls"))
     # runs that hold a telling line; all others can't reach the least cosine
     at = F.filter(F.transform("ls", lambda ts, i: F.when(F.arrays_overlap(ts, tell), i)), lambda i: i.isNotNull())
     runs = F.flatten(F.transform("at", lambda i: F.array(*[F.struct((i - back).alias("first"), F.lit(n).alias("n")) for n in range(1, WRAP + 1) for back in range(n)])))
     runs = F.filter(F.array_distinct(runs), lambda r: (r["first"] >= 0) & (r["first"] + r["n"] <= F.size("ls")))
-    lines = cut.withColumn("at", at if telling else F.array().cast("array<int>")).where(F.size("at") > 0)
+    lines = cut.withColumn("at", at if telling else F.array().cast("array<int>"))
     lines = lines.select("f", F.explode(F.transform(runs, lambda r: F.flatten(F.slice("ls", r["first"] + 1, r["n"])))).alias("ts"))
     lines = lines.withColumn("known", F.filter("ts", lambda t: F.array_contains(words, t))).withColumn("others", F.filter("ts", lambda t: ~F.array_contains(words, t)))
     # each other word weighs 1 at least, so these are bounds
@@ -138,6 +140,7 @@ def scanned(files: DataFrame, *, path_col: str = "path", text_col: str = "text",
     reached = reached.where(F.size("cs") > 0).select("line", F.array_min("cs").alias("b"))
     cosines = lines.select("f", "line").join(reached, "line").select("f", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"))
     best = cosines.groupBy("f").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("b")).select("f", F.col("b.license").alias("own"), (-F.col("b.c")).alias("cosine"))
+    best = scratch.cut(best, "best")
     told = src.withColumn("f", own_key).drop("__text").join(best, "f", "left").drop("f").withColumn("dir", F.regexp_replace("path", "[^/]*$", ""))
 
     at_dir = told.where(F.col("own").isNotNull() & F.col("path").rlike(LICENCE_FILE)).groupBy("dir").agg(F.min(F.struct((-F.col("cosine")).alias("c"), F.col("path").alias("p"), "own")).alias("l"))

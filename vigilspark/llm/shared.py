@@ -137,7 +137,7 @@ def _powers(base: int, n: int) -> np.ndarray:
         a = np.full(size, base, np.uint64)
         a[0] = 1
         have = np.multiply.accumulate(a)
-        if size <= 16 * CHUNK_BYTES:
+        if size <= 2 * CHUNK_BYTES:
             _pow[base] = have
     return have[:n]
 
@@ -192,13 +192,13 @@ def _prime_powers(base: int, n: int) -> np.ndarray:
     have = _pow.get(-base)
     if have is None or len(have) < n:
         size = max(n, CHUNK_BYTES + 4096)
-        have = np.ones(size, np.uint64)
+        have = np.ones(size, np.uint32)
         k, step = 1, base
         while k < size:
             m = min(k, size - k)
             have[k : k + m] = _residues(have[:m] * np.uint64(step))
             step, k = step * step % int(_P), k * 2
-        if size <= 16 * CHUNK_BYTES:
+        if size <= 2 * CHUNK_BYTES:
             _pow[-base] = have
     return have[:n]
 
@@ -221,14 +221,16 @@ class Spans:
         if self.primes is None:
             self.primes = []
             for base in _BASES:
-                # below 2**39 each, so sums over 2**24 bytes stay exact; longer buffers are reduced by parts
-                terms = (self.buf.astype(np.uint64) + np.uint64(1)) * _prime_powers(base, len(self.buf))
-                sums = np.zeros(len(terms) + 1, np.uint64)
-                for i in range(0, len(terms), 1 << 24):
-                    sums[i + 1 : i + 1 + (1 << 24)] = _residues(np.cumsum(terms[i : i + (1 << 24)]) + sums[i])
+                powers = _prime_powers(base, len(self.buf))
+                sums, last = np.zeros(len(self.buf) + 1, np.uint32), np.uint64(0)
+                for i in range(0, len(self.buf), CHUNK_BYTES):
+                    # terms are below 2**39, so sums over a part are exact
+                    part = np.cumsum((self.buf[i : i + CHUNK_BYTES].astype(np.uint64) + np.uint64(1)) * powers[i : i + CHUNK_BYTES])
+                    part = _residues(part + last)
+                    sums[i + 1 : i + 1 + len(part)], last = part, part[-1]
                 self.primes.append((sums, _prime_powers(pow(base, -1, int(_P)), len(sums))))
         out = mix((self.prefix[e] - self.prefix[s]) * self.inverse[s] + (e - s).astype(np.uint64))
-        first, second = (_residues(_residues(sums[e] + _P - sums[s]) * back[s]) for sums, back in self.primes)
+        first, second = (_residues(_residues(sums[e] + _P - sums[s]) * back[s].astype(np.uint64)) for sums, back in self.primes)
         return mix(out ^ (first << np.uint64(31) | second))
 
     def grams(self, q: int) -> np.ndarray:

@@ -254,6 +254,7 @@ def _frequencies(vocabulary):
             n += batch.num_rows
         k = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(k, -1), pa.int32()), pa.array(np.append(total[k], n), pa.int64())], ["term", "n"])
+        give_back()
 
     return run
 
