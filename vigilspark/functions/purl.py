@@ -69,3 +69,24 @@ def build(kind: Column, namespace: Column, name: Column, version: Column) -> Col
 
 def pypi_name(name: Column) -> Column:
     return F.translate(F.lower(name), "_", "-")
+
+
+def cargo(name: Column, version: Column) -> Column:
+    return build(F.lit("cargo"), F.lit(None).cast("string"), name, version)
+
+
+def npm(name: Column, version: Column) -> Column:
+    """A scope, with its @, is the namespace."""
+    scoped = F.startswith(name, F.lit("@")) & F.contains(name, F.lit("/"))
+    return build(F.lit("npm"), F.when(scoped, F.substring_index(name, "/", 1)), F.when(scoped, F.regexp_replace(name, "^[^/]*/", "")).otherwise(name), version)
+
+
+def pypi(name: Column, version: Column) -> Column:
+    return build(F.lit("pypi"), F.lit(None).cast("string"), pypi_name(name), version)
+
+
+def golang(path: Column, version: Column) -> Column:
+    """All of a module's path but its last part is the namespace, whose slashes stay."""
+    cut = F.contains(path, F.lit("/"))
+    space = F.when(cut, F.array_join(F.transform(F.split(F.regexp_replace(path, "/[^/]*$", ""), "/"), encoded), "/"))
+    return F.concat(F.lit("pkg:golang/"), F.coalesce(F.concat(space, F.lit("/")), F.lit("")), encoded(F.regexp_extract(path, "([^/]*)$", 1)), F.coalesce(F.concat(F.lit("@"), encoded(version)), F.lit("")))

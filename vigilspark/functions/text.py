@@ -67,7 +67,11 @@ def model_json(reply: Column) -> Column:
     return F.regexp_replace(F.when(F.contains(reply, F.lit("```json")) & (marked != ""), marked).when(fenced != "", fenced).when(raw != "", raw).otherwise(reply), r"^\s+|\s+$", "")
 
 
+#: Marks code that was cut.
+CUT = "\n... (truncated)"
+
+
 def prompt(language: Column, path: Column, function: Column, code: Column, most: int = 8000) -> Column:
-    """The question for a model; code is cut after so many bytes, before a character that would be cut in part."""
-    cut = F.when(F.octet_length(code) <= most, code).otherwise(F.regexp_replace(F.decode(F.substring(F.encode(code, "UTF-8"), 1, most), "UTF-8"), "�+$", ""))
+    """The question for a model; code is cut after so many bytes, before a character that would be cut in part, and marked."""
+    cut = F.when(F.octet_length(code) <= most, code).otherwise(F.concat(F.regexp_replace(F.make_valid_utf8(F.substring(F.encode(code, "UTF-8"), 1, most).cast("string")), "�+$", ""), F.lit(CUT)))
     return F.concat(F.lit("Review this "), language, F.lit(" code for security weaknesses.\nFile: "), path, F.coalesce(F.concat(F.lit("\nFunction: "), function), F.lit("")), F.lit("\n```\n"), cut, F.lit("\n```\nReply with a JSON object that has a list named vulnerabilities."))

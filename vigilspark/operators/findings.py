@@ -53,10 +53,18 @@ def rollup(stats_: DataFrame) -> DataFrame:
     return stats_.groupBy("repo").agg(*[F.sum(c).alias(c) for c in stats_.columns if c != "repo"])
 
 
+def sarif_results(found: DataFrame) -> DataFrame:
+    """A SARIF result for each finding, as JSON, with the rule's place in the order of its first finding."""
+    first = first_of_rule(found).select("rule_id", F.col("ordinal").alias("first"))
+    at = F.struct(F.struct(F.struct(F.col("file").alias("uri")).alias("artifactLocation"), F.struct(F.col("start_line").alias("startLine"), F.col("start_column").alias("startColumn"), F.col("end_line").alias("endLine"), F.col("end_column").alias("endColumn")).alias("region")).alias("physicalLocation"))
+    result = F.struct(F.col("rule_id").alias("ruleId"), severity.level(F.col("severity")).alias("level"), F.struct(F.col("description").alias("text")).alias("message"), F.array(at).alias("locations"))
+    return found.withColumn("result", F.to_json(result)).join(first, "rule_id").select("ordinal", "first", "rule_id", "result")
+
+
 def sarif(found: DataFrame, tool: str = "vigilspark", version: str = "0.1") -> str:
     """SARIF 2.1.0 of one report; rules and results are made by Spark, the document on the driver."""
     rules = [{"id": r.rule_id, "name": r.title, "shortDescription": {"text": r.title}, "fullDescription": {"text": r.description}, "defaultConfiguration": {"level": r.level}, "properties": {"security-severity": str(r.score), "precision": r.confidence}} for r in first_of_rule(found).select("*", severity.level(F.col("severity")).alias("level"), severity.score(F.col("severity")).alias("score")).orderBy("ordinal").toLocalIterator()]
-    results = [{"ruleId": r.rule_id, "level": r.level, "message": {"text": r.description}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": r.file}, "region": {"startLine": r.start_line, "startColumn": r.start_column, "endLine": r.end_line, "endColumn": r.end_column}}}]} for r in found.withColumn("level", severity.level(F.col("severity"))).orderBy("ordinal").toLocalIterator()]
+    results = [json.loads(r.result) for r in sarif_results(found).orderBy("ordinal").toLocalIterator()]
     return json.dumps({"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": {"name": tool, "version": version, "rules": rules}}, "results": results, "invocations": [{"executionSuccessful": True}]}]}, indent=2)
 
 
@@ -95,16 +103,17 @@ def write_atomic(path: str, content: str, depth: int = 8) -> None:
 
 
 def model_findings(replies: DataFrame) -> DataFrame:
-    """replies (path, content): the weaknesses that a model lists, as an object with confidence and more or as a bare array."""
+    """replies (path, content, and repo if there is one): the weaknesses that a model lists, as an object with confidence and more or as a bare array."""
     from ..functions.text import model_json
 
     item = "array<struct<type:string,severity:string,description:string,line:int,confidence:string,remediation:string,cwe:string>>"
-    rows = replies.select("path", model_json(F.col("content")).alias("j"))
+    repo = F.col("repo") if "repo" in replies.columns else F.lit(None).cast("string").alias("repo")
+    rows = replies.select(repo, "path", model_json(F.col("content")).alias("j"))
     obj, arr = F.from_json("j", f"vulnerabilities {item}")["vulnerabilities"], F.from_json("j", item)
-    rows = rows.select("path", obj.isNotNull().alias("is_object"), F.posexplode(F.coalesce(F.when(F.startswith(F.trim("j"), F.lit("{")), obj), F.when(F.startswith(F.trim("j"), F.lit("[")), arr))).alias("ordinal", "v"))
+    rows = rows.select("repo", "path", obj.isNotNull().alias("is_object"), F.posexplode(F.coalesce(F.when(F.startswith(F.trim("j"), F.lit("{")), obj), F.when(F.startswith(F.trim("j"), F.lit("[")), arr))).alias("ordinal", "v"))
     level = F.lower("v.confidence")
     return rows.select(
-        "path", "ordinal", F.concat(F.lit("ai-"), F.regexp_replace(F.lower("v.type"), " ", "-")).alias("rule_id"), severity.parsed(F.col("v.severity"), "unknown").alias("severity"), F.col("v.type").alias("title"), F.col("v.description").alias("description"), F.coalesce("v.line", F.lit(1)).alias("line"),
+        "repo", "path", "ordinal", F.concat(F.lit("ai-"), F.regexp_replace(F.lower("v.type"), " ", "-")).alias("rule_id"), severity.parsed(F.col("v.severity"), "unknown").alias("severity"), F.col("v.type").alias("title"), F.col("v.description").alias("description"), F.coalesce("v.line", F.lit(1)).alias("line"),
         F.when(F.col("is_object"), F.when(level.isin("high", "medium"), level).otherwise("low")).otherwise("medium").alias("confidence"), F.when(F.col("is_object") & (F.col("v.remediation") != ""), F.col("v.remediation")).alias("remediation"),
     )
 

@@ -17,5 +17,5 @@ def scanned(files: DataFrame, threshold: float = 4.5) -> DataFrame:
     own = files.where(~paths.is_test(F.col("path"))).select("repo", "path", F.posexplode(F.split("content", "\r?\n")).alias("n", "l"))
     assigned = F.transform(F.filter(F.regexp_extract_all("l", F.lit(text.ASSIGNMENT), 2), lambda v: text.looks_secret(v)), lambda v: F.struct(F.lit("secret/hardcoded-assignment").alias("rule_id"), v.alias("value"), text.is_random(v, threshold).alias("random")))
     known = [F.transform(F.regexp_extract_all("l", F.lit(rx), 1), lambda v, n=name: F.struct(F.lit(f"secret/{n}").alias("rule_id"), v.alias("value"), F.lit(True).alias("random"))) for name, rx in FORMATS.items()]
-    rows = own.select("repo", F.col("path").alias("file"), (F.col("n") + 1).alias("start_line"), F.explode(F.concat(assigned, *known)).alias("h"))
-    return rows.select("repo", "file", "h.rule_id", F.lit("high").alias("severity"), F.when(F.col("h.random"), "high").otherwise("medium").alias("confidence"), "start_line", "h.value", F.lit("secret").alias("category"))
+    rows = own.select("repo", F.col("path").alias("file"), (F.col("n") + 1).alias("start_line"), F.posexplode(F.concat(assigned, *known)).alias("ordinal", "h"))
+    return rows.select("repo", "file", "h.rule_id", F.lit("high").alias("severity"), F.when(F.col("h.random"), "high").otherwise("medium").alias("confidence"), "start_line", "h.value", F.lit("secret").alias("category"), "ordinal")

@@ -25,6 +25,8 @@ class Config:
     entropy_threshold: float = 4.5
     max_file_size: int = 1 << 20
     snippet_lines: int = 3
+    #: manifests are read at the root of a repository; with this, in its folders too
+    nested_manifests: bool = False
     ignore_patterns: tuple[str, ...] = tuple(names.IGNORED)
     languages: tuple[str, ...] = tuple(names.SUPPORTED)
 
@@ -41,7 +43,7 @@ _COLUMNS = ["repo", "file", "rule_id", "severity", "confidence", "start_line", "
 
 
 def scan(files: DataFrame, config: Config | None = None, *, advisories: DataFrame | None = None, replies: DataFrame | None = None, attestations: DataFrame | None = None) -> DataFrame:
-    """files (repo, path, content) and, where they are given, advisories, models' replies and attestations as findings, least severities left out.
+    """files (repo, path, content) and, where they are given, advisories, models' replies (path, content, and repo if there is one) and attestations (package, and repo if there is one) as findings, least severities left out.
 
     Streams that are switched off aren't planned. Filters on paths and sizes stand before the parser, which Spark can't push them through.
     """
@@ -52,24 +54,34 @@ def scan(files: DataFrame, config: Config | None = None, *, advisories: DataFram
     if c.sast:
         streams["sast"] = sast.scanned(code, c.snippet_lines).select(*_COLUMNS, "start_column", "end_line", "end_column", "cwe", "remediation", "snippet")
     if c.secrets:
-        streams["secret"] = secrets.scanned(own.select("repo", "path", "language", "content"), c.entropy_threshold).select(*_COLUMNS)
+        streams["secret"] = secrets.scanned(own.select("repo", "path", "language", "content"), c.entropy_threshold).select(*_COLUMNS, F.col("ordinal").alias("place"))
     if c.sca and advisories is not None:
-        repo_key = files.select(F.concat_ws("\u0000", "repo", "path").alias("key"), "repo", F.col("path").alias("p"), "content")
+        repo_key = files.select(F.concat_ws("\u0000", F.coalesce("repo", F.lit("")), "path").alias("key"), "repo", F.col("path").alias("p"), "content")
         deps = None
         for name, read in manifests.READERS.items():
-            part = read(repo_key.where(F.col("p") == name).select(F.col("key").alias("path"), "content")).select("manifest", "ecosystem", "name", "version").where("name is not null")
+            here = (F.col("p") == name) | (F.endswith("p", F.lit("/" + name)) if c.nested_manifests else F.lit(False))
+            part = read(repo_key.where(here).select(F.col("key").alias("path"), "content")).select("manifest", "ecosystem", "name", "version").where("name is not null")
             deps = part if deps is None else deps.unionByName(part)
         hit = sca.affected(deps.withColumn("ecosystem", F.when(F.col("ecosystem") == "Cargo", "crates.io").otherwise(F.lower("ecosystem"))), advisories.withColumn("ecosystem", F.lower("ecosystem")))
         parts = F.split("manifest", "\u0000")
         streams["sca"] = hit.select(F.get(parts, F.lit(0)).alias("repo"), F.get(parts, F.lit(1)).alias("file"), F.concat(F.lit("sca/"), F.col("id")).alias("rule_id"), "severity", F.lit("high").alias("confidence"), F.lit(0).alias("start_line"), F.lit("sca").alias("category"), findings.vulnerable_dependency_title(F.col("name"), F.col("version"), F.col("id")).alias("title"))
     if c.ai and replies is not None:
-        streams["ai"] = findings.model_findings(replies).select(F.lit(None).cast("string").alias("repo"), F.col("path").alias("file"), "rule_id", "severity", "confidence", F.col("line").alias("start_line"), F.lit("sast").alias("category"))
+        streams["ai"] = findings.model_findings(replies).select("repo", F.col("path").alias("file"), "rule_id", "severity", "confidence", F.col("line").alias("start_line"), F.lit("sast").alias("category"), "title", "description", "remediation", F.col("ordinal").alias("place"))
     if c.provenance and attestations is not None:
-        streams["provenance"] = provenance.findings(provenance.folded(attestations)).select(F.lit(None).cast("string").alias("repo"), F.col("package").cast("string").alias("file"), "rule_id", "severity", "confidence", F.lit(0).alias("start_line"), F.lit("sast").alias("category"))
+        named = attestations if "repo" in attestations.columns else attestations.withColumn("repo", F.lit(None).cast("string"))
+        # a package of two repositories has a verdict in each
+        broken = provenance.findings(provenance.folded(named.withColumn("package", F.struct("repo", F.col("package").cast("string").alias("name")))))
+        streams["provenance"] = broken.select("package.repo", F.col("package.name").alias("file"), "rule_id", "severity", "confidence", F.lit(0).alias("start_line"), F.lit("sast").alias("category"))
     if not streams:
         return files.sparkSession.createDataFrame([], "repo string, file string, rule_id string, severity string, confidence string, start_line int, category string, phase int, finding_id string")
     out = findings.union(streams).where(severity.at_least(F.col("severity"), c.min_severity))
-    return out.withColumn("finding_id", F.sha2(F.concat_ws("\u0001", "repo", "rule_id", "file", "start_line"), 256))
+    return out.withColumn("finding_id", finding_id(out))
+
+
+def finding_id(found: DataFrame) -> F.Column:
+    """A hash of all that tells a finding from others: repository, rule, file and place, in which nulls count."""
+    have = [c for c in ("repo", "rule_id", "file", "start_line", "start_column", "end_line", "end_column", "place", "title") if c in found.columns]
+    return F.sha2(F.concat_ws("\u0001", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in have]), 256)
 
 
 def changed(files: DataFrame, cached: DataFrame) -> DataFrame:
