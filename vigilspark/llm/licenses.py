@@ -55,10 +55,13 @@ def _map(values: dict[str, float]) -> Column:
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
 
 
-def _dot(values: dict[str, float]) -> Column:
-    """The sum of the values of the column known."""
-    part = _map(values)
-    return F.aggregate("known", F.lit(0.0), lambda a, t: a + F.coalesce(F.try_element_at(part, t), F.lit(0.0)))
+def _table(rows: dict[str, list[float]]) -> Column:
+    return F.create_map(*[x for t, values in rows.items() for x in (F.lit(t), F.array(*[F.lit(v) for v in values]))])
+
+
+def _sums(table: Column, terms: Column, width: int) -> Column:
+    """The sums of the table's rows of some terms."""
+    return F.aggregate(terms, F.array(*[F.lit(0.0)] * width), lambda a, t: F.zip_with(a, F.coalesce(F.try_element_at(table, t), a), lambda x, y: x + y))
 
 
 def telling_terms(weights: list[dict[str, float]]) -> list[str]:
@@ -107,24 +110,31 @@ def scanned(files: DataFrame, *, path_col: str = "path", text_col: str = "text",
     telling = telling_terms(vectors)
     own_key = F.xxhash64("path", "__text")
     tell = F.array(*[F.lit(t) for t in telling])
-    # texts without a telling term, nearly all, are told by one look at all their words
+    # of each term a number for each template: what it adds to the greatest cosine that can be reached, and to the dot product
+    reach = _table({t: [w.get(t, 0.0) ** 2 for w in vectors] for t in vocabulary})
+    adds = _table({t: [w.get(t, 0.0) * idf[t] for w in vectors] for t in vocabulary})
+    may = lambda: F.array_max(_sums(reach, F.array_distinct("known"), len(vectors))) >= LEAST**2 * 0.999999
+    # what is named more than once is made by a generator, as a plain column would be computed anew wherever it is named
+    made = lambda df, column, name, *keep: df.select(*keep, F.explode(F.array(column)).alias(name))
+    # texts whose words can't reach the least cosine to any template, nearly all, are told by one look at all their words
     some = src.where(F.arrays_overlap(_tokens(F.col("__text")), tell)) if telling else src.where(F.lit(False))
-    cut = some.select(own_key.alias("f"), F.transform(F.split("__text", "\n"), _tokens).alias("ls"))
+    some = made(some, F.array_intersect(_tokens(F.col("__text")), words), "known", "path", "__text").where(may())
+    cut = made(some, F.transform(F.split("__text", "\n"), _tokens), "ls", own_key.alias("f"))
     # runs that hold a telling line; all others can't reach the least cosine
     at = F.filter(F.transform("ls", lambda ts, i: F.when(F.arrays_overlap(ts, tell), i)), lambda i: i.isNotNull())
     runs = F.flatten(F.transform("at", lambda i: F.array(*[F.struct((i - back).alias("first"), F.lit(n).alias("n")) for n in range(1, WRAP + 1) for back in range(n)])))
     runs = F.filter(F.array_distinct(runs), lambda r: (r["first"] >= 0) & (r["first"] + r["n"] <= F.size("ls")))
-    lines = cut.withColumn("at", at if telling else F.array().cast("array<int>"))
+    lines = made(cut, at if telling else F.array().cast("array<int>"), "at", "f", "ls")
     lines = lines.select("f", F.explode(F.transform(runs, lambda r: F.flatten(F.slice("ls", r["first"] + 1, r["n"])))).alias("ts"))
-    lines = lines.withColumn("known", F.filter("ts", lambda t: F.array_contains(words, t))).withColumn("others", F.filter("ts", lambda t: ~F.array_contains(words, t)))
+    lines = made(lines, F.filter("ts", lambda t: F.array_contains(words, t)), "known", "f", "ts").where(may())
+    lines = lines.withColumn("others", F.filter("ts", lambda t: ~F.array_contains(words, t)))
     # each other word weighs 1 at least, so these are bounds
     weight = _map({t: x * x for t, x in idf.items()})
     lines = lines.withColumn("s", F.aggregate(F.array_distinct("known"), F.lit(0.0), lambda a, t: a + weight[t] * F.pow(F.size(F.filter("known", lambda x: x == t)), F.lit(2.0))))
-    dots = []
-    for (name, _, _), w in zip(known, vectors, strict=True):
-        dots.append(F.struct(F.lit(name).alias("license"), _dot({t: x * idf[t] for t, x in w.items()}).alias("dot")))
+    lines = made(lines, _sums(adds, F.col("known"), len(vectors)), "sums", "f", "ts", "others", "s")
     norm = F.sqrt(F.col("s") + F.size("others"))
-    lines = lines.withColumn("dots", F.array(*dots)).withColumn("dots", F.filter("dots", lambda d: d["dot"] >= norm * F.lit(LEAST * 0.999999))).where(F.size("dots") > 0)
+    dots = F.transform("sums", lambda x, k: F.struct(F.get(F.array(*[F.lit(name) for name, _, _ in known]), k).alias("license"), x.alias("dot")))
+    lines = made(lines, F.filter(dots, lambda d: d["dot"] >= norm * F.lit(LEAST * 0.999999)), "dots", "f", "ts", "others", "s").where(F.size("dots") > 0)
     # equal lines of files and of repeated rows are compared once
     scratch = scratch or Scratch(spark, "licenses")
     lines = lines.select("f", F.array_join("ts", " ").alias("line"), "s", "others", "dots").dropDuplicates(["f", "line"])
