@@ -152,7 +152,7 @@ def _pieces(path: str, end: int, capacity: int):
         for batch in batches:
             ids_col = batch.column(0)
             data, off = utf8(batch.column(1))
-            for i, j in chunks(off, 4 << 20):
+            for i, j in chunks(off, 1 << 20):
                 ids, at = tokens(data[off[i] : off[j]], off[i : j + 1] - off[i], end)
                 row, piece, start, length, crc = [], [], [], [], []
                 for r, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):

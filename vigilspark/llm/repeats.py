@@ -28,7 +28,7 @@ from .shared import Scratch, Spans, carried, chunks, give_back, mix, own_columns
 
 GRAM = 28
 #: Runs that a task holds before it collapses and sends them.
-HELD = 500_000
+HELD = 300_000
 #: Classes of one anchor in one task from which on its windows are dealt out one by one.
 HOT = 64
 #: Classes of one anchor over all tasks up to which one task refines them.
