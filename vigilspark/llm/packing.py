@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import LOWER, Scratch, chunks, give_back, parts, utf8
+from .shared import LOWER, Scratch, chunks, give_back, parts, remembered, utf8
 
 CAPACITY = 4096
 #: Rounds of multiplicative weights (one dynamic program each), the part of all items that a round places, and the step of a configuration as a part of its
@@ -137,6 +137,7 @@ class ChunkTokens:
 
 
 _tokens: dict[str, ChunkTokens] = {}
+remembered["packing"] = _tokens.clear
 
 
 def _tokens_of(path: str) -> ChunkTokens:
@@ -161,7 +162,7 @@ def _pieces(path: str, end: int, capacity: int):
                         row.append(i + r), piece.append(k), start.append(x - a), length.append(y - x)
                         crc.append(zlib.crc32(ids[x:y].astype("<u4").tobytes()))
                 yield pa.RecordBatch.from_arrays([ids_col.take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["id", "piece", "start", "length", "crc"])
-        give_back()
+        give_back("packing")
 
     return run
 

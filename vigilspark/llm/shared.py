@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -242,8 +242,15 @@ class Spans:
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
-def give_back() -> None:
-    """Freed memory goes back to the system at the end of a task, as a worker lives on for tasks of other operators."""
+#: What operators remember from task to task, by name, and how each forgets it.
+remembered: dict[str, Callable[[], None]] = {}
+
+
+def give_back(own: str | None = None) -> None:
+    """What other operators remember is forgotten, and freed memory goes back to the system, as a worker lives on for tasks of other operators."""
+    for name, forget in remembered.items():
+        if name != own:
+            forget()
     if _trim:
         _trim(0)
 

@@ -25,7 +25,7 @@ RELEVANCE, FLOOR = 2.0, 0.05
 #: Neighbours that vote, examples in a block, blocks that a search visits before it looks at bounds again.
 NEIGHBOURS, BLOCK, FIRST = 15, 16, 6
 #: Terms whose postings are dense, queries that are multiplied by them at once, and more than single precision takes from a sum of at most 1.
-COMMON, QUERIES, SLACK = 1024, 256, 1e-5
+COMMON, QUERIES, SLACK = 1024, 128, 1e-5
 #: Scores of equal lists of terms that a task remembers.
 REMEMBERED = 20_000
 
@@ -39,6 +39,7 @@ def terms(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _document_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The distinct terms of each row and their counts."""
+    give_back()
     for batch in batches:
         data, off = utf8(batch.column(2))
         for i, j in chunks(off):
