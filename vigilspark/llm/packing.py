@@ -118,7 +118,8 @@ class ChunkTokens:
         flat = raw.split()
         k = list(map(self.at.get, flat))
         if None in k:
-            new = dict.fromkeys(x for x, i in zip(flat, k, strict=True) if i is None)
+            missed = [i for i, x in enumerate(k) if x is None]
+            new = dict.fromkeys(flat[i] for i in missed)
             new.pop(_END, None)
             new = list(new)
             for i in range(0, len(new), 20_000):
@@ -128,7 +129,8 @@ class ChunkTokens:
                 self.flat[self.off[self.n]] = end
                 self.off[self.n + 1] = self.off[self.n] + 1
                 self.n += 1
-            k = list(map(self.at.get, flat))
+            for i in missed:
+                k[i] = self.at[flat[i]]
         k = np.array(k, np.int64)
         n = self.off[k + 1] - self.off[k]
         ends = np.cumsum(n)
