@@ -66,15 +66,19 @@ def token_hashes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, np.append(0, ends)
 
 
-def described(h: np.ndarray, off: np.ndarray, signs: np.ndarray) -> np.ndarray:
-    """How often each row has each of the signs, as roots of shares."""
+def counted(h: np.ndarray, off: np.ndarray, signs: np.ndarray) -> np.ndarray:
+    """How often each row has each of the signs."""
     n = len(off) - 1
     k = np.searchsorted(signs, h)
     k[k == len(signs)] = 0
     hit = signs[k] == h
     row = np.repeat(np.arange(n), np.diff(off))
-    x = np.bincount(row[hit] * len(signs) + k[hit], minlength=n * len(signs)).reshape(n, -1).astype(float)
-    return np.sqrt(x / np.maximum(1, np.diff(off))[:, None])
+    return np.bincount(row[hit] * len(signs) + k[hit], minlength=n * len(signs)).reshape(n, -1)
+
+
+def described(counts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Roots of the shares that the signs have of rows."""
+    return np.sqrt(counts.astype(float) / np.maximum(1, lengths)[:, None])
 
 
 def _centred(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -86,7 +90,7 @@ def grouped(h: np.ndarray, off: np.ndarray, signs: np.ndarray, centres: np.ndarr
     n = len(off) - 1
     if not len(signs) or not n:
         return np.zeros(n, np.int64)
-    return _centred(described(h, off, signs), centres)
+    return _centred(described(counted(h, off, signs), np.diff(off)), centres)
 
 
 def _fit_groups(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -114,15 +118,34 @@ def _fit_groups(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return signs, c
 
 
-def _moves(signs: np.ndarray, centres: np.ndarray):
-    """Sums and numbers of the task's documents by nearest centre."""
+#: The rows of a piece of text, as words in each and how often each has each of the signs, compressed.
+SIGN_ROWS = "lengths binary, counts binary"
+
+
+def _signed(signs: np.ndarray):
+    """What moves of centres need of each text, so that they don't cut it into words again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, n = np.zeros(centres.shape), np.zeros(len(centres))
+        small = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             data, off = utf8(batch.column(0))
             for i, j in chunks(off):
-                x = described(*token_hashes(data[off[i] : off[j]], off[i : j + 1] - off[i]), signs)
+                h, at = token_hashes(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                both = np.diff(at).astype(np.int64), counted(h, at, signs).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([small.compress(x.tobytes())], pa.binary()) for x in both], ["lengths", "counts"])
+
+    return run
+
+
+def _moves(centres: np.ndarray):
+    """Sums and numbers of the task's documents by nearest centre."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, n, squeeze = np.zeros(centres.shape), np.zeros(len(centres)), zstandard.ZstdDecompressor()
+        for batch in batches:
+            for lengths, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                lengths, counts = (np.frombuffer(squeeze.decompress(x), np.int64) for x in (lengths, counts))
+                x = described(counts.reshape(len(lengths), -1), lengths)
                 g = _centred(x, centres)
                 np.add.at(sums, g, x)
                 n += np.bincount(g, minlength=len(n))
@@ -729,13 +752,16 @@ def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", t
         b = np.frombuffer((r.text or "").encode(), np.uint8)
         sample.append(token_hashes(b, np.array([0, len(b)]))[0])
     signs, centres = _fit_groups(sample)
+    signed = scratch.cut(learn.select("text").mapInArrow(_signed(signs), SIGN_ROWS), "signs") if len(signs) else None
     for _ in range(MOVES if len(signs) else 0):
-        moved = learn.select("text").mapInArrow(_moves(signs, centres), "g long, n double, sums array<double>").collect()  # a row of each group from each task
+        moved = signed.mapInArrow(_moves(centres), "g long, n double, sums array<double>").collect()  # a row of each group from each task
         sums, n = np.zeros(centres.shape), np.zeros(len(centres))
         for r in moved:
             sums[r.g] += r.sums
             n[r.g] += r.n
         centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
+    if signed is not None:
+        scratch.drop(signed)
 
     table = scratch.cut(met(learn.select("text").mapInArrow(_count(signs, centres, buckets), ROWS)).mapInArrow(_table, ROWS), "words")
     steps = table.mapInArrow(_numbers, "step long, words long, tokens long").groupBy("step").agg(F.sum("words").alias("words"), F.sum("tokens").alias("tokens")).orderBy(F.desc("step")).collect()
