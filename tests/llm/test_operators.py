@@ -299,6 +299,18 @@ def test_network_trains_on_all_documents(spark, monkeypatch):
     assert all(got[i].score > less[i] for i in range(80, 90))
 
 
+def test_the_end_counts_however_rare_it_is(spark, monkeypatch):
+    from vigilspark.llm import language_model
+
+    # fewer documents than the commonest words have tokens, and room for few words
+    monkeypatch.setattr(language_model, "HEAD", 3)
+    rows = [(i, f"a b c d e f{i} " * 30) for i in range(4)]
+    got = {r.id: r for r in model_scored(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for (i, _), (n, known, total, base) in zip(rows, brute.base_scores([t for _, t in rows], [True] * 4), strict=True):
+        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (n, known, total)
+        assert got[i].base_score == pytest.approx(base, rel=1e-9)
+
+
 def small_network():
     net = Network(5, np.array([2, 2, 3, 2]), np.array([0.5, 0.25, 1.0, 0.125]), units=4)
     net.w = {k: v.astype(np.float64) for k, v in net.w.items()}

@@ -246,13 +246,13 @@ N_CLASSES = 2 + GROUPS * (len(BANDS) + 1)
 
 
 def _matching(wanted: np.ndarray | None, least: int):
-    """Words among the wanted ones, or of so great a count."""
+    """Words among the wanted ones, or those of so great a count and the end, however rare, as no task asks for it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob in batch.column(2).to_pylist():
                 h, n, g = unpack([blob], _KINDS)
-                keep = np.isin(h, wanted) if wanted is not None else n >= least
+                keep = np.isin(h, wanted) if wanted is not None else (n >= least) | (h == END_KEY)
                 yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(n[keep]), pa.array(g[keep].astype(np.int64))], ["h", "n", "g"])
 
     return run
