@@ -493,9 +493,8 @@ class Model:
         self.told = np.append(np.arange(N_CLASSES), own).astype(np.int16)
         self.rest = sums - np.bincount(own, n, minlength=N_CLASSES)
         network = Network(N_CLASSES, own, n / np.maximum(1, sums[own]))
-        #: of each of the commonest words and of none: hash, count, group and what the network reads, or -1
-        self.keys, self.counts, self.groups = (np.append(x, x.dtype.type(0)) for x in head)
-        self.keys[-1] = np.uint64(1)
+        #: of each of the commonest words and of none: hash, count and what the network reads, or -1
+        self.keys, self.counts = np.append(head[0], np.uint64(1)), np.append(head[1], 0)
         self.symbol = np.full(len(head[0]) + 1, -1)
         self.symbol[np.searchsorted(head[0], read)] = N_CLASSES + np.arange(len(read))
         slot, by = (head[0] >> np.uint64(64 - SLOT_BITS)).astype(np.int64), np.argsort(head[1], kind="stable")
@@ -503,6 +502,14 @@ class Model:
         self.slots[slot[by]] = by
         self.shared[slot[self.slots[slot] != np.arange(len(slot))]] = True
         self.total, self.distinct, self.unseen, self.once, self.sums, self.head, self.read, self.network = total, distinct, unseen, once, sums, head, read, network
+        #: and what a token of each of them adds to the base, its symbol and its share of that
+        self.known = tuple(np.append(x, x.dtype.type(0)) for x in self.tokens(head[0], head[1], head[2], np.arange(len(head[0]))))
+
+    def tokens(self, h: np.ndarray, n: np.ndarray, g: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log10 P of the base, the symbol that the network reads and log10 P(token | symbol) of words by hash, count, group and place among the commonest."""
+        c = classes(np.where(h == END_KEY, END, h), n, g, self.total)
+        symbols = self.symbols(k, c)
+        return np.log10((n + 1) / (self.total + self.distinct + 1)), symbols.astype(np.uint16), self.within(n, c, symbols)
 
     def within(self, n: np.ndarray, c: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """log10 P(token | symbol): of words that aren't read, among those of their class."""
@@ -610,14 +617,11 @@ def _read(model):
             h, off = token_hashes(data, np.cumsum([0, *(len(x) for _, x, _ in held)]))
             h &= ~np.uint64(15)
             k = m.look(h)
-            n, g, far = m.counts[k], m.groups[k], np.flatnonzero(k < 0)
-            n[far], g[far], _ = _of(table, h[far])
-            c = classes(np.where(h == END_KEY, END, h), n, g, m.total)
+            n, (base, symbols, within), far = m.counts[k], (x[k] for x in m.known), np.flatnonzero(k < 0)
+            n[far], g, _ = _of(table, h[far])
+            base[far], symbols[far], within[far] = m.tokens(h[far], n[far], g, k[far])
             row_sum = lambda x: np.add.reduceat(x, off[:-1])  # noqa: E731  every row has an end
-            base = row_sum(np.log10((n + 1) / (m.total + m.distinct + 1)))
-            symbols = m.symbols(k, c)
-            within = row_sum(m.within(n, c, symbols))
-            symbols = symbols.astype(np.uint16)
+            base, within = row_sum(base), row_sum(within)
             blobs = [small.compress(symbols[a:b].tobytes()) for a, b in zip(off[:-1], off[1:], strict=True)]
             return pa.RecordBatch.from_arrays([pa.array([i for i, *_ in held], pa.int64()), pa.array([t for _, _, t in held], pa.bool_()), pa.array(np.diff(off)), pa.array(row_sum((n > 0).astype(np.int64))), pa.array(base), pa.array(within), pa.array(blobs, pa.binary())], [x.split()[0] for x in READ_ROWS.split(", ")])
 
