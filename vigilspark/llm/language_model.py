@@ -442,7 +442,8 @@ class Network:
         order = np.argsort(x.astype(np.int16), kind="stable")
         first = np.flatnonzero(np.append(True, np.diff(x[order]) > 0))
         grads["x"] = np.zeros_like(self.w["x"])
-        grads["x"][x[order][first]] = np.add.reduceat(np.ascontiguousarray(da.reshape(3 * k, -1).T).take(order, 0), first, axis=0)
+        # unit by unit, of which each row of gradients stays in the cache
+        grads["x"][x[order][first]] = np.add.reduceat(da.reshape(3 * k, -1).take(order, 1), first, axis=1).T
         return grads, h, loss, total
 
     def scores(self, symbols: np.ndarray, told: np.ndarray, off: np.ndarray) -> np.ndarray:
