@@ -47,7 +47,7 @@ HELD = 1_500_000
 #: Bytes of text that a task reads, and tokens that it scores, at once; one longer document is taken whole.
 SCORED_BYTES, SCORED_TOKENS = 2_000_000, 4_000_000
 #: States whose softmaxes are taken at once.
-STATES = 50_000
+STATES = 16_000
 
 #: A row of a table of words: hash, count, group.
 _KINDS = ("u8", "i8", "u1")
