@@ -493,3 +493,17 @@ def test_query_digests(spark):
         assert r.n_items or r.items_sha256 == hashlib.sha256(b"").hexdigest()
     for r in entries.op10_language_model(spark, sf).collect():
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2)
+
+
+def test_freed_memory_of_the_driver_goes_back(spark):
+    from pathlib import Path
+
+    from vigilspark.llm.shared import Scratch
+
+    held = lambda: int(next(x for x in Path("/proc/self/status").read_text().splitlines() if x.startswith("VmRSS")).split()[1])
+    blocks = [bytes(1000) for _ in range(200_000)]
+    last = bytes(1000)
+    del blocks
+    before = held()
+    Scratch(spark, "settled").cut(spark.range(3))
+    assert last and held() < before - 100_000

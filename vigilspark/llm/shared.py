@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -11,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +48,7 @@ class Scratch:
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{name}"
         df.write.option("compression", "zstd").parquet(path)
+        settle(self.spark)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._vigil_path = path
         return out
@@ -255,6 +259,33 @@ def give_back(own: str | None = None) -> None:
         _trim(0)
 
 
+#: Seconds at least between two collections that settle() asks the driver's JVM for, and the last one's time.
+COLLECT_S = 10
+_collected = [0.0]
+
+
+def settle(spark: SparkSession) -> None:
+    """What the driver has freed goes back to the system: Python's, Arrow's and the JVM's native memory, and the JVM's heap where three quarters of it are in use."""
+    jvm = spark._jvm
+    pa.default_memory_pool().release_unused()
+    runtime = jvm.java.lang.Runtime.getRuntime()
+    if 4 * runtime.totalMemory() >= 3 * runtime.maxMemory() and time.monotonic() - _collected[0] >= COLLECT_S:
+        # Python's garbage holds the JVM's plans and broadcasts
+        gc.collect()
+        jvm.System.gc()
+        _collected[0] = time.monotonic()
+    if _trim:
+        _trim(0)
+    try:
+        array, server = spark.sparkContext._gateway.new_array, jvm.java.lang.Class.forName("javax.management.MBeanServer")
+        own = array(jvm.Object, 4)
+        own[0], own[1], own[2], own[3] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap", array(jvm.Object, 0), array(jvm.String, 0)
+        next(m for m in server.getMethods() if m.getName() == "invoke").invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), own)
+    except Py4JError:
+        # JVMs before 17.0.9 and those of other systems have no such command
+        pass
+
+
 # ---------------------------------------------------------------- groups of sorted rows
 
 

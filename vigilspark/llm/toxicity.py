@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ALNUM_WORD, LOWER, Scratch, carried, chunks, give_back, own_columns, utf8, word_hashes, words
+from .shared import ALNUM_WORD, LOWER, Scratch, carried, chunks, give_back, own_columns, settle, utf8, word_hashes, words
 
 #: Examples of each class at most (a sample of the labelled training rows, by hash), and distinct words of all of them together.
 EXAMPLES, EXAMPLE_TERMS = 2500, 4_000_000
@@ -319,13 +319,18 @@ def fitted(docs: DataFrame, examples: DataFrame, *, id_col: str = "doc_id", text
     holders = np.zeros((len(vocabulary), 2))
     for (k, _), y in zip(kept, labels, strict=True):
         holders[k, y] += 1
-    seen = rows.select("text").mapInArrow(_frequencies(spark.sparkContext.broadcast(vocabulary)), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    shared = spark.sparkContext.broadcast(vocabulary)
+    seen = rows.select("text").mapInArrow(_frequencies(shared), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    shared.destroy()
     df, total = np.zeros(len(vocabulary) + 1), 0
     df[seen["term"].to_numpy()] = seen["n"].to_numpy()
     # term -1 counts the rows
     df, total = df[:-1], df[-1]
     idf = np.log((2 + total) / (1 + df))
-    return Model(vocabulary, idf * relevance(holders, (int((labels == 0).sum()), int((labels == 1).sum()))), kept, labels, ids, totals)
+    model = Model(vocabulary, idf * relevance(holders, (int((labels == 0).sum()), int((labels == 1).sum()))), kept, labels, ids, totals)
+    del kept, holders, seen, sets
+    settle(spark)
+    return model
 
 
 def scored(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, keep: str = "true") -> DataFrame:
